@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from salesengine.functions.exact import LINE_EXACT, cents, quotient, rounded
 from salesengine.functions.filters import Filters, check_limit, check_product_key, where_all
 from salesengine.functions.labels import known, month_index, year_month
-from salesengine.operators.snapshot import DEFAULT_TOP, PLACES_SHOWN
+from salesengine.operators.snapshot import DEFAULT_TOP, PLACES_SHOWN, by_place
 from salesengine.operators.unify import (
     RESELLER,
-    customer_places,
     dated,
     filtered_sales,
     internet_lines,
     of_known_products,
+    places,
     sales_in_cents,
     shown_products,
 )
@@ -43,35 +43,50 @@ def product_sales(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:
     return product_totals(t, f).select("product_key", cents(F.col("total")).alias("sales_amount"))
 
 
-def hot_products(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:
-    """Products that sell at least as much as the average product.
-
-    sales >= all sales / products, written as a product so that no rounded
-    average is involved.
-    """
-    totals = product_totals(t, f)
-    average = totals.agg(
-        F.struct(F.sum("total").alias("sales"), F.count("total").alias("products")).alias("all")
+def _all_products(totals: DataFrame) -> Column:
+    """Sales of all products and their number, as one value."""
+    return totals.agg(
+        F.struct(
+            F.coalesce(F.sum("total"), F.lit(0)).alias("sales"),
+            F.count("total").alias("products"),
+        ).alias("all")
     ).scalar()
+
+
+def _hot(totals: DataFrame) -> DataFrame:
+    """sales >= all sales / products, without forming a rounded average."""
+    everything = _all_products(totals)
     return totals.where(
-        F.col("total") * average.getField("products") >= average.getField("sales")
-    ).select("product_key", cents(F.col("total")).alias("sales_amount"))
+        F.col("total") * everything.getField("products") >= everything.getField("sales")
+    )
+
+
+def hot_products(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:
+    """Products that sell at least as much as the average product."""
+    return _hot(product_totals(t, f)).select(
+        "product_key", cents(F.col("total")).alias("sales_amount")
+    )
 
 
 def kpis(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:
-    hot = hot_products(t, f).agg(F.count("*").alias("n")).scalar()
+    """One row of headline figures.
+
+    Amounts come from the sums per product, which the hot products need anyway;
+    the lines themselves are only read for the two distinct counts.
+    """
+    totals = product_totals(t, f)
+    hot = _hot(totals).agg(F.count("*").alias("n")).scalar()
     return (
         filtered_sales(t, f)
         .agg(
-            F.coalesce(F.sum("sales_amount"), F.lit(0)).alias("total"),
             F.count_distinct("sales_order_number").alias("order_count"),
             F.count_distinct("customer_key").alias("customer_count"),
         )
         .select(
-            cents(F.col("total")).alias("total_sales"),
+            cents(_all_products(totals).getField("sales")).alias("total_sales"),
             "order_count",
             "customer_count",
-            F.coalesce(hot, F.lit(0).cast("bigint")).alias("hot_product_count"),
+            hot.alias("hot_product_count"),
         )
     )
 
@@ -238,18 +253,18 @@ def geo(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:
     Amounts are summed exactly and rounded after the sum.
     """
     country = [F.col("country") == F.lit(f.country)] if f.country else []
-    places = where_all(customer_places(t, "inner"), country)
     sales = dated(internet_lines(t, LINE_EXACT), t, f.on_dates())
     if f.channel == RESELLER:
         sales = sales.where(F.lit(False))
+    found = by_place(of_known_products(sales, t, f), t, where_all(places(t), country))
     return (
-        of_known_products(sales, t, f)
-        .join(t.side("customer", places), "customer_key")
-        .groupBy("country", "state_province", "city")
-        .agg(
-            cents(F.sum("sales_amount")).alias("sales_amount"),
-            F.count_distinct("customer_key").alias("customer_count"),
-            F.count_distinct("sales_order_number").alias("order_count"),
+        found.select(
+            "country",
+            "state_province",
+            "city",
+            cents(F.col("total")).alias("sales_amount"),
+            "customer_count",
+            "order_count",
         )
         .orderBy(F.desc("sales_amount"), "country", "state_province", "city")
         .limit(PLACES_SHOWN)

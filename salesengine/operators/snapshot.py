@@ -9,9 +9,10 @@ from salesengine.functions.exact import LINE_EXACT, cents, quotient, rounded
 from salesengine.functions.filters import check_limit
 from salesengine.functions.labels import year_month
 from salesengine.operators.unify import (
-    customer_places,
+    customers,
     dates,
     internet_lines,
+    places,
     shown_products,
     unified_sales,
 )
@@ -150,18 +151,34 @@ def top_products(t: SalesTables, limit: int = DEFAULT_TOP) -> DataFrame:
     )
 
 
-def geo(t: SalesTables) -> DataFrame:
-    """The hundred places with most sales. Only Internet lines have a place."""
-    places = customer_places(t).where(F.col("country").isNotNull())
-    by_place = (
-        internet_lines(t, LINE_EXACT)
-        .join(t.side("customer", places), "customer_key")
-        .groupBy("country", "state_province", "city")
+def by_place(sales: DataFrame, t: SalesTables, listed: DataFrame) -> DataFrame:
+    """Exact sales, customers and orders of each listed place.
+
+    Lines carry only the number of their place; its names are joined to the
+    aggregated rows.
+    """
+    place_of = customers(t).join(
+        t.side("geography", listed.select("geography_key", "place_key")), "geography_key"
+    )
+    names = listed.where(F.col("geography_key") == F.col("place_key")).drop("geography_key")
+    return (
+        sales.join(t.side("customer", place_of.drop("geography_key")), "customer_key")
+        .groupBy("place_key")
         .agg(
             F.coalesce(F.sum("sales_amount"), F.lit(0)).alias("total"),
             F.count_distinct("customer_key").alias("customer_count"),
             F.count_distinct("sales_order_number").alias("order_count"),
         )
+        .join(t.side("geography", names), "place_key")
+        .drop("place_key")
+    )
+
+
+def geo(t: SalesTables) -> DataFrame:
+    """The hundred places with most sales. Only Internet lines have a place."""
+    listed = places(t).where(F.col("country").isNotNull())
+    best = (
+        by_place(internet_lines(t, LINE_EXACT), t, listed)
         .orderBy(F.desc("total"), "country", "state_province", "city")
         .limit(PLACES_SHOWN)
     )
@@ -171,7 +188,7 @@ def geo(t: SalesTables) -> DataFrame:
         "decimal(3,2)"
     )
     return (
-        by_place.withColumn("high", F.col("total") >= bar)
+        best.withColumn("high", F.col("total") >= bar)
         .orderBy(F.desc("total"), "country", "state_province", "city")
         .select(
             "country",

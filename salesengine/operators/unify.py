@@ -7,7 +7,7 @@ rounds each amount to cents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesengine.functions.exact import LINE_CENTS, LINE_EXACT
@@ -75,14 +75,28 @@ def geography(t: SalesTables) -> DataFrame:
     )
 
 
-def customer_places(t: SalesTables, how: str = "left") -> DataFrame:
-    """Customers with their place, joined before any fact is touched."""
-    customers = t.customer.select(
+def customers(t: SalesTables) -> DataFrame:
+    return t.customer.select(
         F.col("CustomerKey").alias("customer_key"),
         F.col("GeographyKey").alias("geography_key"),
     )
+
+
+def customer_places(t: SalesTables) -> DataFrame:
+    """Customers with their place, joined before any fact is touched."""
     places = t.side("geography", geography(t))
-    return customers.join(places, "geography_key", how).drop("geography_key")
+    return customers(t).join(places, "geography_key", "left").drop("geography_key")
+
+
+def places(t: SalesTables) -> DataFrame:
+    """Geography with one key for each distinct place.
+
+    Several geography keys may share country, state and city; the smallest of
+    them stands for the place, so that lines are grouped by one number instead
+    of three names.
+    """
+    same_names = Window.partitionBy("country", "state_province", "city")
+    return geography(t).withColumn("place_key", F.min("geography_key").over(same_names))
 
 
 def unified_sales(t: SalesTables) -> DataFrame:
@@ -151,12 +165,13 @@ def dated(sales: DataFrame, t: SalesTables, tests: list[Column]) -> DataFrame:
 def of_known_products(rows: DataFrame, t: SalesTables, f: Filters) -> DataFrame:
     """Rows whose product exists and passes the product filter.
 
-    A semi join by product_key, so it may stand above an aggregation by that
-    key: Spark moves it below where the products are broadcast, and otherwise
-    only the aggregated rows are shuffled.
+    Keys are unique, so this only keeps or drops rows. It is an inner join and
+    not a semi join because Spark pushes a semi join below an aggregation by
+    product_key in some uses of it and not in others, and the aggregation would
+    then run twice instead of being reused.
     """
     keys = where_all(products(t), f.on_products()).select("product_key")
-    return rows.join(t.side("product", keys), "product_key", "left_semi")
+    return rows.join(t.side("product", keys), "product_key")
 
 
 def filtered_sales(t: SalesTables, f: Filters = Filters()) -> DataFrame:

@@ -27,6 +27,7 @@ def settings(cores: int, shuffle_bytes: int = 0) -> dict[str, str]:
         "spark.sql.files.maxPartitionBytes": str(TARGET_PARTITION_BYTES),
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
 
 
