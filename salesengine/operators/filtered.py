@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesengine.functions.exact import LINE_EXACT, cents, quotient, rounded
-from salesengine.functions.filters import Filters, check_limit, check_product_key, where_all
+from salesengine.functions.filters import CHANNELS, Filters, check_limit, check_product_key, where_all
 from salesengine.functions.labels import known, month_index, year_month
 from salesengine.operators.snapshot import DEFAULT_TOP, PLACES_SHOWN, by_place
 from salesengine.operators.unify import (
@@ -161,19 +161,23 @@ def product_months(sales: DataFrame, t: SalesTables, f: Filters) -> DataFrame:
     return of_known_products(by_month, t, f)
 
 
-def product_monthly_panel(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:
-    """product_monthly of every product, in one pass over the sales.
+def in_trailing_year(months: DataFrame, f: Filters) -> DataFrame:
+    """The rows of product_months inside the window of their product.
 
     The window is a whole number of months, so it is applied to monthly rows:
     each product's last sale comes from its own months (a bounded number), and
     the lines are never joined back to a per-product end date.
     """
     last_sale = F.max("last_sale").over(Window.partitionBy("product_key"))
-    months = product_months(sales_in_cents(t, f), t, f).withColumn(
-        "end", _window_end(last_sale, f)
-    )
+    ended = months.withColumn("end", _window_end(last_sale, f))
     age = month_index(F.year("end"), F.month("end")) - month_index(F.col("year"), F.col("month"))
-    return months.where((F.col("lines") > 0) & age.between(0, WINDOW_MONTHS - 1)).select(
+    return ended.where((F.col("lines") > 0) & age.between(0, WINDOW_MONTHS - 1)).drop("end")
+
+
+def product_monthly_panel(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:
+    """product_monthly of every product, in one pass over the sales."""
+    months = product_months(sales_in_cents(t, f), t, f)
+    return in_trailing_year(months, f).select(
         "product_key",
         "year",
         "month",
@@ -294,6 +298,20 @@ def channels(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:
     ).orderBy(F.desc("sales_amount"), "sales_channel")
 
 
+def filter_options_grouped(t: SalesTables) -> DataFrame:
+    """The values of each filter as one list, with the fixed list of channels."""
+    channel_rows = F.array(*[F.lit(c) for c in CHANNELS])
+    grouped = (
+        filter_options(t)
+        .groupBy("option_type")
+        .agg(F.array_sort(F.collect_list("option_value")).alias("option_values"))
+    )
+    channel_list = t.date.sparkSession.range(1).select(
+        F.lit("channel").alias("option_type"), channel_rows.alias("option_values")
+    )
+    return grouped.unionByName(channel_list)
+
+
 def filter_options(t: SalesTables) -> DataFrame:
     """The values each filter can take, one row for each."""
 

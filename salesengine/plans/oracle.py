@@ -457,3 +457,386 @@ options AS (
 )"""
 )
 FILTER_OPTIONS = _query(OPTIONS, "SELECT * FROM options")
+
+FILTER_OPTIONS_GROUPED = _query(
+    OPTIONS,
+    """SELECT option_type, list_sort(list(option_value)) AS option_values
+FROM options GROUP BY option_type
+UNION ALL SELECT 'channel', ['Internet', 'Reseller']""",
+)
+# The same lists as one text each.
+FILTER_OPTIONS_JOINED = f"""SELECT option_type, array_to_string(option_values, '|') AS option_values
+FROM ({FILTER_OPTIONS_GROUPED})"""
+
+SOURCE_ROW_COUNTS = _query(
+    STAR,
+    """SELECT (SELECT count(*) FROM fact_internet) AS internet_sales_rows,
+       (SELECT count(*) FROM fact_reseller) AS reseller_sales_rows""",
+)
+
+ALERT_COLUMNS = "rule_order, level, type, title, description, metric_value, metric_reference"
+
+ALERTS_SNAPSHOT = _query(
+    SNAPSHOT_MODULES
+    + """,
+ordered AS (
+    SELECT *, lag(sales_amount) OVER (ORDER BY year NULLS FIRST, month NULLS FIRST) AS before,
+           row_number() OVER (ORDER BY year DESC NULLS LAST, month DESC NULLS LAST) AS age
+    FROM trend
+),
+fired AS (
+    SELECT 1 AS rule_order, 'high' AS level, 'sales_drop' AS type,
+           'Sudden drop in sales' AS title,
+           year_month || ' sold far less than the month before; check channel supply and key orders.'
+               AS description,
+           sales_amount AS metric_value, before AS metric_reference
+    FROM ordered
+    WHERE age = 1 AND CAST(sales_amount AS DECIMAL(28,2))
+                      < CAST(before AS DECIMAL(28,2)) * CAST(0.85 AS DECIMAL(3,2))
+    UNION ALL
+    (SELECT 2, 'medium', 'top_product_dependency', 'Dependency on the top product',
+            'The leading product carries much of the sales; check stock, price and substitutes.',
+            contribution_rate, 0.18
+     FROM (SELECT * FROM top_products ORDER BY sales_amount DESC, product_key LIMIT 1)
+     WHERE contribution_rate >= 0.18)
+    UNION ALL
+    (SELECT 3, 'medium', 'channel_imbalance', 'Sales concentrated in one channel',
+            sales_channel || ' has a large share of sales; assess channel risk and lasting growth.',
+            sales_ratio, 0.75
+     FROM (SELECT * FROM channels ORDER BY sales_ratio DESC, sales_amount DESC, sales_channel LIMIT 1)
+     WHERE sales_ratio >= 0.75)
+    UNION ALL
+    (SELECT 4, 'info', 'high_value_region', 'High-value region found',
+            country || ' leads in sales and can serve as a model for other regions.',
+            sales_amount, NULL
+     FROM geo ORDER BY sales_amount DESC, country, state_province, city LIMIT 1)
+),
+alerts AS (
+    SELECT * FROM fired
+    UNION ALL
+    SELECT 5, 'info', 'stable_operation', 'Business is stable',
+           'No anomaly was found; keep watching trend, channels and key products.',
+           total_sales, NULL
+    FROM kpis WHERE NOT EXISTS (SELECT 1 FROM fired)
+)""",
+    f"SELECT {ALERT_COLUMNS} FROM alerts",
+)
+
+CATALOG = """,
+catalog AS (
+    SELECT product_key, 'Renamed ' || product_key AS product_name, 'X' AS product_line,
+           CAST(NULL AS VARCHAR) AS color, 'S' AS size, list_price, model_name,
+           CAST(0 AS DOUBLE) AS sales_amount, CAST(0 AS BIGINT) AS order_count
+    FROM dim_product WHERE product_line IN ('ECONOMY', 'SMALL') AND size <> '13'
+),
+tombstones AS (SELECT product_key FROM dim_product WHERE size = '13')"""
+
+CHANGES = """,
+listed AS (
+    SELECT * FROM dim_product WHERE product_line IN ('ECONOMY', 'SMALL') AND size <> '13'
+),
+change_rows AS (
+    SELECT product_key, 1 AS step, 'update' AS op, 'First' AS word, list_price, model_name
+    FROM listed WHERE color = 'blue'
+    UNION ALL SELECT product_key, 2, 'update', 'Second', list_price, model_name
+    FROM listed WHERE model_name = 'Brand#2'
+    UNION ALL SELECT product_key, 3, 'update', 'Doomed', list_price, model_name
+    FROM listed WHERE color = 'red'
+    UNION ALL SELECT product_key, 4, 'insert', 'New', list_price, model_name
+    FROM dim_product WHERE model_name = 'Brand#6'
+    UNION ALL SELECT product_key, 5, 'delete', '', list_price, model_name
+    FROM listed WHERE color = 'red'
+    UNION ALL SELECT product_key, 6, 'update', 'Too late', list_price, model_name
+    FROM listed WHERE color = 'red'
+    UNION ALL SELECT product_key, 7, 'delete', '', list_price, model_name
+    FROM listed WHERE color = 'red' AND model_name = 'Brand#2'
+    UNION ALL SELECT product_key, 1, 'update', 'Not listed', list_price, model_name
+    FROM dim_product WHERE product_line = 'STANDARD' AND model_name = 'Brand#3'
+    UNION ALL SELECT product_key, 5, 'delete', '', list_price, model_name
+    FROM dim_product WHERE product_line = 'STANDARD' AND model_name = 'Brand#4'
+),
+largest AS (
+    SELECT max(product_key) AS k
+    FROM (SELECT product_key FROM catalog UNION ALL SELECT product_key FROM tombstones)
+),
+changes AS (
+    SELECT product_key * 10 + step AS seq, op,
+           CASE WHEN op <> 'insert' THEN product_key END AS product_key,
+           CASE WHEN op <> 'delete' THEN word || ' ' || product_key END AS product_name,
+           CAST(NULL AS VARCHAR) AS product_line,
+           CASE WHEN op <> 'delete' THEN 'teal' END AS color,
+           CAST(NULL AS VARCHAR) AS size,
+           CASE WHEN op <> 'delete' THEN list_price + 1 END AS list_price,
+           CASE WHEN op <> 'delete' THEN model_name END AS model_name
+    FROM change_rows
+    UNION ALL
+    SELECT seq, 'update', k + 1, 'First new', 'Y', NULL, 'L', 9.5, NULL
+    FROM largest, (SELECT 0 AS seq UNION ALL SELECT max(product_key) * 10 + 10 FROM dim_product)
+),
+new_products AS (
+    SELECT (SELECT k FROM largest) + row_number() OVER (ORDER BY seq) AS product_key,
+           product_name, product_line, color, size, list_price, model_name,
+           CAST(0 AS DOUBLE) AS sales_amount, CAST(0 AS BIGINT) AS order_count, seq AS born
+    FROM changes WHERE op = 'insert'
+)"""
+
+# What is left of a batch after some kinds of change are taken from it.
+APPLIED = """,
+lives AS (
+    SELECT *, CAST(-1 AS BIGINT) AS born FROM catalog
+    UNION ALL SELECT * FROM new_products WHERE '{insert}' = 'insert'
+),
+touching AS (
+    SELECT c.*, l.product_key IS NOT NULL AND c.seq > l.born
+                AND NOT EXISTS (
+                    SELECT 1 FROM changes d
+                    WHERE d.op = 'delete' AND d.product_key = c.product_key
+                      AND d.seq < c.seq AND d.seq > l.born AND '{delete}' = 'delete'
+                ) AS matched
+    FROM changes c LEFT JOIN lives l ON c.product_key = l.product_key
+    WHERE c.op IN ('{update}', '{delete}')
+),
+dead AS (SELECT DISTINCT product_key FROM touching WHERE op = 'delete' AND matched),
+final_updates AS (
+    SELECT * FROM touching WHERE op = 'update' AND matched
+    QUALIFY row_number() OVER (PARTITION BY product_key ORDER BY seq DESC) = 1
+),
+catalog_after AS (
+    SELECT l.product_key,
+           CASE WHEN u.seq IS NULL THEN l.product_name ELSE u.product_name END AS product_name,
+           CASE WHEN u.seq IS NULL THEN l.product_line ELSE u.product_line END AS product_line,
+           CASE WHEN u.seq IS NULL THEN l.color ELSE u.color END AS color,
+           CASE WHEN u.seq IS NULL THEN l.size ELSE u.size END AS size,
+           CASE WHEN u.seq IS NULL THEN l.list_price ELSE u.list_price END AS list_price,
+           CASE WHEN u.seq IS NULL THEN l.model_name ELSE u.model_name END AS model_name,
+           l.sales_amount, l.order_count
+    FROM lives l LEFT JOIN final_updates u ON l.product_key = u.product_key
+    WHERE l.product_key NOT IN (SELECT product_key FROM dead)
+),
+tombstones_after AS (
+    SELECT product_key FROM tombstones UNION SELECT product_key FROM dead
+)"""
+
+
+def _applied(*ops: str) -> str:
+    kept = {op: op if op in ops else "" for op in ("insert", "update", "delete")}
+    return STAR + CATALOG + CHANGES + APPLIED.format(**kept)
+
+
+CATALOG_SEED = _query(
+    STAR,
+    """SELECT DISTINCT product_key, product_name, coalesce(product_line, 'Unknown') AS product_line,
+       coalesce(color, 'Unknown') AS color, coalesce(size, 'Unknown') AS size,
+       coalesce(list_price, 0) AS list_price, coalesce(model_name, 'Unknown') AS model_name,
+       CAST(0 AS DOUBLE) AS sales_amount, CAST(0 AS BIGINT) AS order_count
+FROM dim_product WHERE product_name IS NOT NULL ORDER BY product_key DESC LIMIT 30""",
+)
+
+
+def catalog_search(pattern: str, product_line: str | None) -> str:
+    tests = [f"product_name ILIKE {_literal('%' + pattern + '%')}"]
+    if product_line:
+        tests.append(f"product_line = {_literal(product_line)}")
+    return _query(STAR + CATALOG, f"SELECT * FROM catalog {_where(tests)}")
+
+
+def catalog_lookup(product_key: int) -> str:
+    return _query(STAR + CATALOG, f"SELECT * FROM catalog WHERE product_key = {product_key}")
+
+
+CATALOG_LOOKUP_MANY = _query(
+    STAR + CATALOG,
+    "SELECT * FROM catalog WHERE product_key IN (SELECT product_key FROM fact_reseller)",
+)
+CATALOG_TOMBSTONES = _query(STAR + CATALOG, "SELECT product_key FROM tombstones")
+CATALOG_INSERT = _query(
+    STAR + CATALOG + CHANGES,
+    "SELECT * FROM catalog UNION ALL SELECT * EXCLUDE (born) FROM new_products",
+)
+CATALOG_UPDATE = _query(_applied("update"), "SELECT * FROM catalog_after")
+CATALOG_DELETE = _query(_applied("delete"), "SELECT * FROM catalog_after")
+CATALOG_DELETE_TOMBSTONES = _query(_applied("delete"), "SELECT * FROM tombstones_after")
+CATALOG_APPLY_CHANGES = _query(
+    _applied("insert", "update", "delete"), "SELECT * FROM catalog_after"
+)
+CATALOG_APPLY_TOMBSTONES = _query(
+    _applied("insert", "update", "delete"), "SELECT * FROM tombstones_after"
+)
+CATALOG_CHANGE_REPORT = _query(
+    _applied("insert", "update", "delete"),
+    """SELECT seq, op, product_key, matched FROM touching
+UNION ALL SELECT born, 'insert', product_key, true FROM new_products""",
+)
+
+
+def _overlaid(f: Filters, limit: int) -> str:
+    shown = ",\n           ".join(
+        f"CASE WHEN c.product_key IS NULL THEN r.{name} ELSE c.{name} END AS {name}"
+        for name in ("product_name", "product_line", "color", "size")
+    )
+    return f"""{_ranking(f, limit)}{CATALOG},
+overlaid AS (
+    SELECT r.product_key, {shown}, r.sales_amount, r.order_count
+    FROM ranking r LEFT JOIN catalog c ON r.product_key = c.product_key
+    WHERE r.product_key NOT IN (SELECT product_key FROM tombstones)
+)"""
+
+
+def catalog_overlay(f: Filters, limit: int) -> str:
+    return _query(_overlaid(f, limit), "SELECT * FROM overlaid")
+
+
+def _other_ctes(text: str, base: str) -> str:
+    """The tables a chain adds to a base it shares with another chain."""
+    return text[len(base) :]
+
+
+def alerts_filtered(f: Filters) -> str:
+    trend = _other_ctes(_trailing(f), UNIFIED_GEO)
+    return _query(
+        f"""{_overlaid(f, 10)}{trend}{PEAK_VALLEY},
+peak AS (SELECT * FROM peak_valley WHERE kind = 'peak'),
+valley AS (SELECT * FROM peak_valley WHERE kind = 'valley'),
+watched AS (
+    SELECT *, row_number() OVER (ORDER BY sales_amount DESC, product_key) AS place FROM overlaid
+),
+alerts AS (
+    SELECT 1 AS rule_order, 'high' AS level, 'monthly_volatility' AS type,
+           'Monthly sales vary widely' AS title,
+           v.year_month || ' sold far less than ' || p.year_month
+               || '; check orders, channel mix and key products.' AS description,
+           v.sales_amount AS metric_value, p.sales_amount AS metric_reference
+    FROM peak p, valley v
+    WHERE p.sales_amount <> 0 AND CAST(v.sales_amount AS DECIMAL(28,2))
+          < CAST(p.sales_amount AS DECIMAL(28,2)) * CAST(0.65 AS DECIMAL(3,2))
+    UNION ALL
+    SELECT CAST(place + 1 AS INTEGER), 'medium', 'top_product_watch', 'Watch this best seller',
+           product_name
+               || ' ranks near the top; watch stock, regional demand and channel supply.',
+           sales_amount, CAST(order_count AS DOUBLE)
+    FROM watched WHERE place <= 2
+)""",
+        f"SELECT {ALERT_COLUMNS} FROM alerts",
+    )
+
+
+def _growth_pct(source: str) -> str:
+    growth = _quotient(
+        "(CAST(sales_amount AS DECIMAL(28,2)) - base) * 100", "base"
+    )
+    return f"""SELECT year, month, year_month AS month_label, sales_amount,
+       CASE WHEN base IS NULL THEN 0 ELSE {_rounded(growth, 1)} END AS growth_pct
+FROM (SELECT *, CASE WHEN before = 0 THEN 1 ELSE before END AS base
+      FROM (SELECT *, lag(CAST(sales_amount AS DECIMAL(28,2)))
+                      OVER (ORDER BY year NULLS FIRST, month NULLS FIRST) AS before
+            FROM {source}))"""
+
+
+MOM_GROWTH_PCT = _query(SNAPSHOT_MODULES, _growth_pct("trend"))
+
+
+def mom_growth_pct(f: Filters) -> str:
+    return _query(_trailing(f), _growth_pct("trend"))
+
+
+def channel_tiles(f: Filters) -> str:
+    figures = ",\n       ".join(
+        f"coalesce(max(CASE WHEN sales_channel = '{channel}' THEN {figure} END), 0)"
+        f" AS {channel.lower()}_{figure}"
+        for channel in ("Internet", "Reseller")
+        for figure in ("sales_amount", "order_count", "sales_ratio", "order_ratio")
+    )
+    return _query(_channels(f), f"SELECT {figures} FROM channels")
+
+
+GEO_RANK = _query(
+    SNAPSHOT_MODULES
+    + """,
+first_places AS (
+    SELECT *, CAST(row_number() OVER (ORDER BY sales_amount DESC, country, state_province, city)
+                   AS INTEGER) AS place
+    FROM geo ORDER BY place LIMIT 8
+)""",
+    f"""SELECT place, country AS name, sales_amount,
+       greatest(8, {_rounded(_quotient('CAST(sales_amount AS DECIMAL(28,2)) * 100',
+                                       '(SELECT max(sales_amount) FROM first_places)'), 4)})
+           AS bar_width
+FROM first_places""",
+)
+
+
+def sparkline(f: Filters) -> str:
+    def digit(value: str) -> str:
+        return f"CAST(CAST(CAST({value} AS DECIMAL(38,10)) AS DECIMAL(9,1)) AS VARCHAR)"
+
+    x = digit("CAST(i - 1 AS DOUBLE) / greatest(len(amounts) - 1, 1) * 72")
+    y = digit(
+        "22 - (amounts[i] - least(list_min(amounts), 0))"
+        " / (greatest(list_max(amounts), 1) - least(list_min(amounts), 0)) * 20"
+    )
+    return _query(
+        _panel(f),
+        f"""SELECT product_key, year, month, year_month AS month_label, sales_amount,
+       array_to_string(list_transform(range(1, len(amounts) + 1),
+                                      lambda i: {x} || ',' || {y}), ' ') AS points
+FROM (SELECT *, list(sales_amount) OVER (PARTITION BY product_key ORDER BY year, month
+                                         ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS amounts
+      FROM panel)""",
+    )
+
+
+def product_month_pivot(f: Filters, product_key: int | None) -> str:
+    """Monthly sums are those up to the asked end date, of the listed products."""
+    lead = f"product_key = {product_key}" if product_key else "1 = 0"
+    ended = f"WHERE full_date <= DATE {_literal(f.end_date)}" if f.end_date else ""
+    months = ",\n       ".join(
+        f"coalesce((SELECT m.sales FROM months_sold m JOIN months c ON m.year = c.year"
+        f" AND m.month = c.month WHERE m.product_key = l.product_key AND c.recent = {7 - i}), 0)"
+        f" AS month_{i}"
+        for i in range(1, 7)
+    )
+    panel = _other_ctes(_panel(f), UNIFIED_GEO)
+    return _query(
+        f"""{_filtered(f)}{panel},
+ranked AS (
+    SELECT product_key, total, {lead} AS leads,
+           row_number() OVER (ORDER BY {lead} DESC, total DESC, product_key) AS place
+    FROM product_totals
+),
+listed AS (SELECT * FROM ranked WHERE place <= 8),
+months AS (
+    SELECT year, month, year_month, row_number() OVER (ORDER BY year DESC, month DESC) AS recent
+    FROM panel WHERE product_key = (SELECT product_key FROM listed WHERE place = 1)
+    QUALIFY recent <= 6
+),
+months_sold AS (
+    SELECT product_key, year, month, {_cents('sum(sales_amount)')} AS sales
+    FROM base {ended} GROUP BY product_key, year, month
+)""",
+        f"""SELECT CAST(place AS INTEGER) AS place, l.product_key, product_name,
+       coalesce(product_line, 'Unknown') AS product_line,
+       (SELECT string_agg(year_month, ',' ORDER BY year, month) FROM months) AS months,
+       {months}
+FROM listed l JOIN dim_product p ON l.product_key = p.product_key""",
+    )
+
+
+PUBLISHED_TREND = _query(
+    SNAPSHOT_MODULES, "SELECT *, 'spark' AS source, 'trend' AS result_file FROM trend"
+)
+PUBLISHED_TOP_PRODUCTS = _query(
+    SNAPSHOT_MODULES, "SELECT *, 'spark' AS source, 'top_products' AS result_file FROM top_products"
+)
+PUBLISHED_ALERTS = ALERTS_SNAPSHOT
+
+
+def served_live(f: Filters) -> str:
+    return _query(_channels(f), "SELECT *, 'live' AS source FROM channels")
+
+
+SNAPSHOT_PEAK_VALLEY = _query(
+    SNAPSHOT_MODULES,
+    """(SELECT 'peak' AS kind, * FROM trend ORDER BY sales_amount DESC, year, month LIMIT 1)
+UNION ALL
+(SELECT 'valley', * FROM trend ORDER BY sales_amount, year, month LIMIT 1)""",
+)

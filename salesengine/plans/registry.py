@@ -6,12 +6,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from salesengine.functions.exact import clean_values
+from salesengine.functions.exact import LINE_EXACT, clean_values
 from salesengine.functions.filters import Filters
-from salesengine.operators import filtered, snapshot, unify
-from salesengine.plans import oracle
+from salesengine.operators import catalog, derived, filtered, snapshot, unify
+from salesengine.plans import job, oracle
+from salesengine.sources import results
 from salesengine.sources.star import SalesTables
+from salesengine.sources.testcatalog import catalog_state, changes
 from salesengine.sources.testmap import load_star
 
 # The filter presets used for the live metrics.
@@ -26,6 +29,7 @@ PRESETS = {
     "f7": Filters(start_date="2000-07-01", end_date="2000-12-31"),
 }
 ONE_PRODUCT = 42
+LISTED_PRODUCT = 2
 RANKING_LIMIT = 50
 
 
@@ -105,8 +109,206 @@ def _filtered_queries() -> dict[str, Query]:
         _on_star(unify.unified_sales_geo), oracle.UNIFIED_SALES_GEO
     )
     out["filter_options"] = Query(_on_star(filtered.filter_options), oracle.FILTER_OPTIONS)
+    out["filter_options_grouped"] = Query(
+        _on_star(lambda t: _joined_lists(filtered.filter_options_grouped(t))),
+        oracle.FILTER_OPTIONS_JOINED,
+    )
     return out
 
 
+def _without_metric(alerts_found: DataFrame) -> DataFrame:
+    """Alerts without their JSON column, whose number format differs in SQL."""
+    return alerts_found.drop("metric")
+
+
+def _joined_lists(options: DataFrame) -> DataFrame:
+    return options.withColumn("option_values", F.array_join("option_values", "|"))
+
+
+def _alert_queries() -> dict[str, Query]:
+    out = {
+        "alerts_snapshot": Query(
+            _on_star(lambda t: _without_metric(job.snapshot_alerts(t))), oracle.ALERTS_SNAPSHOT
+        ),
+        "alerts_snapshot_metric": Query(_on_star(job.snapshot_alerts)),
+    }
+    for preset in ("f0", "f1", "f7"):
+        f = PRESETS[preset]
+        out["alerts_filtered" if preset == "f0" else f"alerts_filtered_{preset}"] = Query(
+            _on_star(lambda t, f=f: _without_metric(job.live_alerts(t, f, catalog_state(t)))),
+            oracle.alerts_filtered(f),
+        )
+    return out
+
+
+def _catalog_queries() -> dict[str, Query]:
+    def state(change: Callable) -> Callable[[SparkSession, str], DataFrame]:
+        return _on_star(lambda t: change(catalog_state(t), changes(t)))
+
+    def read(look: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        return _on_star(lambda t: look(catalog_state(t).catalog))
+
+    f0, f1 = PRESETS["f0"], PRESETS["f1"]
+    return {
+        "catalog_seed": Query(_on_star(catalog.seed), oracle.CATALOG_SEED),
+        "catalog_search": Query(
+            read(lambda c: catalog.search(c, "rENAMED 1")), oracle.catalog_search("rENAMED 1", None)
+        ),
+        "catalog_search_wildcard": Query(
+            read(lambda c: catalog.search(c, "d%1_5", "X")), oracle.catalog_search("d%1_5", "X")
+        ),
+        "catalog_lookup": Query(
+            read(lambda c: catalog.lookup(c, LISTED_PRODUCT)), oracle.catalog_lookup(LISTED_PRODUCT)
+        ),
+        "catalog_lookup_many": Query(
+            _on_star(
+                lambda t: catalog.lookup_many(
+                    catalog_state(t).catalog,
+                    unify.reseller_lines(t, LINE_EXACT).select("product_key").distinct(),
+                )
+            ),
+            oracle.CATALOG_LOOKUP_MANY,
+        ),
+        "catalog_insert": Query(state(catalog.insert), oracle.CATALOG_INSERT),
+        "catalog_update": Query(state(catalog.update), oracle.CATALOG_UPDATE),
+        "catalog_delete": Query(
+            state(lambda s, c: catalog.delete(s, c).catalog), oracle.CATALOG_DELETE
+        ),
+        "catalog_delete_tombstones": Query(
+            state(lambda s, c: catalog.delete(s, c).tombstones), oracle.CATALOG_DELETE_TOMBSTONES
+        ),
+        "catalog_tombstones": Query(
+            state(lambda s, c: s.tombstones), oracle.CATALOG_TOMBSTONES
+        ),
+        "catalog_apply_changes": Query(
+            state(lambda s, c: catalog.apply_changes(s, c).catalog), oracle.CATALOG_APPLY_CHANGES
+        ),
+        "catalog_apply_changes_tombstones": Query(
+            state(lambda s, c: catalog.apply_changes(s, c).tombstones),
+            oracle.CATALOG_APPLY_TOMBSTONES,
+        ),
+        "catalog_change_report": Query(
+            state(catalog.change_report), oracle.CATALOG_CHANGE_REPORT
+        ),
+        "catalog_overlay": Query(
+            _on_star(lambda t: job.live_ranking(t, f0, RANKING_LIMIT, catalog_state(t))),
+            oracle.catalog_overlay(f0, RANKING_LIMIT),
+        ),
+        "catalog_overlay_f1": Query(
+            _on_star(lambda t: job.live_ranking(t, f1, RANKING_LIMIT, catalog_state(t))),
+            oracle.catalog_overlay(f1, RANKING_LIMIT),
+        ),
+    }
+
+
+def _derived_queries() -> dict[str, Query]:
+    f0, f2, f3, f7 = (PRESETS[p] for p in ("f0", "f2", "f3", "f7"))
+    return {
+        "mom_growth_pct": Query(
+            _on_star(lambda t: derived.mom_growth_pct(snapshot.trend(t))), oracle.MOM_GROWTH_PCT
+        ),
+        "mom_growth_pct_f7": Query(
+            _on_star(lambda t: derived.mom_growth_pct(filtered.trend(t, f7))),
+            oracle.mom_growth_pct(f7),
+        ),
+        "channel_tiles": Query(
+            _on_star(lambda t: derived.channel_tiles(filtered.channels(t))),
+            oracle.channel_tiles(f0),
+        ),
+        "channel_tiles_f3": Query(
+            _on_star(lambda t: derived.channel_tiles(filtered.channels(t, f3))),
+            oracle.channel_tiles(f3),
+        ),
+        "geo_rank": Query(_on_star(lambda t: derived.geo_rank(snapshot.geo(t))), oracle.GEO_RANK),
+        "sparkline": Query(
+            _on_star(lambda t: derived.sparkline(filtered.product_monthly_panel(t))),
+            oracle.sparkline(f0),
+        ),
+        "sparkline_f2": Query(
+            _on_star(lambda t: derived.sparkline(filtered.product_monthly_panel(t, f2))),
+            oracle.sparkline(f2),
+        ),
+        "product_month_pivot": Query(
+            _on_star(derived.product_month_pivot), oracle.product_month_pivot(f0, None)
+        ),
+        "product_month_pivot_chosen_f7": Query(
+            _on_star(lambda t: derived.product_month_pivot(t, f7, ONE_PRODUCT)),
+            oracle.product_month_pivot(f7, ONE_PRODUCT),
+        ),
+        "trend_peak_valley_snapshot": Query(
+            _on_star(lambda t: filtered.peak_valley(snapshot.trend(t), reasons=False)),
+            oracle.SNAPSHOT_PEAK_VALLEY,
+        ),
+    }
+
+
+def _published(
+    read: Callable[[SparkSession, SalesTables, str], DataFrame],
+) -> Callable[[SparkSession, str], DataFrame]:
+    """A read from modules published just now into a new scratch folder."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = load_star(spark, sf_dir)
+        folder = results.scratch_folder(spark)
+        job.publish_snapshot(spark, t, folder)
+        return read(spark, t, folder)
+
+    return run
+
+
+def _result_queries() -> dict[str, Query]:
+    f1 = PRESETS["f1"]
+    return {
+        "source_row_counts": Query(_on_star(job.source_row_counts), oracle.SOURCE_ROW_COUNTS),
+        "published_roundtrip": Query(
+            _published(
+                lambda spark, t, folder: results.read_result(spark, folder, "trend").drop(
+                    "generated_at"
+                )
+            ),
+            oracle.PUBLISHED_TREND,
+        ),
+        "published_alerts": Query(
+            _published(
+                lambda spark, t, folder: results.read_result(spark, folder, "alerts").drop(
+                    "generated_at", "metric", "source", "result_file"
+                )
+            ),
+            oracle.PUBLISHED_ALERTS,
+        ),
+        "read_or_compute": Query(
+            _published(
+                lambda spark, t, folder: job.read_or_compute(spark, t, folder, "top_products").drop(
+                    "generated_at"
+                )
+            ),
+            oracle.PUBLISHED_TOP_PRODUCTS,
+        ),
+        "read_or_compute_live": Query(
+            lambda spark, sf_dir: job.read_or_compute(
+                spark, load_star(spark, sf_dir), results.scratch_folder(spark), "channels", f1
+            ),
+            oracle.served_live(f1),
+        ),
+        "result_manifest": Query(_published(lambda spark, t, folder: results.manifest(spark, folder))),
+        "output_completeness": Query(
+            _published(lambda spark, t, folder: results.completeness(spark, folder))
+        ),
+        "report_modules": Query(
+            _published(lambda spark, t, folder: results.report_modules(spark, folder))
+        ),
+        "report_context": Query(
+            _published(lambda spark, t, folder: results.report_context(spark, folder))
+        ),
+    }
+
+
 def registered() -> dict[str, Query]:
-    return {**_snapshot_queries(), **_filtered_queries()}
+    return {
+        **_snapshot_queries(),
+        **_filtered_queries(),
+        **_alert_queries(),
+        **_catalog_queries(),
+        **_derived_queries(),
+        **_result_queries(),
+    }
