@@ -58,26 +58,24 @@ def _alert(
     )
 
 
-def _row(df: DataFrame) -> Column:
-    return F.struct(*[F.col(c) for c in df.columns])
+def _row(df: DataFrame, prefix: str = "") -> Column:
+    return F.struct(*[F.col(prefix + c).alias(c) for c in df.columns])
 
 
 def sales_drop(trend: DataFrame, limits: AlertThresholds = DEFAULT) -> DataFrame:
     by_month = Window.orderBy("year", "month")  # over monthly rows
+    # Column by column, so that figures nobody reads are not computed.
+    before = [F.lag(c).over(by_month).alias(f"previous_{c}") for c in trend.columns]
+    place = F.row_number().over(by_month).alias("place")
     last = (
-        trend.select(
-            "year",
-            "month",
-            _row(trend).alias("current"),
-            F.lag(_row(trend)).over(by_month).alias("previous"),
-        )
-        .orderBy(F.desc("year"), F.desc("month"))
+        trend.select("*", *before, place)
+        .orderBy(F.desc("place"))
         .limit(1)
+        .where(F.col("place") > 1)
         .where(
-            _exact(F.col("current.sales_amount"))
-            < _exact(F.col("previous.sales_amount")) * F.lit(limits.sales_drop)
+            _exact(F.col("sales_amount"))
+            < _exact(F.col("previous_sales_amount")) * F.lit(limits.sales_drop)
         )
-        .where(F.col("previous").isNotNull())
     )
     return _alert(
         last,
@@ -86,12 +84,12 @@ def sales_drop(trend: DataFrame, limits: AlertThresholds = DEFAULT) -> DataFrame
         "sales_drop",
         "Sudden drop in sales",
         F.concat(
-            F.col("current.year_month"),
+            F.col("year_month"),
             F.lit(" sold far less than the month before; check channel supply and key orders."),
         ),
-        F.struct("current", "previous"),
-        F.col("current.sales_amount"),
-        F.col("previous.sales_amount"),
+        F.struct(_row(trend).alias("current"), _row(trend, "previous_").alias("previous")),
+        F.col("sales_amount"),
+        F.col("previous_sales_amount"),
     )
 
 
@@ -195,14 +193,15 @@ def snapshot_alerts(
 def monthly_volatility(monthly: DataFrame, limits: AlertThresholds = DEFAULT) -> DataFrame:
     sales = F.coalesce(F.col("sales_amount"), F.lit(0.0))
     month = month_index(F.col("year"), F.col("month"))
+    highest, lowest = F.struct(sales, -month), F.struct(sales, month)
     ends = monthly.agg(
-        F.max_by(_row(monthly), F.struct(sales, -month)).alias("peak"),
-        F.min_by(_row(monthly), F.struct(sales, month)).alias("valley"),
+        *[F.max_by(c, highest).alias(f"peak_{c}") for c in monthly.columns],
+        *[F.min_by(c, lowest).alias(f"valley_{c}") for c in monthly.columns],
     ).where(
-        (_exact(F.col("peak.sales_amount")) != 0)
+        (_exact(F.col("peak_sales_amount")) != 0)
         & (
-            _exact(F.col("valley.sales_amount"))
-            < _exact(F.col("peak.sales_amount")) * F.lit(limits.volatility)
+            _exact(F.col("valley_sales_amount"))
+            < _exact(F.col("peak_sales_amount")) * F.lit(limits.volatility)
         )
     )
     return _alert(
@@ -212,14 +211,14 @@ def monthly_volatility(monthly: DataFrame, limits: AlertThresholds = DEFAULT) ->
         "monthly_volatility",
         "Monthly sales vary widely",
         F.concat(
-            F.col("valley.year_month"),
+            F.col("valley_year_month"),
             F.lit(" sold far less than "),
-            F.col("peak.year_month"),
+            F.col("peak_year_month"),
             F.lit("; check orders, channel mix and key products."),
         ),
-        F.struct("peak", "valley"),
-        F.col("valley.sales_amount"),
-        F.col("peak.sales_amount"),
+        F.struct(_row(monthly, "peak_").alias("peak"), _row(monthly, "valley_").alias("valley")),
+        F.col("valley_sales_amount"),
+        F.col("peak_sales_amount"),
     )
 
 

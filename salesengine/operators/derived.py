@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from salesengine.functions.exact import SUM_CENTS, cents, quotient, rounded
 from salesengine.functions.filters import CHANNELS, Filters
 from salesengine.functions.labels import month_index, month_label, product_label
-from salesengine.operators.filtered import in_trailing_year, product_months, product_totals
+from salesengine.operators.filtered import is_in_trailing_year, product_months, product_totals
 from salesengine.operators.unify import sales_in_cents, shown_products
 from salesengine.sources.star import SalesTables
 
@@ -142,40 +142,41 @@ def product_month_pivot(
     sales = sales_in_cents(t, f).join(
         F.broadcast(listed.select("product_key")), "product_key", "left_semi"
     )
-    monthly = product_months(sales, t, f).join(F.broadcast(listed), "product_key")
-    recent = F.row_number().over(
-        Window.partitionBy("product_key").orderBy(F.desc("year"), F.desc("month"))
-    )
     index = month_index(F.col("year"), F.col("month"))
-    months = (
-        in_trailing_year(monthly.where(F.col("place") == 1), f)
+    shown = (F.col("place") == 1) & F.col("in_year")
+    newest_first = Window.partitionBy("place").orderBy(F.desc("in_year"), F.desc("index"))
+    # How recent each month is for the leading product, on the rows of all.
+    recent = F.max(F.when(shown, F.col("age"))).over(Window.partitionBy("index"))
+    monthly = (
+        product_months(sales, t, f)
+        .join(F.broadcast(listed), "product_key")
+        .withColumn("in_year", is_in_trailing_year(f))
+        .withColumn("index", index)
+        .withColumn("age", F.row_number().over(newest_first))
         .withColumn("recent", recent)
-        .where(F.col("recent") <= PIVOT_MONTHS)
-        .select("recent", index.alias("index"), "year", "month")
+        .where(F.col("recent").between(1, PIVOT_MONTHS) | (F.col("place") > 1))
     )
-    figures = (
-        monthly.select("product_key", index.alias("index"), "total")
-        .join(F.broadcast(months.select("recent", "index")), "index")
-        .groupBy("product_key")
-        .pivot("recent", list(range(PIVOT_MONTHS, 0, -1)))
-        .agg(F.sum("total"))
+    label = F.when(shown, month_label(F.lit(None).cast("string"), F.col("year"), F.col("month")))
+    figures = monthly.groupBy("place", "product_key").agg(
+        F.array_join(F.array_sort(F.collect_list(label)), ",").alias("months"),
+        *[
+            F.sum(F.when(F.col("recent") == PIVOT_MONTHS + 1 - position, F.col("total"))).alias(
+                f"month_{position}"
+            )
+            for position in range(1, PIVOT_MONTHS + 1)
+        ],
     )
-    label = month_label(F.lit(None).cast("string"), F.col("year"), F.col("month"))
-    labels = months.agg(
-        F.array_join(F.array_sort(F.collect_list(label)), ",").alias("months")
-    ).scalar()
     return (
-        listed.join(t.side("product", shown_products(t)), "product_key")
-        .join(F.broadcast(figures), "product_key", "left")
+        figures.join(t.side("product", shown_products(t)), "product_key")
         .select(
             "place",
             "product_key",
             product_label(F.col("product_name"), F.col("product_key")).alias("product_name"),
             "product_line",
-            labels.alias("months"),
+            F.max("months").over(Window.partitionBy()).alias("months"),
             *[
-                F.coalesce(cents(F.col(str(recent_place))), F.lit(0.0)).alias(f"month_{position}")
-                for position, recent_place in enumerate(range(PIVOT_MONTHS, 0, -1), start=1)
+                F.coalesce(cents(F.col(f"month_{i}")), F.lit(0.0)).alias(f"month_{i}")
+                for i in range(1, PIVOT_MONTHS + 1)
             ],
         )
         .orderBy("place")

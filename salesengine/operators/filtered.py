@@ -161,23 +161,22 @@ def product_months(sales: DataFrame, t: SalesTables, f: Filters) -> DataFrame:
     return of_known_products(by_month, t, f)
 
 
-def in_trailing_year(months: DataFrame, f: Filters) -> DataFrame:
-    """The rows of product_months inside the window of their product.
+def is_in_trailing_year(f: Filters) -> Column:
+    """Whether a row of product_months lies inside the window of its product.
 
     The window is a whole number of months, so it is applied to monthly rows:
     each product's last sale comes from its own months (a bounded number), and
     the lines are never joined back to a per-product end date.
     """
-    last_sale = F.max("last_sale").over(Window.partitionBy("product_key"))
-    ended = months.withColumn("end", _window_end(last_sale, f))
-    age = month_index(F.year("end"), F.month("end")) - month_index(F.col("year"), F.col("month"))
-    return ended.where((F.col("lines") > 0) & age.between(0, WINDOW_MONTHS - 1)).drop("end")
+    end = _window_end(F.max("last_sale").over(Window.partitionBy("product_key")), f)
+    age = month_index(F.year(end), F.month(end)) - month_index(F.col("year"), F.col("month"))
+    return (F.col("lines") > 0) & age.between(0, WINDOW_MONTHS - 1)
 
 
 def product_monthly_panel(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:
     """product_monthly of every product, in one pass over the sales."""
     months = product_months(sales_in_cents(t, f), t, f)
-    return in_trailing_year(months, f).select(
+    return months.withColumn("in_year", is_in_trailing_year(f)).where("in_year").select(
         "product_key",
         "year",
         "month",

@@ -45,12 +45,18 @@ def star_views(spark: SparkSession, sf_dir: str) -> SalesTables:
     nation = _table(spark, sf_dir, "nation")
     region = _table(spark, sf_dir, "region")
 
-    lines = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).select(
-        "l_orderkey",
+    headers = orders.select(
+        F.col("o_orderkey").alias("l_orderkey"),
         _date_key(F.col("o_orderdate")).alias("OrderDateKey"),
-        (F.col("l_partkey") + 1).alias("ProductKey"),
         F.col("o_custkey").alias("CustomerKey"),
-        F.concat(F.lit("SO"), F.col("l_orderkey")).alias("SalesOrderNumber"),
+        F.concat(F.lit("SO"), F.col("o_orderkey")).alias("SalesOrderNumber"),
+    )
+    lines = lineitem.join(headers, "l_orderkey").select(
+        "l_orderkey",
+        "OrderDateKey",
+        (F.col("l_partkey") + 1).alias("ProductKey"),
+        "CustomerKey",
+        "SalesOrderNumber",
         F.col("l_extendedprice").cast("decimal(18,2)").alias("SalesAmount"),
     )
     by_reseller = F.col("l_orderkey") % RESELLER_EVERY == 0
