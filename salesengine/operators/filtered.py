@@ -100,18 +100,26 @@ def _window_end(last_sale: Column, f: Filters) -> Column:
     )
 
 
+def _last_sale(sales: DataFrame, t: SalesTables, f: Filters) -> Column:
+    """The latest date among the lines of known products, from keys alone.
+
+    With products too many to broadcast, only one row for each product is
+    shuffled to meet them.
+    """
+    latest = F.max("full_date").alias("full_date")
+    sales = dated(sales, t, [])
+    if not t.fits_broadcast("product", "product_key"):
+        sales = sales.groupBy("product_key").agg(latest)
+    return of_known_products(sales, t, f).agg(latest).scalar()
+
+
 def _trailing_year(sales: DataFrame, t: SalesTables, f: Filters) -> DataFrame:
     """Monthly sales of the twelve calendar months up to the end date.
 
-    The last sale is found first, from keys alone and with products matched
-    after aggregation; the main pass then only reads and shuffles lines inside
-    the window. The start date does not take part.
+    The last sale is found first; the main pass then only reads and shuffles
+    lines inside the window. The start date does not take part.
     """
-    last_by_product = (
-        dated(sales, t, []).groupBy("product_key").agg(F.max("full_date").alias("last_sale"))
-    )
-    last_sale = of_known_products(last_by_product, t, f).agg(F.max("last_sale").alias("d")).scalar()
-    end = _window_end(last_sale, f)
+    end = _window_end(_last_sale(sales, t, f), f)
     start = F.add_months(F.trunc(end, "MM"), 1 - WINDOW_MONTHS)
     inside = [F.col("full_date") >= start, F.col("full_date") <= end]
     return (

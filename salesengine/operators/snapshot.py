@@ -160,9 +160,10 @@ def by_place(sales: DataFrame, t: SalesTables, listed: DataFrame) -> DataFrame:
     place_of = customers(t).join(
         t.side("geography", listed.select("geography_key", "place_key")), "geography_key"
     )
+    place_of = t.side("customer", place_of.drop("geography_key"), "customer_key", "place_key")
     names = listed.where(F.col("geography_key") == F.col("place_key")).drop("geography_key")
     return (
-        sales.join(t.side("customer", place_of.drop("geography_key")), "customer_key")
+        sales.join(place_of, "customer_key")
         .groupBy("place_key")
         .agg(
             F.coalesce(F.sum("sales_amount"), F.lit(0)).alias("total"),

@@ -110,7 +110,7 @@ def sales_wide(t: SalesTables) -> DataFrame:
     sending all of them through that join would put one NULL key on one task.
     """
     internet = internet_lines(t, LINE_EXACT).join(
-        t.side("customer", customer_places(t)), "customer_key", "left"
+        t.side("customer", customer_places(t), with_place=True), "customer_key", "left"
     )
     sales = internet.unionByName(reseller_lines(t, LINE_EXACT), allowMissingColumns=True)
     wide = sales.join(t.side("date", dates(t)), "order_date_key", "left").join(
@@ -140,7 +140,7 @@ def unified_sales_geo(t: SalesTables) -> DataFrame:
     """Lines in cents with the country of the customer, NULL for resellers."""
     countries = customer_places(t).select("customer_key", F.col("country").alias("country_region"))
     internet = internet_lines(t, LINE_CENTS).join(
-        t.side("customer", countries), "customer_key", "left"
+        t.side("customer", countries, with_place=True), "customer_key", "left"
     )
     return internet.unionByName(reseller_lines(t, LINE_CENTS), allowMissingColumns=True)
 
@@ -162,6 +162,12 @@ def dated(sales: DataFrame, t: SalesTables, tests: list[Column]) -> DataFrame:
     return sales.join(t.side("date", where_all(dates(t), tests)), "order_date_key")
 
 
+def product_keys(t: SalesTables, f: Filters) -> DataFrame:
+    """Keys of the products that pass the product filter, 8 bytes each."""
+    keys = where_all(products(t), f.on_products()).select("product_key")
+    return t.side("product", keys, "product_key")
+
+
 def of_known_products(rows: DataFrame, t: SalesTables, f: Filters) -> DataFrame:
     """Rows whose product exists and passes the product filter.
 
@@ -170,8 +176,7 @@ def of_known_products(rows: DataFrame, t: SalesTables, f: Filters) -> DataFrame:
     product_key in some uses of it and not in others, and the aggregation would
     then run twice instead of being reused.
     """
-    keys = where_all(products(t), f.on_products()).select("product_key")
-    return rows.join(t.side("product", keys), "product_key")
+    return rows.join(product_keys(t, f), "product_key")
 
 
 def filtered_sales(t: SalesTables, f: Filters = Filters()) -> DataFrame:

@@ -89,29 +89,33 @@ class SalesTables:
     sizes: dict[str, DimensionSize] = field(default_factory=dict, compare=False)
     broadcast_bytes: int = BROADCAST_BYTES
 
-    def fits_broadcast(self, name: str) -> bool:
-        """Whether the counted size of a dimension is within the bound.
+    def fits_broadcast(self, name: str, *numbers: str, with_place: bool = False) -> bool:
+        """Whether what a join needs of a dimension is within the bound.
 
-        Customers are joined with the names of their places attached, so their
-        rows are counted with the widest place. An uncounted dimension does not
-        fit; Spark then picks the join from its own estimates.
+        The counted bytes of whole rows, or 8 for each column if only the named
+        number columns are joined; with_place adds the widest place to every
+        row. An uncounted dimension does not fit: Spark then picks the join from
+        its own estimates.
         """
         size = self.sizes.get(name)
         if size is None:
             return False
-        total = size.bytes
-        if name == "customer":
+        total = 8 * len(numbers) * size.rows if numbers else size.bytes
+        if with_place:
             if "geography" not in self.sizes:
                 return False
             total += size.rows * self.sizes["geography"].widest_row
         return total <= self.broadcast_bytes
 
-    def side(self, name: str, df: DataFrame) -> DataFrame:
+    def side(
+        self, name: str, df: DataFrame, *numbers: str, with_place: bool = False
+    ) -> DataFrame:
         """A join side made from one dimension, broadcast if that was counted small.
 
         Beyond the bound the join shuffles, and AQE splits skewed keys.
         """
-        return F.broadcast(df) if self.fits_broadcast(name) else df
+        fits = self.fits_broadcast(name, *numbers, with_place=with_place)
+        return F.broadcast(df) if fits else df
 
 
 def check_contract(tables: SalesTables) -> None:

@@ -47,7 +47,8 @@ METRICS = {
     "geo": snapshot.geo,
     "live_kpis": filtered.kpis,
     "live_kpis_country": lambda t: filtered.kpis(t, F2),
-    "live_trend": lambda t: filtered.trend(t, F2),
+    "live_trend": filtered.trend,
+    "live_trend_country": lambda t: filtered.trend(t, F2),
     "live_top": lambda t: filtered.top_products(t, F2, 50),
     "live_geo": lambda t: filtered.geo(t, F2),
     "panel": lambda t: filtered.product_monthly_panel(t, F2).orderBy("product_key", "year", "month"),
@@ -74,10 +75,16 @@ def test_dimensions_beyond_the_bound_are_not_broadcast(spark):
     assert t.fits_broadcast("product") and t.fits_broadcast("customer")
     size = t.sizes["product"].bytes
     assert replace(t, broadcast_bytes=size).fits_broadcast("product")
-    assert not replace(t, broadcast_bytes=size - 1).fits_broadcast("product")
+    tight = replace(t, broadcast_bytes=size - 1)
+    assert not tight.fits_broadcast("product")
+    # Keys alone need less than whole rows.
+    assert tight.fits_broadcast("product", "product_key")
+    assert not replace(t, broadcast_bytes=8 * t.sizes["product"].rows - 1).fits_broadcast(
+        "product", "product_key"
+    )
     # Customers carry their place: their own size alone does not decide.
-    own = t.sizes["customer"].bytes
-    assert not replace(t, broadcast_bytes=own).fits_broadcast("customer")
+    own = replace(t, broadcast_bytes=t.sizes["customer"].bytes)
+    assert own.fits_broadcast("customer") and not own.fits_broadcast("customer", with_place=True)
     assert not replace(t, sizes={}).fits_broadcast("date")
     with settings(spark, **NOTHING_BROADCAST):
         joined = explained(unify.sales_wide(replace(t, broadcast_bytes=0)))
