@@ -18,6 +18,7 @@ from salesengine.operators.unify import (
     places,
     sales_in_cents,
     shown_products,
+    side_by_side,
 )
 from salesengine.sources.star import SalesTables
 
@@ -75,19 +76,17 @@ def kpis(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:
     the lines themselves are only read for the two distinct counts.
     """
     totals = product_totals(t, f)
-    hot = _hot(totals).agg(F.count("*").alias("n")).scalar()
-    return (
-        filtered_sales(t, f)
-        .agg(
-            F.count_distinct("sales_order_number").alias("order_count"),
-            F.count_distinct("customer_key").alias("customer_count"),
-        )
-        .select(
-            cents(_all_products(totals).getField("sales")).alias("total_sales"),
-            "order_count",
-            "customer_count",
-            hot.alias("hot_product_count"),
-        )
+    lines = filtered_sales(t, f).agg(
+        F.count_distinct("sales_order_number").alias("order_count"),
+        F.count_distinct("customer_key").alias("customer_count"),
+    )
+    amounts = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
+    hot = _hot(totals).agg(F.count("*").alias("hot_product_count"))
+    return side_by_side(lines, amounts, hot).select(
+        cents(F.col("total")).alias("total_sales"),
+        "order_count",
+        "customer_count",
+        "hot_product_count",
     )
 
 

@@ -7,6 +7,8 @@ rounds each amount to cents.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,3 +192,12 @@ def filtered_sales_geo(t: SalesTables, f: Filters = Filters()) -> DataFrame:
     unified = unified_sales_geo(t)
     sales = dated(where_all(unified, f.on_sales()), t, f.on_dates())
     return of_known_products(sales, t, f).select(unified.columns)
+
+
+def side_by_side(*figures: DataFrame) -> DataFrame:
+    """One row from several frames of one row and different columns.
+
+    The frames are branches of a union, so Spark computes them at the same time.
+    """
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), figures)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])

@@ -13,6 +13,7 @@ from salesengine.functions.filters import Filters
 from salesengine.operators import catalog, derived, filtered, snapshot, unify
 from salesengine.plans import job, oracle
 from salesengine.sources import results
+from salesengine.sources.scratch import scratch_folder
 from salesengine.sources.star import SalesTables
 from salesengine.sources.testcatalog import catalog_state, changes
 from salesengine.sources.testmap import load_star
@@ -249,7 +250,7 @@ def _published(
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = load_star(spark, sf_dir)
-        folder = results.scratch_folder(spark)
+        folder = scratch_folder(spark)
         job.publish_snapshot(spark, t, folder)
         return read(spark, t, folder)
 
@@ -286,7 +287,7 @@ def _result_queries() -> dict[str, Query]:
         ),
         "read_or_compute_live": Query(
             lambda spark, sf_dir: job.read_or_compute(
-                spark, load_star(spark, sf_dir), results.scratch_folder(spark), "channels", f1
+                spark, load_star(spark, sf_dir), scratch_folder(spark), "channels", f1
             ),
             oracle.served_live(f1),
         ),

@@ -6,8 +6,6 @@ generated_at on every row.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -37,20 +35,6 @@ SCHEMAS = {
 ENVELOPE = "source string, generated_at string"
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder name in the folder all executors share.
-
-    The cluster names that folder in spark.checkpoint.dir. Only a session that
-    runs on one machine may go without it.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="salesengine-")
-    return f"{shared.rstrip('/')}/results-{uuid.uuid4().hex}"
-
-
 def _now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 

@@ -8,6 +8,7 @@ from salesengine.operators import filtered, snapshot
 from salesengine.plans import job
 from salesengine.sources import results
 from salesengine.sources.jdbc import Connection, Slices
+from salesengine.sources.scratch import scratch_folder
 from salesengine.sources.testcatalog import catalog_state
 from salesengine.sources.testmap import load_star
 
@@ -19,7 +20,7 @@ def t(spark):
 
 @pytest.fixture(scope="module", params=["parquet", "json"])
 def published(request, spark, t):
-    folder = results.scratch_folder(spark)
+    folder = scratch_folder(spark)
     job.publish_snapshot(spark, t, folder, request.param)
     return folder, request.param
 
@@ -67,7 +68,7 @@ def test_report_context(spark, published):
 
 
 def test_missing_modules(spark, t):
-    folder = results.scratch_folder(spark)
+    folder = scratch_folder(spark)
     assert {r["status"] for r in rows(results.completeness(spark, folder))} == {"missing"}
     marker = {"status": "spark_result_missing", "items": []}
     nothing = json.loads(rows(results.report_context(spark, folder))[0]["context"])
@@ -81,7 +82,7 @@ def test_missing_modules(spark, t):
 
 
 def test_envelope_is_kept(spark, t):
-    folder = results.scratch_folder(spark)
+    folder = scratch_folder(spark)
     module = snapshot.kpis(t).selectExpr("*", "'elsewhere' AS source", "'then' AS generated_at")
     results.publish(module, folder, "kpis")
     row = results.read_result(spark, folder, "kpis").first()
@@ -107,24 +108,24 @@ def test_published_only_without_filters(spark, t, published):
 
 @pytest.mark.parametrize("module", results.MODULES)
 def test_live_where_nothing_is_published(spark, t, module):
-    folder = results.scratch_folder(spark)
+    folder = scratch_folder(spark)
     found = rows(job.read_or_compute(spark, t, folder, module, state=catalog_state(t)))
     assert found and {r["source"] for r in found} == {"live"}
 
 
 def test_empty_published_module_is_served(spark, t):
-    folder = results.scratch_folder(spark)
+    folder = scratch_folder(spark)
     results.publish(snapshot.trend(t).where("false"), folder, "trend")
     assert rows(job.read_or_compute(spark, t, folder, "trend")) == []
 
 
 def test_unknown_module(spark, t):
     with pytest.raises(ValueError, match="unknown module"):
-        job.read_or_compute(spark, t, results.scratch_folder(spark), "profits")
+        job.read_or_compute(spark, t, scratch_folder(spark), "profits")
 
 
 def test_text(spark):
-    folder = results.scratch_folder(spark)
+    folder = scratch_folder(spark)
     text = "First line\nsecond line, é\n\nlast"
     results.write_text(spark, folder, "report", text)
     assert [r["value"] for r in rows(results.read_text(spark, folder, "report"))] == [text]
@@ -132,8 +133,8 @@ def test_text(spark):
 
 
 def test_scratch_folder_is_the_shared_one(spark):
-    assert results.scratch_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
-    assert results.scratch_folder(spark) != results.scratch_folder(spark)
+    assert scratch_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert scratch_folder(spark) != scratch_folder(spark)
 
 
 def test_invariants(t):
