@@ -144,7 +144,7 @@ def product_month_pivot(
     )
     index = month_index(F.col("year"), F.col("month"))
     shown = (F.col("place") == 1) & F.col("in_year")
-    newest_first = Window.partitionBy("place").orderBy(F.desc("in_year"), F.desc("index"))
+    newest_first = Window.partitionBy("product_key").orderBy(F.desc("in_year"), F.desc("index"))
     # How recent each month is for the leading product, on the rows of all.
     recent = F.max(F.when(shown, F.col("age"))).over(Window.partitionBy("index"))
     monthly = (

@@ -110,6 +110,11 @@ def _query(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
+CUSTOMER_PLACES = _query(
+    STAR,
+    """SELECT customer_key, country, state_province, city
+FROM dim_customer c LEFT JOIN dim_geography g ON c.geography_key = g.geography_key""",
+)
 UNIFIED_SALES = _query(
     SNAPSHOT,
     """SELECT sales_channel, order_date_key, product_key, customer_key, sales_order_number,

@@ -52,6 +52,7 @@ def _on_star(metric: Callable[[SalesTables], DataFrame]) -> Callable[[SparkSessi
 def _snapshot_queries() -> dict[str, Query]:
     return {
         "unified_sales": Query(_on_star(unify.unified_sales), oracle.UNIFIED_SALES),
+        "customer_places": Query(_on_star(unify.customer_places), oracle.CUSTOMER_PLACES),
         "sales_wide": Query(_on_star(unify.sales_wide), oracle.SALES_WIDE),
         "kpis_snapshot": Query(_on_star(snapshot.kpis), oracle.snapshot("kpis")),
         "trend_snapshot": Query(_on_star(snapshot.trend), oracle.snapshot("trend")),

@@ -3,11 +3,13 @@ import json
 import pytest
 from conftest import SMALL, rows
 
+from pyspark.sql import functions as F
+
 from salesengine.functions.filters import Filters
 from salesengine.operators import filtered, snapshot
 from salesengine.plans import job
 from salesengine.sources import results
-from salesengine.sources.jdbc import Connection, Slices
+from salesengine.sources.jdbc import Connection, Slices, month_slices
 from salesengine.sources.scratch import scratch_folder
 from salesengine.sources.testcatalog import catalog_state
 from salesengine.sources.testmap import load_star
@@ -170,3 +172,27 @@ def test_jdbc_settings(monkeypatch):
     assert Slices().options() == {}
     with pytest.raises(ValueError):
         Slices("ProductKey", 9, 1, 8).options()
+
+
+def test_month_slices_hold_every_row_once(spark, t):
+    slices = month_slices(t.date, "OrderDateKey")
+    assert len(slices.predicates) == 80
+    odd = spark.createDataFrame([(None,), (0,), (19991131,), (99999999,)], "OrderDateKey int")
+    keys = t.internet.select("OrderDateKey").unionByName(odd)
+    in_slices = keys.select(
+        sum(
+            (F.coalesce(F.expr(p), F.lit(False)).cast("int") for p in slices.predicates),
+            F.lit(0),
+        ).alias("n")
+    )
+    assert rows(in_slices.distinct()) == [{"n": 1}]
+
+
+def test_month_slices_of_a_short_calendar(star):
+    one = star(days=[20010105, 20010131]).date
+    assert month_slices(one, "OrderDateKey") == Slices()
+    two = star(days=[20010131, 20010203, 20010207]).date
+    assert month_slices(two, "OrderDateKey").predicates == (
+        "OrderDateKey < 20010203 OR OrderDateKey IS NULL",
+        "OrderDateKey >= 20010203",
+    )
