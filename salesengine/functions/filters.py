@@ -60,13 +60,13 @@ class Filters:
     def is_empty(self) -> bool:
         return self == Filters()
 
-    def on_dates(self) -> list[Column]:
-        tests = []
-        if self.start_date:
-            tests.append(F.col("full_date") >= F.lit(self.start_date))
-        if self.end_date:
-            tests.append(F.col("full_date") <= F.lit(self.end_date))
-        return tests
+    @property
+    def first_day(self) -> Column | None:
+        return None if self.start_date is None else F.lit(self.start_date)
+
+    @property
+    def last_day(self) -> Column | None:
+        return None if self.end_date is None else F.lit(self.end_date)
 
     def on_products(self) -> list[Column]:
         """'Unknown' selects the products without a line."""

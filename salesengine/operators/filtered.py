@@ -33,7 +33,7 @@ NO_FILTER = Filters()
 def product_totals(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:
     """Exact sales of each product; products are matched after the sum."""
     by_product = (
-        dated(sales_in_cents(t, f), t, f.on_dates())
+        dated(sales_in_cents(t, f), t, f.first_day, f.last_day)
         .groupBy("product_key")
         .agg(F.sum("sales_amount").alias("total"))
     )
@@ -106,7 +106,7 @@ def _last_sale(sales: DataFrame, t: SalesTables, f: Filters) -> Column:
     shuffled to meet them.
     """
     latest = F.max("full_date").alias("full_date")
-    sales = dated(sales, t, [])
+    sales = dated(sales, t)
     if not t.fits_broadcast("product", "product_key"):
         sales = sales.groupBy("product_key").agg(latest)
     return of_known_products(sales, t, f).agg(latest).scalar()
@@ -116,13 +116,13 @@ def _trailing_year(sales: DataFrame, t: SalesTables, f: Filters) -> DataFrame:
     """Monthly sales of the twelve calendar months up to the end date.
 
     The last sale is found first; the main pass then only reads and shuffles
-    lines inside the window. The start date does not take part.
+    lines inside the window. The start date does not take part. No line is
+    later than the last sale, so only an asked end date bounds them.
     """
     end = _window_end(_last_sale(sales, t, f), f)
-    start = F.add_months(F.trunc(end, "MM"), 1 - WINDOW_MONTHS)
-    inside = [F.col("full_date") >= start, F.col("full_date") <= end]
+    first_day = F.add_months(F.trunc(end, "MM"), 1 - WINDOW_MONTHS)
     return (
-        of_known_products(dated(sales, t, inside), t, f)
+        of_known_products(dated(sales, t, first_day, f.last_day), t, f)
         .groupBy("year", "month")
         .agg(
             F.sum("sales_amount").alias("total"),
@@ -156,7 +156,7 @@ def product_months(sales: DataFrame, t: SalesTables, f: Filters) -> DataFrame:
     """
     counted = F.lit(True) if f.end_date is None else F.col("full_date") <= F.lit(f.end_date)
     by_month = (
-        dated(sales, t, [])
+        dated(sales, t)
         .groupBy("product_key", "year", "month")
         .agg(
             F.sum(F.when(counted, F.col("sales_amount"))).alias("total"),
@@ -235,7 +235,7 @@ def top_products(t: SalesTables, f: Filters = NO_FILTER, limit: int = DEFAULT_TO
         product_totals(t, f).orderBy(F.desc("total"), "product_key").limit(check_limit(limit))
     )
     orders = (
-        dated(sales_in_cents(t, f), t, f.on_dates())
+        dated(sales_in_cents(t, f), t, f.first_day, f.last_day)
         .select("product_key", "sales_order_number")
         .join(F.broadcast(best.select("product_key")), "product_key", "left_semi")
         .groupBy("product_key")
@@ -263,7 +263,7 @@ def geo(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:
     Amounts are summed exactly and rounded after the sum.
     """
     country = [F.col("country") == F.lit(f.country)] if f.country else []
-    sales = dated(internet_lines(t, LINE_EXACT), t, f.on_dates())
+    sales = dated(internet_lines(t, LINE_EXACT), t, f.first_day, f.last_day)
     if f.channel == RESELLER:
         sales = sales.where(F.lit(False))
     found = by_place(of_known_products(sales, t, f), t, where_all(places(t), country))

@@ -159,9 +159,30 @@ def sales_in_cents(t: SalesTables, f: Filters) -> DataFrame:
     return where_all(sales, f.on_sales())
 
 
-def dated(sales: DataFrame, t: SalesTables, tests: list[Column]) -> DataFrame:
-    """Lines with a known date that passes the tests, with that date's columns."""
-    return sales.join(t.side("date", where_all(dates(t), tests)), "order_date_key")
+def dated(
+    sales: DataFrame, t: SalesTables, first_day: Column | None = None, last_day: Column | None = None
+) -> DataFrame:
+    """Lines with a known date between two days, with that date's columns.
+
+    The smallest date key from the first day on and the largest up to the last
+    one are also compared with the lines themselves: those are values the scan
+    can use to skip files and row groups (or partitions) of other dates, which a
+    join cannot do. Sorted limits find them, as a scan takes plain values only
+    and two aggregates would be merged into one structure.
+    """
+    calendar = dates(t)
+    key, day = F.col("order_date_key"), F.col("full_date")
+    bounds, tests = [], []
+    if first_day is not None:
+        tests.append(day >= first_day)
+        keys = calendar.where(tests[-1] & key.isNotNull()).select(key)
+        bounds.append(key >= keys.orderBy(key).limit(1).scalar())
+    if last_day is not None:
+        tests.append(day <= last_day)
+        keys = calendar.where(tests[-1] & key.isNotNull()).select(key)
+        bounds.append(key <= keys.orderBy(key.desc()).limit(1).scalar())
+    found = t.side("date", where_all(calendar, tests))
+    return where_all(sales, bounds).join(found, "order_date_key")
 
 
 def product_keys(t: SalesTables, f: Filters) -> DataFrame:
@@ -183,14 +204,14 @@ def of_known_products(rows: DataFrame, t: SalesTables, f: Filters) -> DataFrame:
 
 def filtered_sales(t: SalesTables, f: Filters = Filters()) -> DataFrame:
     """Lines that pass all filters and have a known date and product."""
-    sales = dated(sales_in_cents(t, f), t, f.on_dates())
+    sales = dated(sales_in_cents(t, f), t, f.first_day, f.last_day)
     return of_known_products(sales, t, f)
 
 
 def filtered_sales_geo(t: SalesTables, f: Filters = Filters()) -> DataFrame:
     """The same lines with the columns of unified_sales_geo."""
     unified = unified_sales_geo(t)
-    sales = dated(where_all(unified, f.on_sales()), t, f.on_dates())
+    sales = dated(where_all(unified, f.on_sales()), t, f.first_day, f.last_day)
     return of_known_products(sales, t, f).select(unified.columns)
 
 

@@ -13,6 +13,7 @@ from salesengine.functions.filters import Filters
 from salesengine.operators import catalog, derived, filtered, snapshot, unify
 from salesengine.plans import job
 from salesengine.session import TARGET_PARTITION_BYTES, shuffle_partitions
+from salesengine.sources.scratch import scratch_folder
 from salesengine.sources.star import SalesTables, checked
 from salesengine.sources.testcatalog import catalog_state, changes
 from salesengine.sources.testmap import load_star
@@ -91,6 +92,37 @@ def test_dimensions_beyond_the_bound_are_not_broadcast(spark):
         assert "BroadcastHashJoin" not in joined and "SortMergeJoin" in joined
 
 
+@pytest.fixture(scope="module")
+def stored_facts(spark):
+    """The small folder with its Internet fact as files of one date range each."""
+    t = load_star(spark, SMALL)
+    path = f"{scratch_folder(spark)}/internet"
+    t.internet.repartitionByRange(8, "OrderDateKey").write.parquet(path)
+    return replace(t, internet=spark.read.parquet(path))
+
+
+def test_date_filters_reach_the_scan_of_the_facts(spark, stored_facts):
+    f = Filters(start_date="2000-07-01", end_date="2000-12-31", channel="Internet")
+    for df in (filtered.product_sales(stored_facts, f), filtered.trend(stored_facts, f)):
+        with settings(spark, **{"spark.sql.maxMetadataStringLength": "2000"}):
+            plan = explained(df, "simple")
+        assert "GreaterThanOrEqual(OrderDateKey,ScalarSubquery" in plan
+        assert "LessThanOrEqual(OrderDateKey,ScalarSubquery" in plan
+    # Without an end date the window is still bounded from below.
+    with settings(spark, **{"spark.sql.maxMetadataStringLength": "2000"}):
+        open_ended = explained(filtered.trend(stored_facts, Filters(channel="Internet")), "simple")
+    assert "GreaterThanOrEqual(OrderDateKey,ScalarSubquery" in open_ended
+    assert "ScalarSubquery" not in explained(filtered.product_sales(stored_facts), "simple")
+
+
+@pytest.mark.parametrize("end", ["2000-12-31", "1990-01-01", "2030-01-01"])
+def test_stored_facts_give_the_same_results(spark, stored_facts, end):
+    t = load_star(spark, SMALL)
+    f = Filters(end_date=end, channel="Internet")
+    for metric in (filtered.kpis, filtered.trend, filtered.top_products):
+        assert rows(metric(stored_facts, f)) == rows(metric(t, f))
+
+
 LINES = 300_000
 
 
