@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesengine.llm import bpe, quality_rules, secret_scan, simhash, url_filter
+from salesengine.llm import bpe, mixing, quality_rules, secret_scan, simhash, url_filter
 from salesengine.llm.common import table
 from salesengine.llm.url_filter import Rule
 
@@ -142,11 +142,50 @@ def token_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+MIX_WEIGHTS = {"src0": 8, "src1": 4, "src2": 2}
+MIX_BLOCK = 8
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, MIX_WEIGHTS, other=1, block=MIX_BLOCK)
+
+
+_WEIGHT = " ".join(f"WHEN '{name}' THEN {weight}" for name, weight in MIX_WEIGHTS.items())
+OP9_SQL = f"""
+WITH RECURSIVE sources AS (
+  SELECT source, CASE source {_WEIGHT} ELSE 1 END AS weight, row_number() OVER (ORDER BY source NULLS FIRST) AS i
+  FROM (SELECT DISTINCT source FROM documents)
+), given AS (
+  SELECT list(weight ORDER BY i) AS w, sum(weight)::BIGINT AS slots, count(*) AS n FROM sources
+), period AS (
+  SELECT -1::BIGINT AS slot, NULL::BIGINT AS i, NULL::BIGINT AS turn, list_transform(w, lambda x: 0::BIGINT) AS done FROM given
+  UNION ALL
+  SELECT slot, i, done[i], list_transform(range(1, n + 1), lambda j: done[j] + (j = i)::BIGINT)
+  FROM (
+    SELECT slot + 1 AS slot, done, n, list_min(list_filter(list_transform(range(1, n + 1),
+      lambda j: CASE WHEN done[j] * slots // w[j] <= slot + 1
+           THEN {{'deadline': ((done[j] + 1) * slots + w[j] - 1) // w[j], 'i': j}} END), lambda b: b IS NOT NULL)).i AS i
+    FROM period, given WHERE slot + 1 < slots
+  )
+), numbered AS (
+  SELECT doc_id, source,
+    row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS nr
+  FROM documents
+)
+SELECT doc_id, d.source, nr // {MIX_BLOCK} // weight * slots + slot AS slot,
+  (nr // {MIX_BLOCK} // weight * slots + slot) * {MIX_BLOCK} + nr % {MIX_BLOCK} AS position
+FROM numbered d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source
+JOIN period p ON p.i = s.i AND p.turn = nr // {MIX_BLOCK} % weight, given
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op5_bpe": op5_bpe,
+    "op9_mixing": op9_mixing,
 }
-ORACLES = {"op1_url_filter": OP1_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op9_mixing": OP9_SQL}
