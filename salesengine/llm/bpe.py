@@ -4,6 +4,9 @@ A text is cut where a hash of the 16 bytes before a place is small, so that text
 which share a passage share the chunks within it. Chunks are counted over all texts
 by a 128-bit hash. One that occurs twice or more is encoded once, where its first
 occurrence is, and its ids are sent to the others; the rest are encoded in place.
+Only texts with a shared chunk are shuffled, to meet its ids. Which these are, a
+bitmap of bounded size tells the tasks that read the texts; where it is too full, it
+sends some texts the longer way for nothing.
 
 A chunk's ids are those of the words that lie whole between its first and last white
 space. At a join the halves of the word that was cut are put together and encoded
@@ -14,8 +17,10 @@ to the whole text.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
+import struct
 import sys
 from collections.abc import Iterable, Iterator
 from types import ModuleType
@@ -23,11 +28,12 @@ from types import ModuleType
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from salesengine.llm.common import stored
+from salesengine.llm.common import slices, stored
 
 WINDOW = 16
 #: Chunks are of this many bytes on average and at least, and at most.
@@ -37,6 +43,8 @@ HASHED_AT_ONCE = 1 << 20
 #: Words a worker remembers before it starts anew.
 REMEMBERED = 600_000
 JOIN_BYTES = 64
+#: Size of the bitmap at most, as a power of two: 8 MB.
+MAX_BITS = 26
 WORD = re.compile(rb"[^ \t-\r]+")
 ENDINGS = (b",", b".")
 WORD_END = "</w>"
@@ -68,8 +76,35 @@ def cuts(data: bytes) -> list[int]:
     return out
 
 
-def chunk_hash(chunk: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(chunk)
+def chunk_hash(chunk: bytes) -> tuple[int, int]:
+    """128 bits as two signed numbers."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(chunk))
+
+
+class Bitmap:
+    """Two bits for each shared chunk; may name others, never misses one."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, 64 * len(words) - 1
+
+    def __contains__(self, chunk: tuple[int, int]) -> bool:
+        return all(int(self.words[(h & self.mask) >> 6]) >> (h & 63) & 1 for h in chunk)
+
+    @staticmethod
+    def of(shared: DataFrame) -> Bitmap:
+        bits = 1 << min(MAX_BITS, max(10, (16 * shared.count()).bit_length()))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
+        rows = (
+            shared.select(F.explode(F.array("h1", "h2")).alias("h"))
+            .select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("at"))
+            .groupBy(F.floor(F.col("at") / 64).alias("word"))
+            .agg(F.bit_or(bit).alias("bits"))
+            .collect()  # at most 2 ** MAX_BITS / 64 rows
+        )
+        words = np.zeros(bits // 64, np.int64)
+        for row in rows:
+            words[row.word] = row.bits
+        return Bitmap(words.view(np.uint64))
 
 
 class Encoder:
@@ -219,100 +254,130 @@ def encode(
 
     ``path`` is the tokenizer's file, which executors have at the same place. A null
     text is encoded like an empty one, to no ids. Null ids and repeated rows are kept;
-    other columns are not read. The texts are shuffled once, by a hash of id and text,
-    to meet the ids of their shared chunks.
+    other columns are not read.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.unhex(F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text), 256))
-    rows = docs.select(key.alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     vocabulary = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
     sent = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
+    def texts_of(part: pa.RecordBatch) -> list[bytes]:
+        return [(t or "").encode() for t in part.column("text").to_pylist()]
+
+    def keys_of(part: pa.RecordBatch, texts: list[bytes]) -> list[bytes]:
+        ids = part.column("doc_id").to_pylist()
+        return [hashlib.sha256(b"%d:" % i + t if i is not None else b":" + t).digest() for i, t in zip(ids, texts)]
+
+    def unpacked(part: pa.RecordBatch) -> list[bytes]:
+        opened = zstandard.ZstdDecompressor()
+        return [opened.decompress(data) for data in part.column("data").to_pylist()]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                keys, places, hashes = [], [], []
-                for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist()):
-                    data = text.encode()
-                    bounds = cuts(data)
-                    keys += [row] * (len(bounds) - 1)
-                    places += range(len(bounds) - 1)
-                    hashes += [chunk_hash(data[a:b]) for a, b in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array(hashes, pa.binary())],
-                    ["row", "place", "hash"],
-                )
+        for part in slices(batches, 512):
+            texts = texts_of(part)
+            keys, places, hashes = [], [], []
+            for row, data in zip(keys_of(part, texts), texts):
+                bounds = cuts(data)
+                keys += [row] * (len(bounds) - 1)
+                places += range(len(bounds) - 1)
+                hashes += [chunk_hash(data[a:b]) for a, b in zip(bounds, bounds[1:])]
+            columns = [pa.array([h[i] for h in hashes], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(places, pa.int32()), *columns],
+                ["row", "place", "h1", "h2"],
+            )
+
+    chunks = stored(source.mapInArrow(cut, "row binary, place int, h1 long, h2 long").distinct())
+    shared = stored(
+        chunks.groupBy("h1", "h2")
+        .agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("home"))
+        .where("n > 1")
+    )
+    bits = docs.sparkSession.sparkContext.broadcast(Bitmap.of(shared).words)
+
+    def shares(data: bytes) -> bool:
+        bounds, bitmap = cuts(data), Bitmap(bits.value)
+        return any(chunk_hash(data[a:b]) in bitmap for a, b in zip(bounds, bounds[1:]))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for part in slices(batches, 512):
+            texts = texts_of(part)
+            keep = pa.array([shares(t) for t in texts], pa.bool_())
+            keys, packed = keys_of(part, texts), [packer.compress(t) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), part.column("doc_id"), pa.array(packed, pa.binary())],
+                ["row", "doc_id", "data"],
+            ).filter(keep)
+
+    def encode_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_encoder(path)
+        for part in slices(batches, 256):
+            texts = texts_of(part)
+            alone = [not shares(t) for t in texts]
+            ids = encode_texts(encoder, [t for t, a in zip(texts, alone) if a], [{}] * sum(alone))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").filter(pa.array(alone, pa.bool_())), pa.array(ids, pa.binary())],
+                ["doc_id", "ids"],
+            )
 
     def encode_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                hashes, words = [], []
-                for text, homes in zip(part.column("text").to_pylist(), part.column("homes").to_pylist()):
-                    data = text.encode()
-                    bounds = cuts(data)
-                    for home in homes:
-                        hashes.append(home["hash"])
-                        words.append(core(data[bounds[home["place"]] : bounds[home["place"] + 1]]))
-                encoder.learn([ws for ws in words if ws])
-                ids = [
-                    None if ws is None else np.frombuffer(encoder.ids(ws), "<u4").astype(sent).tobytes()
-                    for ws in words
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes, pa.binary()), pa.array(ids, pa.binary())], ["of", "ids"]
-                )
+        for part in slices(batches, 512):
+            hashes, words = [], []
+            for data, homes in zip(unpacked(part), part.column("homes").to_pylist()):
+                bounds = cuts(data)
+                for home in homes:
+                    hashes.append((home["h1"], home["h2"]))
+                    words.append(core(data[bounds[home["place"]] : bounds[home["place"] + 1]]))
+            encoder.learn([ws for ws in words if ws])
+            ids = [
+                None if ws is None else np.frombuffer(encoder.ids(ws), "<u4").astype(sent).tobytes()
+                for ws in words
+            ]
+            columns = [pa.array([h[i] for h in hashes], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], ["h1", "h2", "ids"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                known = [
-                    {c["place"]: np.frombuffer(c["ids"], sent).astype("<u4").tobytes() for c in chunks or ()}
-                    for chunks in part.column("chunks").to_pylist()
-                ]
-                texts = [t.encode() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("copies"), pa.array(encode_texts(encoder, texts, known), pa.binary())],
-                    ["doc_id", "copies", "ids"],
-                )
-
-    chunks = stored(
-        rows.select("row", "text").mapInArrow(cut, "row binary, place int, hash binary").distinct()
-    )
-    shared = (
-        chunks.groupBy("hash")
-        .agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("home"))
-        .where("n > 1")
-    )
+        for part in slices(batches, 256):
+            known = [
+                {c["place"]: np.frombuffer(c["ids"], sent).astype("<u4").tobytes() for c in chunks or ()}
+                for chunks in part.column("chunks").to_pylist()
+            ]
+            ids = encode_texts(encoder, unpacked(part), known)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("copies"), pa.array(ids, pa.binary())],
+                ["doc_id", "copies", "ids"],
+            )
+
     homes = shared.groupBy(F.col("home.row").alias("at")).agg(
-        F.collect_list(F.struct("hash", "home.place")).alias("homes")
+        F.collect_list(F.struct("h1", "h2", "home.place")).alias("homes")
     )
-    whole = rows.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")
+    whole = (
+        source.mapInArrow(pack, "row binary, doc_id long, data binary")
+        .groupBy("row")
+        .agg(F.first("doc_id").alias("doc_id"), F.first("data").alias("data"), F.count("*").alias("copies"))
     )
     once = (
         whole.join(homes, F.col("row") == F.col("at"))
-        .select("text", "homes")
-        .mapInArrow(encode_shared, "of binary, ids binary")
+        .select("data", "homes")
+        .mapInArrow(encode_shared, "h1 long, h2 long, ids binary")
         .where("ids IS NOT NULL")
     )
     sent_to = (
-        chunks.join(once, F.col("hash") == F.col("of"))
+        chunks.join(once, ["h1", "h2"])
         .groupBy(F.col("row").alias("to"))
         .agg(F.collect_list(F.struct("place", "ids")).alias("chunks"))
     )
     encoded = (
         whole.join(sent_to, F.col("row") == F.col("to"), "left")
-        .select("doc_id", "copies", "text", "chunks")
+        .select("doc_id", "copies", "data", "chunks")
         .mapInArrow(assemble, "doc_id long, copies long, ids binary")
     )
-    return encoded.select(
+    together = encoded.select(
         "doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")
     ).drop("copy")
+    return together.unionByName(source.mapInArrow(encode_alone, "doc_id long, ids binary"))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -328,15 +393,13 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str =
             raise ValueError("the tokenizer has a decoder of its own")
         size = tokenizer.get_vocab_size(with_added_tokens=True)
         tokens = [tokenizer.id_to_token(i) or "" for i in range(size)]
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = [
-                    None if ids is None else " ".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                    for ids in part.column(ids_col).to_pylist()
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col]
-                )
+        for part in slices(batches, 256):
+            texts = [
+                None if ids is None else " ".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+                for ids in part.column(ids_col).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col]
+            )
 
     return encoded.drop(text_col).mapInArrow(run, schema)

@@ -51,11 +51,15 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def text_batches(
     batches: Iterator[pa.RecordBatch], column: str, rows: int = 512
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Small slices of the batches with the texts of one column; null texts are empty."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            part = batch.slice(start, rows)
-            yield part, [t or "" for t in part.column(column).to_pylist()]
+    for part in slices(batches, rows):
+        yield part, [t or "" for t in part.column(column).to_pylist()]

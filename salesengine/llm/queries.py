@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesengine.llm import bpe, mixing, quality_rules, secret_scan, simhash, url_filter
+from salesengine.llm import bpe, mixing, quality_rules, secret_scan, simhash, toxicity, url_filter
 from salesengine.llm.common import table
 from salesengine.llm.url_filter import Rule
 
@@ -142,6 +142,24 @@ def token_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a null id count as held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~held_out(F.col("doc_id"))))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "spans",
+    )
+
+
+def held_out(doc_id: Column) -> Column:
+    text = F.coalesce(doc_id.cast("string"), F.lit(""))
+    return F.crc32(text.cast("binary")) % 5 == 0
+
+
 MIX_WEIGHTS = {"src0": 8, "src1": 4, "src2": 2}
 MIX_BLOCK = 8
 
@@ -186,6 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op5_bpe": op5_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
 }
 ORACLES = {"op1_url_filter": OP1_SQL, "op9_mixing": OP9_SQL}
