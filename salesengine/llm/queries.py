@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesengine.llm import bpe, mixing, quality_rules, secret_scan, simhash, toxicity, url_filter
+from salesengine.llm import bpe, graph_ann, mixing, quality_rules, secret_scan, simhash, toxicity, url_filter
 from salesengine.llm.common import table
 from salesengine.llm.url_filter import Rule
 
@@ -198,6 +198,11 @@ JOIN period p ON p.i = s.i AND p.turn = nr // {MIX_BLOCK} % weight, given
 """
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graph_ann.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
@@ -206,5 +211,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
+    "op10_nearest": op10_nearest,
 }
 ORACLES = {"op1_url_filter": OP1_SQL, "op9_mixing": OP9_SQL}
