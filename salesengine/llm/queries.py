@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesengine.llm import bpe, graph_ann, mixing, quality_rules, secret_scan, simhash, toxicity, url_filter
+from salesengine.llm import bpe, graph_ann, mixing, quality_rules, secret_scan, simhash, tool_calls, toxicity, url_filter
 from salesengine.llm.common import table
+from salesengine.llm.tool_calls import Parameter
 from salesengine.llm.url_filter import Rule
 
 URL_RULES = (
@@ -142,6 +143,79 @@ def token_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+CALL_SCHEMAS = {
+    "reply": {
+        "n_words": Parameter("integer", minimum=1, maximum=40),
+        "prompt": Parameter("string"),
+        "style": Parameter("string", required=False, allowed=("short", "long")),
+    }
+}
+
+
+def conversation_events(turns: DataFrame) -> DataFrame:
+    """Turns as events: a user's is a call to reply, the assistant's next to it the result.
+
+    A call follows the answer before it. Other roles are messages.
+    """
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+
+    def number(back: int) -> Column:
+        return F.concat(F.lit("c"), (F.col("turn") - back).cast("string"))
+
+    words = F.size(F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""))
+    arguments = F.to_json(F.struct(F.when(F.col("text").isNotNull(), words).alias("n_words"), F.col("text").alias("prompt")))
+    return turns.select(
+        "conv_id",
+        "turn",
+        F.when(user, "call").when(assistant, "result").otherwise("message").alias("kind"),
+        F.when(assistant, "tool").otherwise(F.col("role")).alias("role"),
+        F.when(user, number(0)).when(assistant, number(1)).alias("call_id"),
+        F.when(user, "reply").alias("name"),
+        F.when(user, arguments).alias("arguments"),
+        F.when(user, number(2)).alias("follows"),
+        F.when(~user | user.isNull(), F.col("text")).alias("content"),
+    )
+
+
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(conversation_events(table(spark, sf_dir, "conversations")), CALL_SCHEMAS)
+
+
+OP6_SQL = """
+WITH RECURSIVE events AS (
+  SELECT conv_id, turn, text, role,
+    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS call
+  FROM conversations
+), nodes AS (
+  SELECT DISTINCT conv_id, kind, call FROM events WHERE call IS NOT NULL
+), parents AS (
+  SELECT n.conv_id, n.kind, n.call, p.kind AS p_kind, p.call AS p_call
+  FROM nodes n LEFT JOIN nodes p ON p.conv_id = n.conv_id
+    AND p.kind <> n.kind AND p.call = CASE n.kind WHEN 'call' THEN n.call - 2 ELSE n.call END
+), placed AS (
+  SELECT conv_id, kind, call, 0 AS level FROM parents WHERE p_kind IS NULL
+  UNION ALL
+  SELECT c.conv_id, c.kind, c.call, p.level + 1 FROM parents c JOIN placed p
+    ON c.conv_id = p.conv_id AND c.p_kind = p.kind AND c.p_call = p.call
+), counted AS (
+  SELECT *, len(list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), lambda w: w <> '')) AS n_words FROM events
+)
+SELECT e.conv_id, e.turn, e.kind, 'c' || e.call AS call_id, o.call IS NOT NULL AS linked,
+  CASE WHEN e.kind = 'call' THEN coalesce(n_words BETWEEN 1 AND 40, FALSE) END AS valid,
+  CASE WHEN e.call IS NULL THEN 0 ELSE p.level END AS level,
+  CASE e.kind
+    WHEN 'call' THEN json_object('role', e.role, 'tool_call',
+      json_object('arguments', json_object('n_words', n_words, 'prompt', e.text), 'id', 'c' || e.call, 'name', 'reply'))
+    WHEN 'result' THEN json_object('content', e.text, 'id', 'c' || e.call, 'role', 'tool')
+    ELSE json_object('content', e.text, 'role', e.role)
+  END::VARCHAR AS json
+FROM counted e
+LEFT JOIN nodes o ON o.conv_id = e.conv_id AND o.call = e.call AND o.kind <> e.kind
+LEFT JOIN placed p ON p.conv_id = e.conv_id AND p.call = e.call AND p.kind = e.kind
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a null id count as held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -209,8 +283,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op5_bpe": op5_bpe,
+    "op6_tool_calls": op6_tool_calls,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_nearest": op10_nearest,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op6_tool_calls": OP6_SQL, "op9_mixing": OP9_SQL}
