@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesengine.llm import bpe, graph_ann, mixing, quality_rules, secret_scan, simhash, tool_calls, toxicity, url_filter
+from salesengine.llm import bpe, graph_ann, mixing, quality_model, quality_rules, secret_scan, simhash, tool_calls, toxicity, url_filter
 from salesengine.llm.common import table
 from salesengine.llm.tool_calls import Parameter
 from salesengine.llm.url_filter import Rule
@@ -216,6 +216,11 @@ LEFT JOIN placed p ON p.conv_id = e.conv_id AND p.call = e.call AND p.kind = e.k
 """
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, *quality_model.train(docs))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a null id count as held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -284,6 +289,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_bpe": op5_bpe,
     "op6_tool_calls": op6_tool_calls,
+    "op7_quality_model": op7_quality_model,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_nearest": op10_nearest,
