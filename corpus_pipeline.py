@@ -32,7 +32,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are brought into the order of the mix: files hold them as they are to be read."""
-    return mixing.in_order(mixing.mix(docs, MIX_WEIGHTS, other=1, block=MIX_BLOCK))
+    return mixing.in_order(docs, MIX_WEIGHTS, other=1, block=MIX_BLOCK)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,6 +81,8 @@ def mix(
     block: int = 8,
     id_col: str = "doc_id",
     source_col: str = "source",
+    slot_col: str = "slot",
+    position_col: str = "position",
 ) -> DataFrame:
     """``docs`` with slot and position, the order in which to read them.
 
@@ -89,11 +91,11 @@ def mix(
     there are. A source's documents are taken in order of the MD5 of their ids, a null
     id as an empty one, ``block`` to a slot. Every row is kept, repeats too. Where a
     source has run out, its slots stay empty and positions skip them. Columns of
-    ``docs`` named slot or position are replaced.
+    ``docs`` named like the added ones are replaced.
     """
     if min([other, block, *weights.values()]) < 1:
         raise ValueError("weights and the block are 1 or more")
-    docs = docs.drop("slot", "position")
+    docs = docs.drop(slot_col, position_col)
     counted = docs.groupBy(F.col(source_col).alias("source")).count()
     given = F.lit(other).cast("long")
     for name, weight in weights.items():
@@ -138,12 +140,14 @@ def mix(
     in_slot = F.floor(number / F.col(weight)) * F.col(slots) + F.col(slot)
     return placed.select(
         *docs.columns,
-        in_slot.alias("slot"),
-        (in_slot * block + F.pmod(F.col(at), F.lit(block))).alias("position"),
+        in_slot.alias(slot_col),
+        (in_slot * block + F.pmod(F.col(at), F.lit(block))).alias(position_col),
     )
 
 
-def in_order(mixed: DataFrame) -> DataFrame:
-    """The mixed documents dealt and sorted so that files hold them in order; without the added columns."""
-    dealt = mixed.repartitionByRange("position").sortWithinPartitions("position")
-    return dealt.drop("slot", "position")
+def in_order(docs: DataFrame, weights: Mapping[str, int], **options) -> DataFrame:
+    """The documents dealt and sorted so that files hold them in the order of ``mix``."""
+    slot, position = unused(docs, "slot"), unused(docs, "position")
+    mixed = mix(docs, weights, slot_col=slot, position_col=position, **options)
+    dealt = mixed.repartitionByRange(position).sortWithinPartitions(position)
+    return dealt.drop(slot, position)

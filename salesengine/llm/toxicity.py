@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +35,8 @@ BUCKETS = 1 << 17
 FORM_BYTES, PREFIXES = 32, (3, 4, 5, 6, 7, 8)
 #: A chain ends with a sentence, or after this many words.
 LONGEST_CHAIN = 64
+#: Smaller chances to be toxic count as none, else a long text gathers them.
+SLIGHT = 0.1
 #: Words a task remembers before it starts anew.
 REMEMBERED = 400_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -50,10 +53,11 @@ class Settings:
     toxic: int = 2_000
     clean: int = 4_000
     chars: int = 10_000
-    least_documents: int = 3
     least_odds: float = 30.0
+    least_evidence: float = 6.5
     words: int = 400_000
     epochs: int = 8
+    least_steps: int = 400
     seed: int = 11
 
 
@@ -157,26 +161,40 @@ def marginals(
 
 
 def summary(chances: np.ndarray) -> np.ndarray:
-    """What the score of a document is made of; all zero for one without a word."""
-    if not len(chances):
+    """What the score of a document is made of: its words with more than a slight chance."""
+    if not len(chances) or chances.max() < SLIGHT:
         return np.zeros(4)
+    words, chances = len(chances), chances[chances >= SLIGHT]
     hits = float(chances.sum())
     none = -float(np.log1p(-np.minimum(chances, 1 - 1e-9)).sum())
-    return np.array([chances.max(), math.log1p(hits), hits / len(chances), min(none, 20.0)])
+    return np.array([chances.max(), math.log1p(hits), hits / words, min(none, 20.0)])
 
 
 def word_labels(texts: list[list[bytes]], toxic: list[int], settings: Settings) -> set[bytes]:
-    """Forms and first letters that tell toxic documents from clean ones."""
-    counts = (Counter(), Counter())
+    """Forms and first letters that tell toxic documents from clean ones.
+
+    They are at least ``least_odds`` times as frequent in toxic ones, by more than
+    chance would make them: ``least_evidence`` is the log likelihood ratio. A near
+    copy of a document, which shares one of its smallest hashes, does not count again.
+    """
+    counts, n, seen = (Counter(), Counter()), [0, 0], [set(), set(), set(), set()]
     for words, label in zip(texts, toxic):
-        counts[label].update({k for w in set(words) for k in association_keys(w)})
-    n = [max(1, toxic.count(label)) for label in (0, 1)]
-    return {
-        key
-        for key, found in counts[1].items()
-        if found >= settings.least_documents
-        and (found / n[1]) >= settings.least_odds * (counts[0][key] + 0.02) / n[0]
-    }
+        pairs = np.array([zlib.crc32(a + b" " + b) for a, b in zip(words, words[1:])] or [len(words)], np.uint64)
+        least = [int((pairs * f >> np.uint64(20)).min()) for f in FACTORS]
+        copy = any(m in s for m, s in zip(least, seen))
+        for m, s in zip(least, seen):
+            s.add(m)
+        if not copy:
+            n[label] += 1
+            counts[label].update({k for w in set(words) for k in association_keys(w)})
+    share = n[1] / max(1, sum(n))
+
+    def tells(t: int, c: int) -> bool:
+        evidence = t * math.log(t / ((t + c) * share)) + (c and c * math.log(c / ((t + c) * (1 - share))))
+        odds = (t / n[1]) / ((c + 0.02) / max(1, n[0]))
+        return evidence >= settings.least_evidence and odds >= settings.least_odds
+
+    return {key for key, t in counts[1].items() if tells(t, counts[0][key])}
 
 
 def fit(texts: list[str], toxic: list[int], settings: Settings) -> Model:
@@ -195,7 +213,9 @@ def fit(texts: list[str], toxic: list[int], settings: Settings) -> Model:
         if len(words) >= settings.words:
             break
     model = Model(np.zeros(BUCKETS), np.zeros(2), np.zeros((2, 2)), np.array([-3.0, 3, 1, 1, 0.5]))
-    if words:
+    if not any(marks):  # nothing to learn from: every word is clean
+        model.moves[:, 1] = model.start[1] = -10
+    else:
         _fit_field(model, words, np.array(marks, float), np.array(lengths), settings, rng)
     held = [i for i in range(len(split)) if i % 4 == 0]
     if 0 < sum(toxic[i] for i in held) < len(held):
@@ -212,7 +232,8 @@ def _fit_field(
     buckets = features(distinct.tolist())[number]
     firsts = np.cumsum(lengths) - lengths
     squares, move_squares, decay = np.full(BUCKETS, 1e-2), np.full((2, 2), 1e-1), 1e-4
-    for _ in range(settings.epochs):
+    epochs = max(settings.epochs, settings.least_steps // (1 + len(lengths) // 512))
+    for _ in range(epochs):
         order = rng.permutation(len(lengths))
         for at in range(0, len(order), 512):
             batch = order[at : at + 512]
