@@ -41,7 +41,7 @@ MEAN, LEAST, MOST = 1_024, 256, 16_384
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 HASHED_AT_ONCE = 1 << 20
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 350_000
 JOIN_BYTES = 64
 #: Size of the bitmap at most, as a power of two: 8 MB.
 MAX_BITS = 26
