@@ -7,6 +7,7 @@ rounded ones. Amounts are compared as decimals, so a bound is met exactly.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
@@ -24,6 +25,7 @@ class AlertThresholds:
     sales_drop: Decimal = Decimal("0.85")
     top_product_share: float = 0.18
     channel_share: float = 0.75
+    region_sales: Decimal = Decimal("0")
     volatility: Decimal = Decimal("0.65")
     watched_products: int = 2
 
@@ -82,10 +84,12 @@ def sales_drop(trend: DataFrame, limits: AlertThresholds = DEFAULT) -> DataFrame
         1,
         "high",
         "sales_drop",
-        "Sudden drop in sales",
+        "Latest month below its bound",
         F.concat(
             F.col("year_month"),
-            F.lit(" sold far less than the month before; check channel supply and key orders."),
+            F.lit(f" reached less than {limits.sales_drop} of the sales of "),
+            F.col("previous_year_month"),
+            F.lit("."),
         ),
         F.struct(_row(trend).alias("current"), _row(trend, "previous_").alias("previous")),
         F.col("sales_amount"),
@@ -104,8 +108,12 @@ def top_product_dependency(products: DataFrame, limits: AlertThresholds = DEFAUL
         2,
         "medium",
         "top_product_dependency",
-        "Dependency on the top product",
-        F.lit("The leading product carries much of the sales; check stock, price and substitutes."),
+        "One product above its share",
+        F.concat(
+            F.lit("Product "),
+            F.col("product_key").cast("string"),
+            F.lit(f" makes {limits.top_product_share} or more of all sales."),
+        ),
         _row(products),
         F.col("contribution_rate"),
         F.lit(limits.top_product_share),
@@ -123,10 +131,10 @@ def channel_imbalance(channels: DataFrame, limits: AlertThresholds = DEFAULT) ->
         3,
         "medium",
         "channel_imbalance",
-        "Sales concentrated in one channel",
+        "One channel above its share",
         F.concat(
             F.col("sales_channel"),
-            F.lit(" has a large share of sales; assess channel risk and lasting growth."),
+            F.lit(f" makes {limits.channel_share} or more of all sales."),
         ),
         _row(channels),
         F.col("sales_ratio"),
@@ -134,18 +142,22 @@ def channel_imbalance(channels: DataFrame, limits: AlertThresholds = DEFAULT) ->
     )
 
 
-def high_value_region(geo: DataFrame) -> DataFrame:
-    first = geo.orderBy(F.desc("sales_amount"), "country", "state_province", "city").limit(1)
+def high_value_region(geo: DataFrame, limits: AlertThresholds = DEFAULT) -> DataFrame:
+    first = (
+        geo.orderBy(F.desc("sales_amount"), "country", "state_province", "city")
+        .limit(1)
+        .where(_exact(F.col("sales_amount")) >= F.lit(limits.region_sales))
+    )
     place = F.coalesce(
-        F.nullif(F.col("country"), F.lit("")), F.nullif(F.col("city"), F.lit("")), F.lit("Key region")
+        F.nullif(F.col("country"), F.lit("")), F.nullif(F.col("city"), F.lit("")), F.lit("A place")
     )
     return _alert(
         first,
         4,
         "info",
         "high_value_region",
-        "High-value region found",
-        F.concat(place, F.lit(" leads in sales and can serve as a model for other regions.")),
+        "Place with most sales",
+        F.concat(place, F.lit(" is first by sales of all places listed.")),
         _row(geo),
         F.col("sales_amount"),
         F.lit(None),
@@ -153,41 +165,41 @@ def high_value_region(geo: DataFrame) -> DataFrame:
 
 
 def snapshot_alerts(
-    kpis: DataFrame,
+    kpis: Callable[[], DataFrame],
     trend: DataFrame,
     products: DataFrame,
     channels: DataFrame,
     geo: DataFrame,
     limits: AlertThresholds = DEFAULT,
 ) -> DataFrame:
-    """The alerts of the published modules; a stable notice if none fires."""
-    stable = _alert(
+    """The alerts of the published modules; a stable notice if none fires.
+
+    The rules are asked at once, four rows at most; the headline figures are only
+    computed if none of them fires.
+    """
+    rules = [
+        sales_drop(trend, limits),
+        top_product_dependency(products, limits),
+        channel_imbalance(channels, limits),
+        high_value_region(geo, limits),
+    ]
+    asked = reduce(DataFrame.unionByName, rules).orderBy("rule_order")
+    fired = asked.collect()
+    return asked.sparkSession.createDataFrame(fired, asked.schema) if fired else stable(kpis())
+
+
+def stable(kpis: DataFrame) -> DataFrame:
+    return _alert(
         kpis,
         5,
         "info",
         "stable_operation",
-        "Business is stable",
-        F.lit("No anomaly was found; keep watching trend, channels and key products."),
+        "No rule fired",
+        F.lit("All figures are within their bounds."),
         _row(kpis),
         F.col("total_sales"),
         F.lit(None),
     )
-    rules = [
-        sales_drop(trend, limits),
-        top_product_dependency(products, limits),
-        channel_imbalance(channels, limits),
-        high_value_region(geo),
-        stable,
-    ]
-    # At most five rows meet in this window.
-    fired = F.count_if(F.col("type") != "stable_operation").over(Window.partitionBy())
-    return (
-        reduce(DataFrame.unionByName, rules)
-        .withColumn("fired", fired)
-        .where((F.col("type") != "stable_operation") | (F.col("fired") == 0))
-        .drop("fired")
-        .orderBy("rule_order")
-    )
 
 
 def monthly_volatility(monthly: DataFrame, limits: AlertThresholds = DEFAULT) -> DataFrame:
@@ -209,12 +221,12 @@ def monthly_volatility(monthly: DataFrame, limits: AlertThresholds = DEFAULT) ->
         1,
         "high",
         "monthly_volatility",
-        "Monthly sales vary widely",
+        "Months far apart",
         F.concat(
             F.col("valley_year_month"),
-            F.lit(" sold far less than "),
+            F.lit(f" reached less than {limits.volatility} of the sales of "),
             F.col("peak_year_month"),
-            F.lit("; check orders, channel mix and key products."),
+            F.lit("."),
         ),
         F.struct(_row(monthly, "peak_").alias("peak"), _row(monthly, "valley_").alias("valley")),
         F.col("valley_sales_amount"),
@@ -235,10 +247,12 @@ def top_product_watch(products: DataFrame, limits: AlertThresholds = DEFAULT) ->
         F.col("place") + 1,
         "medium",
         "top_product_watch",
-        "Watch this best seller",
+        "Leading product",
         F.concat(
             product_label(F.col("product_name"), F.col("product_key")),
-            F.lit(" ranks near the top; watch stock, regional demand and channel supply."),
+            F.lit(" is number "),
+            F.col("place").cast("string"),
+            F.lit(" by sales."),
         ),
         _row(products),
         F.col("sales_amount"),

@@ -8,13 +8,15 @@ insert) and the six attributes. Every operation gives new DataFrames.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesengine.functions.labels import known, matches_name
+from salesengine.sources import versions
 from salesengine.sources.star import SalesTables
 
 ATTRIBUTES = ("product_name", "product_line", "color", "size", "list_price", "model_name")
@@ -42,8 +44,8 @@ CHANGE_SCHEMA = T.StructType(
 SEEDED_PRODUCTS = 30
 INSERT, UPDATE, DELETE = "insert", "update", "delete"
 
-# New keys are numbered within ranges of this many sequence numbers.
-NUMBERING_RANGE = 1_000_000
+# New keys are numbered within this many buckets of a batch, of about equal size.
+NUMBERING_BUCKETS = 256
 
 
 @dataclass(frozen=True)
@@ -56,8 +58,10 @@ def _new_figures() -> list[Column]:
     return [F.lit(0.0).alias("sales_amount"), F.lit(0).cast("bigint").alias("order_count")]
 
 
-def seed(t: SalesTables, catalog: DataFrame | None = None) -> DataFrame:
-    """The catalog as it is, or the newest products if it is empty."""
+def seed(
+    t: SalesTables, catalog: DataFrame | None = None, limit: int | None = SEEDED_PRODUCTS
+) -> DataFrame:
+    """The catalog as it is, or the newest products, all for no limit, if it is empty."""
     newest = (
         t.product.where(F.col("EnglishProductName").isNotNull())
         .select(
@@ -70,10 +74,10 @@ def seed(t: SalesTables, catalog: DataFrame | None = None) -> DataFrame:
             known(F.col("ModelName")).alias("model_name"),
         )
         .distinct()
-        .orderBy(F.desc("product_key"))
-        .limit(SEEDED_PRODUCTS)
-        .select("product_key", *ATTRIBUTES, *_new_figures())
     )
+    if limit is not None:
+        newest = newest.orderBy(F.desc("product_key")).limit(limit)
+    newest = newest.select("product_key", *ATTRIBUTES, *_new_figures())
     if catalog is None:
         return newest
     return catalog.unionByName(newest.where(~catalog.exists()))
@@ -102,23 +106,26 @@ def lookup_many(catalog: DataFrame, keys: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame) -> DataFrame:
     """Rows with their position by seq, counted from 1 over the whole batch.
 
-    Positions are counted within ranges of sequence numbers, each of which
-    holds at most NUMBERING_RANGE rows as seq is unique, and shifted by the
-    number of rows in the ranges before. No task sees the whole batch.
+    The batch is cut at approximate percentiles of seq, whatever its values are;
+    positions are counted within the buckets and shifted by the rows of the
+    buckets before. No task sees the whole batch.
     """
-    ranged = rows.withColumn("range", F.col("seq") - F.pmod("seq", F.lit(NUMBERING_RANGE)))
-    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
-    # One row for each range that holds any change.
+    shares = [i / NUMBERING_BUCKETS for i in range(1, NUMBERING_BUCKETS)]
+    cuts = rows.agg(F.percentile_approx("seq", shares, 10 * NUMBERING_BUCKETS)).scalar()
+    below = F.filter("cuts", lambda c: c < F.col("seq"))
+    bucketed = rows.withColumn("cuts", cuts).withColumn("bucket", F.size(below)).drop("cuts")
+    sizes = bucketed.groupBy("bucket").agg(F.count("*").alias("n"))
+    # One row for each bucket.
     before = F.sum("n").over(
-        Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ) - F.col("n")
-    shifts = sizes.select("range", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("range").orderBy("seq"))
+    shifts = sizes.select("bucket", before.alias("before"))
+    within = F.row_number().over(Window.partitionBy("bucket").orderBy("seq"))
     return (
-        ranged.withColumn("within", within)
-        .join(shifts, "range")
+        bucketed.withColumn("within", within)
+        .join(shifts, "bucket")
         .withColumn("position", F.col("before") + F.col("within"))
-        .drop("range", "before", "within")
+        .drop("bucket", "before", "within")
     )
 
 
@@ -162,19 +169,18 @@ def _touching(changes: DataFrame, lives: DataFrame) -> DataFrame:
 
 
 def _outcomes(touching: DataFrame) -> DataFrame:
-    """For each product its first delete and its last update, if any.
+    """For each product its first delete and its last update, if any, as numbers.
 
-    Both are plain aggregates, so many changes of one product are reduced
-    before the shuffle and never gathered or sorted.
+    Both are hash aggregates of numbers, so many changes of one product are
+    reduced before the shuffle and never gathered or sorted. The attributes of
+    the last update are joined by its number, which is unique.
     """
     return (
         touching.where("applies")
         .groupBy("product_key")
         .agg(
             F.min(F.when(F.col("op") == DELETE, F.col("seq"))).alias("died"),
-            F.max_by(
-                F.struct(*ATTRIBUTES), F.when(F.col("op") == UPDATE, F.col("seq"))
-            ).alias("last_update"),
+            F.max(F.when(F.col("op") == UPDATE, F.col("seq"))).alias("updated"),
         )
     )
 
@@ -187,10 +193,16 @@ def apply_changes(state: CatalogState, changes: DataFrame) -> CatalogState:
     """
     lives = _lives(state, changes)
     outcomes = _outcomes(_touching(changes, lives))
+    dead = outcomes.where(F.col("died").isNotNull()).select("product_key")
+    given = changes.where(F.col("op") == UPDATE).select(
+        F.col("seq").alias("updated"), F.struct(*ATTRIBUTES).alias("last_update")
+    )
+    kept = outcomes.where(F.col("died").isNull() & F.col("updated").isNotNull())
+    updates = kept.join(given, "updated").select("product_key", "last_update")
     updated = F.col("last_update").isNotNull()
     after = (
-        lives.join(outcomes, "product_key", "left")
-        .where(F.col("died").isNull())
+        lives.join(dead, "product_key", "left_anti")
+        .join(updates, "product_key", "left")
         .select(
             "product_key",
             *[
@@ -200,7 +212,6 @@ def apply_changes(state: CatalogState, changes: DataFrame) -> CatalogState:
             *FIGURES,
         )
     )
-    dead = outcomes.where(F.col("died").isNotNull()).select("product_key")
     tombstones = state.tombstones.select("product_key").unionByName(dead).distinct()
     return CatalogState(after, tombstones)
 
@@ -262,3 +273,38 @@ def overlay(products: DataFrame, state: CatalogState) -> DataFrame:
     if "sales_amount" in products.columns:
         return shown.orderBy(F.desc("sales_amount"), "product_key")
     return shown
+
+
+def save(state: CatalogState, directory: str) -> str:
+    """Store the catalog and its tombstones as a new version and make it the current one.
+
+    A version is written whole before its name is added to the list of versions,
+    so a reader finds the former one until then, also if the write fails.
+    """
+    version = uuid.uuid4().hex
+    base = directory.rstrip("/")
+    state.catalog.write.parquet(f"{base}/{version}/catalog")
+    state.tombstones.write.parquet(f"{base}/{version}/tombstones")
+    versions.add(state.catalog.sparkSession, base, version)
+    return version
+
+
+def load(spark: SparkSession, directory: str) -> CatalogState:
+    """The current version; an empty catalog where none was stored."""
+    base = directory.rstrip("/")
+    version = versions.current(spark, base)
+    keys = T.StructType([CATALOG_SCHEMA["product_key"]])
+    if version is None:
+        return CatalogState(
+            spark.createDataFrame([], CATALOG_SCHEMA), spark.createDataFrame([], keys)
+        )
+    return CatalogState(
+        spark.read.schema(CATALOG_SCHEMA).parquet(f"{base}/{version}/catalog"),
+        spark.read.schema(keys).parquet(f"{base}/{version}/tombstones"),
+    )
+
+
+def apply_stored(spark: SparkSession, directory: str, changes: DataFrame) -> CatalogState:
+    """Apply a batch to the stored catalog and store the outcome."""
+    save(apply_changes(load(spark, directory), changes), directory)
+    return load(spark, directory)

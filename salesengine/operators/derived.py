@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesengine.functions.exact import SUM_CENTS, cents, quotient, rounded
-from salesengine.functions.filters import CHANNELS, Filters
+from salesengine.functions.filters import CHANNELS, Filters, check_limit
 from salesengine.functions.labels import month_index, month_label, product_label
 from salesengine.operators.filtered import is_in_trailing_year, product_months, product_totals
 from salesengine.operators.unify import sales_in_cents, shown_products
@@ -54,13 +54,13 @@ def channel_tiles(channels: DataFrame) -> DataFrame:
     return channels.agg(*tiles)
 
 
-def geo_rank(geo: DataFrame) -> DataFrame:
+def geo_rank(geo: DataFrame, limit: int = PLACES_RANKED) -> DataFrame:
     """The first places of a geo module with bars relative to the largest.
 
     Rows are not summed by country: a country is listed once for each place.
     """
     order = [F.desc("sales_amount"), F.asc("country"), F.asc("state_province"), F.asc("city")]
-    first = geo.orderBy(*order).limit(PLACES_RANKED)
+    first = geo.orderBy(*order).limit(limit)
     largest = F.max("sales_amount").over(Window.partitionBy())  # over the rows just limited
     bar = rounded(
         quotient(
@@ -120,23 +120,26 @@ def sparkline(panel: DataFrame) -> DataFrame:
 
 
 def product_month_pivot(
-    t: SalesTables, f: Filters = Filters(), product_key: int | None = None
+    t: SalesTables,
+    f: Filters = Filters(),
+    product_key: int | None = None,
+    limit: int = PIVOT_PRODUCTS,
 ) -> DataFrame:
     """The last six months of one product and of the other top products.
 
     The chosen product (the best-selling one if none is named) leads and fixes
-    the months, month_6 being its latest; up to seven others follow by their
-    sales. Months in which a product sold nothing have 0.
+    the months, month_6 being its latest; others follow by their sales, up to
+    the limit, which at most MAX_LIMIT products may have. Months in which a product sold nothing have 0.
     """
     ranked = product_totals(t, f).orderBy(F.desc("total"), "product_key")
     if product_key is None:
-        rows = ranked.limit(PIVOT_PRODUCTS)
+        rows = ranked.limit(check_limit(limit))
         leads = F.lit(False)
     else:
         leads = F.col("product_key") == F.lit(product_key)
         chosen = ranked.where(leads)
-        rows = chosen.unionByName(ranked.where(~leads).limit(PIVOT_PRODUCTS - 1))
-    # From here on at most eight products with one row for each month.
+        rows = chosen.unionByName(ranked.where(~leads).limit(check_limit(limit) - 1))
+    # From here on at most `limit` products with one row for each month.
     place = F.row_number().over(Window.orderBy(F.desc(leads), F.desc("total"), "product_key"))
     listed = rows.select("product_key", place.alias("place"))
     sales = sales_in_cents(t, f).join(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from salesengine.functions.exact import LINE_EXACT, cents, quotient, rounded
 from salesengine.functions.filters import CHANNELS, Filters, check_limit, check_product_key, where_all
 from salesengine.functions.labels import known, month_index, year_month
-from salesengine.operators.snapshot import DEFAULT_TOP, PLACES_SHOWN, by_place
+from salesengine.operators.snapshot import DEFAULT_TOP, PLACES_SHOWN, by_place, first_rows
 from salesengine.operators.unify import (
     RESELLER,
     dated,
@@ -24,8 +24,8 @@ from salesengine.sources.star import SalesTables
 
 # Fixed values of the business rules.
 WINDOW_MONTHS = 12
-PEAK_REASON = "Highest sales month in the returned 12-month window."
-VALLEY_REASON = "Lowest sales month in the returned 12-month window."
+PEAK_REASON = "No listed month sold more."
+VALLEY_REASON = "No listed month sold less."
 
 NO_FILTER = Filters()
 
@@ -181,15 +181,38 @@ def is_in_trailing_year(f: Filters) -> Column:
 
 
 def product_monthly_panel(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:
-    """product_monthly of every product, in one pass over the sales."""
-    months = product_months(sales_in_cents(t, f), t, f)
-    return months.withColumn("in_year", is_in_trailing_year(f)).where("in_year").select(
+    """product_monthly of every product.
+
+    The last sale of each product is found first, from keys and dates that are
+    combined before they are shuffled. It meets the lines as two days, so only
+    lines inside the window of their product are shuffled with their orders.
+    """
+    sales = sales_in_cents(t, f)
+    last = dated(sales, t).groupBy("product_key").agg(F.max("full_date").alias("last_sale"))
+    end = _window_end(F.col("last_sale"), f)
+    windows = of_known_products(last, t, f).select(
         "product_key",
-        "year",
-        "month",
-        year_month(F.col("year"), F.col("month")).alias("year_month"),
-        cents(F.col("total")).alias("sales_amount"),
-        "order_count",
+        F.add_months(F.trunc(end, "MM"), 1 - WINDOW_MONTHS).alias("first_day"),
+        end.alias("last_day"),
+    )
+    windows = t.side("product", windows, "product_key", "first_day", "last_day")
+    return (
+        dated(sales, t, last_day=f.last_day)
+        .join(windows, "product_key")
+        .where(F.col("full_date").between(F.col("first_day"), F.col("last_day")))
+        .groupBy("product_key", "year", "month")
+        .agg(
+            F.sum("sales_amount").alias("total"),
+            F.count_distinct("sales_order_number").alias("order_count"),
+        )
+        .select(
+            "product_key",
+            "year",
+            "month",
+            year_month(F.col("year"), F.col("month")).alias("year_month"),
+            cents(F.col("total")).alias("sales_amount"),
+            "order_count",
+        )
     )
 
 
@@ -241,9 +264,12 @@ def top_products(t: SalesTables, f: Filters = NO_FILTER, limit: int = DEFAULT_TO
         .groupBy("product_key")
         .agg(F.count_distinct("sales_order_number").alias("order_count"))
     )
+    names = shown_products(t).join(
+        F.broadcast(best.select("product_key")), "product_key", "left_semi"
+    )
     return (
         best.join(F.broadcast(orders), "product_key")  # at most `limit` rows
-        .join(t.side("product", shown_products(t)), "product_key")
+        .join(F.broadcast(names), "product_key")
         .orderBy(F.desc("total"), "product_key")
         .select(
             "product_key",
@@ -257,8 +283,10 @@ def top_products(t: SalesTables, f: Filters = NO_FILTER, limit: int = DEFAULT_TO
     )
 
 
-def geo(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:
-    """The hundred places with most Internet sales; none for resellers.
+def geo(
+    t: SalesTables, f: Filters = NO_FILTER, limit: int | None = PLACES_SHOWN
+) -> DataFrame:
+    """The places with most Internet sales, or all for no limit; none for resellers.
 
     Amounts are summed exactly and rounded after the sum.
     """
@@ -267,18 +295,16 @@ def geo(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:
     if f.channel == RESELLER:
         sales = sales.where(F.lit(False))
     found = by_place(of_known_products(sales, t, f), t, where_all(places(t), country))
-    return (
-        found.select(
-            "country",
-            "state_province",
-            "city",
-            cents(F.col("total")).alias("sales_amount"),
-            "customer_count",
-            "order_count",
-        )
-        .orderBy(F.desc("sales_amount"), "country", "state_province", "city")
-        .limit(PLACES_SHOWN)
+    figures = found.select(
+        "country",
+        "state_province",
+        "city",
+        cents(F.col("total")).alias("sales_amount"),
+        "customer_count",
+        "order_count",
     )
+    order = [F.desc("sales_amount"), "country", "state_province", "city"]
+    return first_rows(figures, limit, *order).orderBy(*order)
 
 
 def channels(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +22,23 @@ from salesengine.operators.unify import (
 )
 from salesengine.sources.star import SalesTables
 
-# Fixed values of the business rules.
-GROWTH_BAND = 0.02
-PRIMARY_CHANNEL_SHARE = 0.5
-HIGH_CONTRIBUTION_SHARE = 0.08
-HIGH_VALUE_FRACTION = "0.65"
 DEFAULT_TOP = 10
+#: Places shown unless another limit is asked for; None shows all.
 PLACES_SHOWN = 100
 
 
+@dataclass(frozen=True)
+class LabelRules:
+    # Fixed values of the business rules.
+    growth_band: float = 0.02
+    primary_channel_share: float = 0.5
+    high_contribution_share: float = 0.08
+    high_value_fraction: Decimal = Decimal("0.65")
+
+
+LABELS = LabelRules()
+
+
 def kpis(t: SalesTables) -> DataFrame:
     """One row of headline figures; no dimension is needed for it.
 
@@ -59,7 +70,7 @@ def kpis(t: SalesTables) -> DataFrame:
     )
 
 
-def trend(t: SalesTables) -> DataFrame:
+def trend(t: SalesTables, labels: LabelRules = LABELS) -> DataFrame:
     """Sales of each month and its growth over the month listed before it."""
     monthly = (
         unified_sales(t)
@@ -82,8 +93,8 @@ def trend(t: SalesTables) -> DataFrame:
             "order_count",
             year_month(F.col("year"), F.col("month")).alias("year_month"),
             rounded(F.col("growth"), 4).alias("mom_growth_rate"),
-            F.when(F.col("growth") > GROWTH_BAND, "up")
-            .when(F.col("growth") < -GROWTH_BAND, "down")
+            F.when(F.col("growth") > labels.growth_band, "up")
+            .when(F.col("growth") < -labels.growth_band, "down")
             .otherwise("stable")
             .alias("trend_direction"),
         )
@@ -91,7 +102,7 @@ def trend(t: SalesTables) -> DataFrame:
     )
 
 
-def channels(t: SalesTables) -> DataFrame:
+def channels(t: SalesTables, labels: LabelRules = LABELS) -> DataFrame:
     by_channel = (
         unified_sales(t)
         .groupBy("sales_channel")
@@ -115,14 +126,16 @@ def channels(t: SalesTables) -> DataFrame:
             rounded(F.col("share"), 4).alias("sales_ratio"),
             rounded(F.col("order_share"), 4).alias("order_ratio"),
             F.coalesce(per_order, F.lit(0.0)).alias("avg_order_amount"),
-            F.when(F.col("share") >= PRIMARY_CHANNEL_SHARE, "primary")
+            F.when(F.col("share") >= labels.primary_channel_share, "primary")
             .otherwise("supplementary")
             .alias("performance_summary"),
         )
     )
 
 
-def top_products(t: SalesTables, limit: int = DEFAULT_TOP) -> DataFrame:
+def top_products(
+    t: SalesTables, limit: int = DEFAULT_TOP, labels: LabelRules = LABELS
+) -> DataFrame:
     """The best-selling products with their share of all sales.
 
     Sales are summed for every product, which partial aggregation keeps small;
@@ -143,9 +156,13 @@ def top_products(t: SalesTables, limit: int = DEFAULT_TOP) -> DataFrame:
         .groupBy(F.col("product_key").alias("listed_key"))
         .agg(F.count_distinct("sales_order_number").alias("order_count"))
     )
+    # Names of the listed products only: product keys are unique, so at most `limit` rows.
+    names = shown_products(t).join(
+        F.broadcast(listed), F.col("product_key") == F.col("listed_key"), "left_semi"
+    )
     return (
         best.join(F.broadcast(orders), same, "left")
-        .join(t.side("product", shown_products(t)), "product_key", "left")
+        .join(F.broadcast(names), "product_key", "left")
         .withColumn("share", F.coalesce(quotient(F.col("total"), grand_total), F.lit(0.0)))
         .orderBy(F.desc("total"), "product_key")
         .select(
@@ -157,13 +174,17 @@ def top_products(t: SalesTables, limit: int = DEFAULT_TOP) -> DataFrame:
             cents(F.col("total")).alias("sales_amount"),
             "order_count",
             rounded(F.col("share"), 4).alias("contribution_rate"),
-            F.when(F.col("share") >= HIGH_CONTRIBUTION_SHARE, "high_contribution")
+            F.when(F.col("share") >= labels.high_contribution_share, "high_contribution")
             .otherwise("stable")
             .alias("product_health"),
         )
     )
 
 
+def first_rows(rows: DataFrame, limit: int | None, *order) -> DataFrame:
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
+
+
 def by_place(sales: DataFrame, t: SalesTables, listed: DataFrame) -> DataFrame:
     """Exact sales, customers and orders of each listed place.
 
@@ -198,17 +219,16 @@ def by_place(sales: DataFrame, t: SalesTables, listed: DataFrame) -> DataFrame:
     )
 
 
-def geo(t: SalesTables) -> DataFrame:
-    """The hundred places with most sales. Only Internet lines have a place."""
+def geo(
+    t: SalesTables, limit: int | None = PLACES_SHOWN, labels: LabelRules = LABELS
+) -> DataFrame:
+    """The places with most sales, or all for no limit. Only Internet lines have a place."""
     listed = places(t).where(F.col("country").isNotNull())
-    best = (
-        by_place(internet_lines(t, LINE_EXACT), t, listed)
-        .orderBy(F.desc("total"), "country", "state_province", "city")
-        .limit(PLACES_SHOWN)
-    )
-    largest = F.max("total").over(Window.partitionBy())  # over the rows just limited
+    found = by_place(internet_lines(t, LINE_EXACT), t, listed)
+    best = first_rows(found, limit, F.desc("total"), "country", "state_province", "city")
+    largest = best.agg(F.max("total")).scalar()
     # A largest amount of 0 counts as 1.
-    bar = F.when(largest == 0, F.lit(1)).otherwise(largest) * F.lit(HIGH_VALUE_FRACTION).cast(
+    bar = F.when(largest == 0, F.lit(1)).otherwise(largest) * F.lit(labels.high_value_fraction).cast(
         "decimal(3,2)"
     )
     return (

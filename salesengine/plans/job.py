@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from salesengine.functions.exact import clean_values
 from salesengine.functions.filters import MAX_LIMIT, Filters, check_limit
 from salesengine.operators import alerts, catalog, filtered, snapshot
 from salesengine.operators.unify import unified_sales
-from salesengine.sources import results
+from salesengine.sources import results, versions
 from salesengine.sources.star import SalesTables
 
 # Modules read the facts independently, each with only the columns it needs:
@@ -28,45 +29,63 @@ METRICS: dict[str, Callable[[SalesTables], DataFrame]] = {
 
 
 def publish_snapshot(
-    spark: SparkSession, t: SalesTables, directory: str, file_format: str = "parquet"
-) -> None:
-    """Write the six modules.
+    spark: SparkSession,
+    t: SalesTables,
+    directory: str,
+    file_format: str = "parquet",
+    modules: Sequence[str] = results.MODULES,
+) -> str:
+    """Write modules as a new run and make it the current one; returns its folder.
 
     The metric modules are independent jobs, handed to Spark together so that
     one fills the cores that the last tasks of another leave idle. Alerts are
-    computed from the written modules, so no metric is computed twice.
+    computed from the written modules, so no metric is computed twice. All carry
+    one time. The run is named as the current one after all its modules are
+    written; until then, and if one fails, readers get the run before.
     """
+    made, version = results.now(), f"run-{uuid.uuid4().hex}"
+    folder = f"{directory.rstrip('/')}/{version}"
 
     def write(name: str) -> None:
         module = clean_values(METRICS[name](t))
-        results.publish(module, directory, name, file_format)
+        results.publish(module, folder, name, file_format, generated_at=made)
 
+    wanted = [name for name in METRICS if name in modules or "alerts" in modules]
     with ThreadPoolExecutor(max_workers=len(METRICS)) as pool:
-        list(pool.map(write, METRICS))
-    written = {
-        name: results.read_result(spark, directory, name, file_format).drop(
-            "source", "generated_at", "result_file"
+        list(pool.map(write, wanted))
+    if "alerts" in modules:
+        written = {
+            name: results.read_result(spark, folder, name, file_format).drop(
+                "source", "generated_at", "result_file"
+            )
+            for name in METRICS
+        }
+        found = alerts.snapshot_alerts(
+            lambda: written["kpis"],
+            written["trend"],
+            written["top_products"],
+            written["channels"],
+            written["geo_sales"],
         )
-        for name in METRICS
-    }
-    found = alerts.snapshot_alerts(
-        written["kpis"],
-        written["trend"],
-        written["top_products"],
-        written["channels"],
-        written["geo_sales"],
-    )
-    results.publish(found, directory, "alerts", file_format)
+        results.publish(found, folder, "alerts", file_format, generated_at=made)
+    versions.add(spark, directory, version)
+    return folder
 
 
-def snapshot_alerts(t: SalesTables) -> DataFrame:
-    """The alerts of the snapshot, straight from the tables."""
+def snapshot_alerts(
+    t: SalesTables, limits: alerts.AlertThresholds = alerts.DEFAULT
+) -> DataFrame:
+    """The alerts of the snapshot, straight from the tables.
+
+    The rules on products and places read the first row of their modules.
+    """
     return alerts.snapshot_alerts(
-        snapshot.kpis(t),
+        lambda: snapshot.kpis(t),
         snapshot.trend(t),
-        snapshot.top_products(t),
+        snapshot.top_products(t, 1),
         snapshot.channels(t),
-        snapshot.geo(t),
+        snapshot.geo(t, 1),
+        limits,
     )
 
 
@@ -120,16 +139,23 @@ def read_or_compute(
     """
     check_limit(limit)
     if f.is_empty:
-        published = results.read_result(spark, directory, module, file_format)
+        run = results.current_run(spark, directory)
+        published = results.read_result(spark, run, module, file_format)
         if published is not None:
-            if module == "top_products":
-                published = published.orderBy(F.desc("sales_amount"), "product_key").limit(limit)
-            return published
+            published = results.served(published, module)
+            return published.limit(limit) if module == "top_products" else published
     return clean_values(_live(t, module, f, limit, state)).withColumn(
         "source", F.lit(results.LIVE)
     )
 
 
+def trend_with_extremes(served: DataFrame) -> DataFrame:
+    """A served trend of either family, its peak and its valley, told apart by kind."""
+    figures = [c for c in served.columns if c not in ("source", "generated_at", "result_file")]
+    items = served.select(F.lit("item").alias("kind"), *figures)
+    return items.unionByName(filtered.peak_valley(served.select(*figures), reasons=False))
+
+
 def source_row_counts(t: SalesTables) -> DataFrame:
     """Rows of the two facts in one row, counted in one pass over both."""
     channel = F.col("sales_channel")

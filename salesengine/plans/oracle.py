@@ -8,6 +8,8 @@ the rearrangements the Spark plans use.
 from __future__ import annotations
 
 from salesengine.functions.filters import Filters
+from salesengine.operators.alerts import DEFAULT, AlertThresholds
+from salesengine.operators.snapshot import LABELS, LabelRules
 
 STAR = """
 lines AS (
@@ -40,7 +42,7 @@ dim_product AS (
            split_part(p_name, ' ', 1) AS color,
            CAST(p_size AS VARCHAR) AS size,
            p_retailprice AS list_price, p_brand AS model_name
-    FROM part WHERE p_partkey % 97 <> 0
+    FROM part -- products
 ),
 dim_customer AS (
     SELECT c_custkey AS customer_key,
@@ -57,7 +59,7 @@ dim_geography AS (
     FROM customer
     JOIN nation ON c_nationkey = n_nationkey
     JOIN region ON n_regionkey = r_regionkey
-    WHERE c_nationkey <> 24
+    -- places
 )"""
 
 SNAPSHOT = (
@@ -106,6 +108,21 @@ def _month_label(year: str = "year", month: str = "month") -> str:
     return f"concat_ws('-', CAST({year} AS VARCHAR), lpad(CAST({month} AS VARCHAR), 2, '0'))"
 
 
+def _limit(limit: int | None) -> str:
+    return "" if limit is None else f" LIMIT {limit}"
+
+
+def unmatched(sql: str) -> str:
+    """The same query over dimensions with gaps."""
+    gaps = {
+        "-- products": "WHERE p_partkey % 97 <> 0",
+        "-- places": "WHERE c_nationkey <> 24",
+    }
+    for mark, gap in gaps.items():
+        sql = sql.replace(mark, gap)
+    return sql
+
+
 def _query(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
@@ -221,9 +238,12 @@ def snapshot(module: str) -> str:
     return _query(SNAPSHOT_MODULES, f"SELECT * FROM {module}")
 
 
-def top_products_snapshot(limit: int) -> str:
+GEO_SNAPSHOT_ALL = _query(SNAPSHOT_MODULES.replace("city LIMIT 100", "city"), "SELECT * FROM geo")
+
+
+def top_products_snapshot(limit: int, labels: LabelRules = LABELS) -> str:
     return _query(
-        SNAPSHOT_MODULES,
+        SNAPSHOT_MODULES.replace("share >= 0.08", f"share >= {labels.high_contribution_share}"),
         f"""SELECT * EXCLUDE (total) FROM all_products
 ORDER BY total DESC, product_key LIMIT {limit}""",
     )
@@ -352,10 +372,10 @@ def product_monthly(product_key: int, f: Filters) -> str:
 
 PEAK_VALLEY = """,
 peak_valley AS (
-    (SELECT 'peak' AS kind, *, 'Highest sales month in the returned 12-month window.' AS reason
+    (SELECT 'peak' AS kind, *, 'No listed month sold more.' AS reason
      FROM trend ORDER BY sales_amount DESC, year, month LIMIT 1)
     UNION ALL
-    (SELECT 'valley', *, 'Lowest sales month in the returned 12-month window.'
+    (SELECT 'valley', *, 'No listed month sold less.'
      FROM trend ORDER BY sales_amount, year, month LIMIT 1)
 )"""
 
@@ -403,7 +423,7 @@ def top_products_filtered(f: Filters, limit: int) -> str:
     return _query(_ranking(f, limit), "SELECT * FROM ranking")
 
 
-def geo_filtered(f: Filters) -> str:
+def geo_filtered(f: Filters, limit: int | None = 100) -> str:
     tests = _date_tests(f)
     if f.product_line:
         tests.append(f"coalesce(product_line, 'Unknown') = {_literal(f.product_line)}")
@@ -423,7 +443,7 @@ JOIN dim_customer c ON i.customer_key = c.customer_key
 JOIN dim_geography g ON c.geography_key = g.geography_key
 {_where(tests)}
 GROUP BY country, state_province, city
-ORDER BY sales_amount DESC, country, state_province, city LIMIT 100""",
+ORDER BY sales_amount DESC, country, state_province, city{_limit(limit)}""",
     )
 
 
@@ -481,51 +501,68 @@ SOURCE_ROW_COUNTS = _query(
 
 ALERT_COLUMNS = "rule_order, level, type, title, description, metric_value, metric_reference"
 
-ALERTS_SNAPSHOT = _query(
-    SNAPSHOT_MODULES
-    + """,
+ALERT_TEXTS = {
+    "sales_drop": "year_month || ' reached less than {sales_drop} of the sales of ' || month_before || '.'",
+    "top_product_dependency": "'Product ' || product_key || ' makes {top_product_share} or more of all sales.'",
+    "channel_imbalance": "sales_channel || ' makes {channel_share} or more of all sales.'",
+}
+
+
+def _alerts(limits: AlertThresholds) -> str:
+    texts = {kind: text.format(**vars(limits)) for kind, text in ALERT_TEXTS.items()}
+    return (
+        SNAPSHOT_MODULES
+        + f""",
 ordered AS (
     SELECT *, lag(sales_amount) OVER (ORDER BY year NULLS FIRST, month NULLS FIRST) AS before,
+           lag(year_month) OVER (ORDER BY year NULLS FIRST, month NULLS FIRST) AS month_before,
            row_number() OVER (ORDER BY year DESC NULLS LAST, month DESC NULLS LAST) AS age
     FROM trend
 ),
 fired AS (
     SELECT 1 AS rule_order, 'high' AS level, 'sales_drop' AS type,
-           'Sudden drop in sales' AS title,
-           year_month || ' sold far less than the month before; check channel supply and key orders.'
-               AS description,
-           sales_amount AS metric_value, before AS metric_reference
+           'Latest month below its bound' AS title, {texts['sales_drop']} AS description,
+           sales_amount AS metric_value, before AS metric_reference,
+           year_month AS subject, sales_amount AS amount
     FROM ordered
     WHERE age = 1 AND CAST(sales_amount AS DECIMAL(28,2))
-                      < CAST(before AS DECIMAL(28,2)) * CAST(0.85 AS DECIMAL(3,2))
+                      < CAST(before AS DECIMAL(28,2)) * CAST({limits.sales_drop} AS DECIMAL(5,2))
     UNION ALL
-    (SELECT 2, 'medium', 'top_product_dependency', 'Dependency on the top product',
-            'The leading product carries much of the sales; check stock, price and substitutes.',
-            contribution_rate, 0.18
+    (SELECT 2, 'medium', 'top_product_dependency', 'One product above its share',
+            {texts['top_product_dependency']}, contribution_rate, {limits.top_product_share},
+            CAST(product_key AS VARCHAR), sales_amount
      FROM (SELECT * FROM top_products ORDER BY sales_amount DESC, product_key LIMIT 1)
-     WHERE contribution_rate >= 0.18)
+     WHERE contribution_rate >= {limits.top_product_share})
     UNION ALL
-    (SELECT 3, 'medium', 'channel_imbalance', 'Sales concentrated in one channel',
-            sales_channel || ' has a large share of sales; assess channel risk and lasting growth.',
-            sales_ratio, 0.75
+    (SELECT 3, 'medium', 'channel_imbalance', 'One channel above its share',
+            {texts['channel_imbalance']}, sales_ratio, {limits.channel_share},
+            sales_channel, sales_amount
      FROM (SELECT * FROM channels ORDER BY sales_ratio DESC, sales_amount DESC, sales_channel LIMIT 1)
-     WHERE sales_ratio >= 0.75)
+     WHERE sales_ratio >= {limits.channel_share})
     UNION ALL
-    (SELECT 4, 'info', 'high_value_region', 'High-value region found',
-            country || ' leads in sales and can serve as a model for other regions.',
-            sales_amount, NULL
-     FROM geo ORDER BY sales_amount DESC, country, state_province, city LIMIT 1)
+    (SELECT 4, 'info', 'high_value_region', 'Place with most sales',
+            country || ' is first by sales of all places listed.', sales_amount, NULL,
+            country, sales_amount
+     FROM (SELECT * FROM geo ORDER BY sales_amount DESC, country, state_province, city LIMIT 1)
+     WHERE CAST(sales_amount AS DECIMAL(28,2)) >= CAST({limits.region_sales} AS DECIMAL(28,2)))
 ),
 alerts AS (
     SELECT * FROM fired
     UNION ALL
-    SELECT 5, 'info', 'stable_operation', 'Business is stable',
-           'No anomaly was found; keep watching trend, channels and key products.',
-           total_sales, NULL
+    SELECT 5, 'info', 'stable_operation', 'No rule fired', 'All figures are within their bounds.',
+           total_sales, NULL, NULL, total_sales
     FROM kpis WHERE NOT EXISTS (SELECT 1 FROM fired)
-)""",
-    f"SELECT {ALERT_COLUMNS} FROM alerts",
-)
+)"""
+    )
+
+
+def alerts_snapshot(limits: AlertThresholds = DEFAULT) -> str:
+    return _query(_alerts(limits), f"SELECT {ALERT_COLUMNS} FROM alerts")
+
+
+ALERTS_SNAPSHOT = alerts_snapshot()
+# What the JSON column names and how much it sold.
+ALERTS_SNAPSHOT_METRIC = _query(_alerts(DEFAULT), "SELECT rule_order, type, subject, amount FROM alerts")
 
 CATALOG = """,
 catalog AS (
@@ -636,6 +673,7 @@ CATALOG_SEED = _query(
        CAST(0 AS DOUBLE) AS sales_amount, CAST(0 AS BIGINT) AS order_count
 FROM dim_product WHERE product_name IS NOT NULL ORDER BY product_key DESC LIMIT 30""",
 )
+CATALOG_SEED_ALL = CATALOG_SEED.replace(" ORDER BY product_key DESC LIMIT 30", "")
 
 
 def catalog_search(pattern: str, product_line: str | None) -> str:
@@ -667,6 +705,12 @@ CATALOG_APPLY_CHANGES = _query(
 CATALOG_APPLY_TOMBSTONES = _query(
     _applied("insert", "update", "delete"), "SELECT * FROM tombstones_after"
 )
+CATALOG_TWO_BATCHES = _query(
+    _applied("insert", "update"),
+    """SELECT * FROM catalog_after WHERE product_key NOT IN (
+    SELECT product_key FROM changes WHERE op = 'delete'
+)""",
+)
 CATALOG_CHANGE_REPORT = _query(
     _applied("insert", "update", "delete"),
     """SELECT seq, op, product_key, matched FROM touching
@@ -707,17 +751,16 @@ watched AS (
 ),
 alerts AS (
     SELECT 1 AS rule_order, 'high' AS level, 'monthly_volatility' AS type,
-           'Monthly sales vary widely' AS title,
-           v.year_month || ' sold far less than ' || p.year_month
-               || '; check orders, channel mix and key products.' AS description,
+           'Months far apart' AS title,
+           v.year_month || ' reached less than 0.65 of the sales of ' || p.year_month || '.'
+               AS description,
            v.sales_amount AS metric_value, p.sales_amount AS metric_reference
     FROM peak p, valley v
     WHERE p.sales_amount <> 0 AND CAST(v.sales_amount AS DECIMAL(28,2))
           < CAST(p.sales_amount AS DECIMAL(28,2)) * CAST(0.65 AS DECIMAL(3,2))
     UNION ALL
-    SELECT CAST(place + 1 AS INTEGER), 'medium', 'top_product_watch', 'Watch this best seller',
-           product_name
-               || ' ranks near the top; watch stock, regional demand and channel supply.',
+    SELECT CAST(place + 1 AS INTEGER), 'medium', 'top_product_watch', 'Leading product',
+           product_name || ' is number ' || place || ' by sales.',
            sales_amount, CAST(order_count AS DOUBLE)
     FROM watched WHERE place <= 2
 )""",
@@ -790,7 +833,7 @@ FROM (SELECT *, list(sales_amount) OVER (PARTITION BY product_key ORDER BY year,
     )
 
 
-def product_month_pivot(f: Filters, product_key: int | None) -> str:
+def product_month_pivot(f: Filters, product_key: int | None, limit: int = 8) -> str:
     """Monthly sums are those up to the asked end date, of the listed products."""
     lead = f"product_key = {product_key}" if product_key else "1 = 0"
     ended = f"WHERE full_date <= DATE {_literal(f.end_date)}" if f.end_date else ""
@@ -808,7 +851,7 @@ ranked AS (
            row_number() OVER (ORDER BY {lead} DESC, total DESC, product_key) AS place
     FROM product_totals
 ),
-listed AS (SELECT * FROM ranked WHERE place <= 8),
+listed AS (SELECT * FROM ranked WHERE place <= {limit}),
 months AS (
     SELECT year, month, year_month, row_number() OVER (ORDER BY year DESC, month DESC) AS recent
     FROM panel WHERE product_key = (SELECT product_key FROM listed WHERE place = 1)
@@ -845,3 +888,78 @@ SNAPSHOT_PEAK_VALLEY = _query(
 UNION ALL
 (SELECT 'valley', * FROM trend ORDER BY sales_amount, year, month LIMIT 1)""",
 )
+
+TREND_EXTREMES = _query(
+    SNAPSHOT_MODULES,
+    """SELECT 'item' AS kind, * FROM trend
+UNION ALL
+(SELECT 'peak', * FROM trend ORDER BY sales_amount DESC, year, month LIMIT 1)
+UNION ALL
+(SELECT 'valley', * FROM trend ORDER BY sales_amount, year, month LIMIT 1)""",
+)
+
+
+def trend_extremes(f: Filters) -> str:
+    return _query(
+        _trailing(f) + PEAK_VALLEY,
+        "SELECT 'item' AS kind, * FROM trend UNION ALL SELECT * EXCLUDE (reason) FROM peak_valley",
+    )
+
+
+def _sold(module: str) -> str:
+    return f"""SELECT '{module}' AS module, count(*) AS rows,
+       coalesce(CAST(sum(CAST(sales_amount AS DECIMAL(28,2))) AS DOUBLE), 0) AS amount FROM {module}"""
+
+
+PUBLISHED = (
+    _alerts(DEFAULT).replace("geo AS (", "geo_sales AS (").replace("FROM geo ", "FROM geo_sales ")
+    + """,
+published AS (SELECT * FROM all_products ORDER BY total DESC, product_key LIMIT 50),
+modules AS (
+    SELECT 'kpis' AS module, 1 AS rows, total_sales AS amount FROM kpis
+    UNION ALL """
+    + "\n    UNION ALL ".join(_sold(m) for m in ("trend", "channels", "geo_sales"))
+    + "\n    UNION ALL "
+    + _sold("published").replace("'published'", "'top_products'")
+    + """
+    UNION ALL SELECT 'alerts', count(*), 0 FROM alerts
+)"""
+)
+RESULT_MANIFEST = _query(PUBLISHED, "SELECT module, rows > 0 AS has_files FROM modules")
+OUTPUT_COMPLETENESS = _query(PUBLISHED, "SELECT module, 'ok' AS status, rows FROM modules")
+# One module is written without rows and two are not written.
+OUTPUT_COMPLETENESS_GAPS = _query(
+    PUBLISHED,
+    """SELECT module, CASE module WHEN 'channels' THEN 'empty' WHEN 'geo_sales' THEN 'missing'
+       WHEN 'alerts' THEN 'missing' ELSE 'ok' END AS status,
+       CASE module WHEN 'channels' THEN 0 WHEN 'geo_sales' THEN NULL WHEN 'alerts' THEN NULL
+       ELSE rows END AS rows
+FROM modules""",
+)
+REPORT_MODULES = _query(
+    PUBLISHED,
+    """SELECT CAST(list_position(['kpis', 'trend', 'channels', 'top_products', 'geo_sales', 'alerts'],
+                          module) - 1 AS INTEGER) AS position, module,
+       CASE WHEN module <> 'kpis' THEN rows END AS items, amount, NULL AS status
+FROM modules""",
+)
+REPORT_MODULES_GAPS = _query(
+    PUBLISHED,
+    """SELECT CAST(list_position(['kpis', 'trend', 'channels', 'top_products', 'geo_sales', 'alerts'],
+                          module) - 1 AS INTEGER) AS position, module,
+       CASE WHEN module IN ('channels', 'geo_sales', 'alerts') THEN 0
+            WHEN module <> 'kpis' THEN rows END AS items,
+       CASE WHEN module IN ('channels', 'geo_sales', 'alerts') THEN 0 ELSE amount END AS amount,
+       CASE WHEN module IN ('geo_sales', 'alerts') THEN 'spark_result_missing' END AS status
+FROM modules""",
+)
+REPORT_CONTEXT = _query(
+    PUBLISHED,
+    """SELECT (SELECT total_sales FROM kpis) AS total_sales,
+       (SELECT year_month FROM trend ORDER BY year NULLS FIRST, month NULLS FIRST LIMIT 1) AS first_month,
+       (SELECT sales_channel FROM channels ORDER BY sales_amount DESC, sales_channel LIMIT 1) AS first_channel,
+       (SELECT product_key FROM published ORDER BY total DESC, product_key LIMIT 1) AS first_product,
+       (SELECT city FROM geo_sales ORDER BY sales_amount DESC, country, state_province, city LIMIT 1)
+           AS first_city,
+       (SELECT type FROM alerts ORDER BY rule_order LIMIT 1) AS first_alert""",
+)

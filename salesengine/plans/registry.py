@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesengine.functions.exact import LINE_EXACT, clean_values
 from salesengine.functions.filters import Filters
 from salesengine.operators import catalog, derived, filtered, snapshot, unify
+from salesengine.operators.alerts import AlertThresholds
+from salesengine.operators.snapshot import LabelRules
 from salesengine.plans import job, oracle
 from salesengine.sources import results
 from salesengine.sources.scratch import scratch_folder
@@ -29,6 +32,16 @@ PRESETS = {
     "f6": Filters(country="EUROPE", channel="Reseller"),
     "f7": Filters(start_date="2000-07-01", end_date="2000-12-31"),
 }
+# Thresholds at which rules and labels fire that the usual ones leave out.
+DEPENDENT = AlertThresholds(top_product_share=0.00005)
+ALL_QUIET = AlertThresholds(
+    sales_drop=Decimal("0"),
+    top_product_share=2.0,
+    channel_share=2.0,
+    region_sales=Decimal("1000000000000"),
+)
+LOWER_LABELS = LabelRules(high_contribution_share=0.0001)
+PIVOT_LIMIT = 20
 ONE_PRODUCT = 42
 LISTED_PRODUCT = 2
 RANKING_LIMIT = 50
@@ -40,11 +53,13 @@ class Query:
     sql: str | None = None
 
 
-def _on_star(metric: Callable[[SalesTables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def _on_star(
+    metric: Callable[[SalesTables], DataFrame], gaps: bool = False
+) -> Callable[[SparkSession, str], DataFrame]:
     """A metric over the star schema, with decimals and dates cleaned for output."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return clean_values(metric(load_star(spark, sf_dir)))
+        return clean_values(metric(load_star(spark, sf_dir, gaps)))
 
     return run
 
@@ -64,7 +79,37 @@ def _snapshot_queries() -> dict[str, Query]:
             _on_star(lambda t: snapshot.top_products(t, RANKING_LIMIT)),
             oracle.top_products_snapshot(RANKING_LIMIT),
         ),
+        "top_products_snapshot_labels": Query(
+            _on_star(lambda t: snapshot.top_products(t, RANKING_LIMIT, LOWER_LABELS)),
+            oracle.top_products_snapshot(RANKING_LIMIT, LOWER_LABELS),
+        ),
         "geo_snapshot": Query(_on_star(snapshot.geo), oracle.snapshot("geo")),
+        "geo_snapshot_all": Query(
+            _on_star(lambda t: snapshot.geo(t, limit=None)), oracle.GEO_SNAPSHOT_ALL
+        ),
+    }
+
+
+def _unmatched_queries() -> dict[str, Query]:
+    """Metrics over dimensions that lack products and places which lines have."""
+    f = PRESETS["f0"]
+    metrics: dict[str, tuple[Callable[[SalesTables], DataFrame], str]] = {
+        "customer_places": (unify.customer_places, oracle.CUSTOMER_PLACES),
+        "sales_wide": (unify.sales_wide, oracle.SALES_WIDE),
+        "unified_sales_geo": (unify.unified_sales_geo, oracle.UNIFIED_SALES_GEO),
+        "top_products_snapshot": (snapshot.top_products, oracle.snapshot("top_products")),
+        "geo_snapshot": (snapshot.geo, oracle.snapshot("geo")),
+        "filtered_sales": (unify.filtered_sales_geo, oracle.filtered_sales(f)),
+        "product_sales": (filtered.product_sales, oracle.product_sales(f)),
+        "kpis_filtered": (filtered.kpis, oracle.kpis_filtered(f)),
+        "trend_filtered": (filtered.trend, oracle.trend_filtered(f)),
+        "product_monthly_panel": (filtered.product_monthly_panel, oracle.product_monthly_panel(f)),
+        "geo_filtered": (filtered.geo, oracle.geo_filtered(f)),
+        "channels_filtered": (filtered.channels, oracle.channels_filtered(f)),
+    }
+    return {
+        f"{name}_unmatched": Query(_on_star(metric, gaps=True), oracle.unmatched(sql))
+        for name, (metric, sql) in metrics.items()
     }
 
 
@@ -107,6 +152,9 @@ def _filtered_queries() -> dict[str, Query]:
             out[registered_name] = Query(
                 _on_star(lambda t, metric=metric, f=f: metric(t, f)), sql(f)
             )
+    out["geo_filtered_all"] = Query(
+        _on_star(lambda t: filtered.geo(t, limit=None)), oracle.geo_filtered(PRESETS["f0"], None)
+    )
     out["unified_sales_geo"] = Query(
         _on_star(unify.unified_sales_geo), oracle.UNIFIED_SALES_GEO
     )
@@ -123,6 +171,19 @@ def _without_metric(alerts_found: DataFrame) -> DataFrame:
     return alerts_found.drop("metric")
 
 
+def _parsed_metric(alerts_found: DataFrame) -> DataFrame:
+    """What the JSON column of an alert names, and the sales it gives."""
+
+    def first_of(*paths: str) -> Column:
+        return F.coalesce(*[F.get_json_object("metric", f"$.{p}") for p in paths])
+
+    subject = first_of("current.year_month", "product_key", "sales_channel", "country")
+    amount = first_of("current.sales_amount", "sales_amount", "total_sales").cast("double")
+    return alerts_found.select(
+        "rule_order", "type", subject.alias("subject"), amount.alias("amount")
+    )
+
+
 def _joined_lists(options: DataFrame) -> DataFrame:
     return options.withColumn("option_values", F.array_join("option_values", "|"))
 
@@ -132,8 +193,16 @@ def _alert_queries() -> dict[str, Query]:
         "alerts_snapshot": Query(
             _on_star(lambda t: _without_metric(job.snapshot_alerts(t))), oracle.ALERTS_SNAPSHOT
         ),
-        "alerts_snapshot_metric": Query(_on_star(job.snapshot_alerts)),
+        "alerts_snapshot_metric": Query(
+            _on_star(lambda t: _parsed_metric(job.snapshot_alerts(t))),
+            oracle.ALERTS_SNAPSHOT_METRIC,
+        ),
     }
+    for name, limits in (("dependency", DEPENDENT), ("stable", ALL_QUIET)):
+        out[f"alerts_snapshot_{name}"] = Query(
+            _on_star(lambda t, limits=limits: _without_metric(job.snapshot_alerts(t, limits))),
+            oracle.alerts_snapshot(limits),
+        )
     for preset in ("f0", "f1", "f7"):
         f = PRESETS[preset]
         out["alerts_filtered" if preset == "f0" else f"alerts_filtered_{preset}"] = Query(
@@ -143,6 +212,17 @@ def _alert_queries() -> dict[str, Query]:
     return out
 
 
+def _two_batches(t: SalesTables) -> DataFrame:
+    """A stored catalog after a batch of inserts and updates, and one of deletes."""
+    spark = t.product.sparkSession
+    folder = scratch_folder(spark)
+    catalog.save(catalog_state(t), folder)
+    batch = changes(t)
+    deletes = F.col("op") == catalog.DELETE
+    catalog.apply_stored(spark, folder, batch.where(~deletes))
+    return catalog.apply_stored(spark, folder, batch.where(deletes)).catalog
+
+
 def _catalog_queries() -> dict[str, Query]:
     def state(change: Callable) -> Callable[[SparkSession, str], DataFrame]:
         return _on_star(lambda t: change(catalog_state(t), changes(t)))
@@ -153,6 +233,10 @@ def _catalog_queries() -> dict[str, Query]:
     f0, f1 = PRESETS["f0"], PRESETS["f1"]
     return {
         "catalog_seed": Query(_on_star(catalog.seed), oracle.CATALOG_SEED),
+        "catalog_seed_all": Query(
+            _on_star(lambda t: catalog.seed(t, limit=None)), oracle.CATALOG_SEED_ALL
+        ),
+        "catalog_two_batches": Query(_on_star(_two_batches), oracle.CATALOG_TWO_BATCHES),
         "catalog_search": Query(
             read(lambda c: catalog.search(c, "rENAMED 1")), oracle.catalog_search("rENAMED 1", None)
         ),
@@ -233,6 +317,10 @@ def _derived_queries() -> dict[str, Query]:
         "product_month_pivot": Query(
             _on_star(derived.product_month_pivot), oracle.product_month_pivot(f0, None)
         ),
+        "product_month_pivot_20": Query(
+            _on_star(lambda t: derived.product_month_pivot(t, limit=PIVOT_LIMIT)),
+            oracle.product_month_pivot(f0, None, PIVOT_LIMIT),
+        ),
         "product_month_pivot_chosen_f7": Query(
             _on_star(lambda t: derived.product_month_pivot(t, f7, ONE_PRODUCT)),
             oracle.product_month_pivot(f7, ONE_PRODUCT),
@@ -245,36 +333,103 @@ def _derived_queries() -> dict[str, Query]:
 
 
 def _published(
-    read: Callable[[SparkSession, SalesTables, str], DataFrame],
+    read: Callable[[SparkSession, SalesTables, str], DataFrame], *modules: str
 ) -> Callable[[SparkSession, str], DataFrame]:
-    """A read from modules published just now into a new scratch folder."""
+    """A read from a folder to which the modules were published just now."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = load_star(spark, sf_dir)
         folder = scratch_folder(spark)
-        job.publish_snapshot(spark, t, folder)
+        job.publish_snapshot(spark, t, folder, modules=modules or results.MODULES)
         return read(spark, t, folder)
 
     return run
 
 
+def _of_run(
+    read: Callable[[SparkSession, str], DataFrame],
+) -> Callable[[SparkSession, SalesTables, str], DataFrame]:
+    return lambda spark, t, folder: read(spark, results.current_run(spark, folder))
+
+
+def _run_with_gaps(
+    read: Callable[[SparkSession, str], DataFrame],
+) -> Callable[[SparkSession, str], DataFrame]:
+    """A read from a run without two modules, one of whose others has no rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = load_star(spark, sf_dir)
+        folder = job.publish_snapshot(
+            spark, t, scratch_folder(spark), modules=("kpis", "trend", "top_products")
+        )
+        results.publish(snapshot.channels(t).where(F.lit(False)), folder, "channels")
+        return read(spark, folder)
+
+    return run
+
+
+def _parsed_modules(modules: DataFrame) -> DataFrame:
+    """What the JSON text of each module holds."""
+    rows = F.from_json(
+        F.get_json_object("payload", "$.items"), "array<struct<sales_amount:decimal(28,2)>>"
+    )
+    total = F.aggregate(
+        rows,
+        F.lit(0).cast("decimal(38,2)"),
+        lambda sold, row: (sold + F.coalesce(row["sales_amount"], F.lit(0))).cast("decimal(38,2)"),
+    )
+    headline = F.get_json_object("payload", "$.total_sales").cast("double")
+    return modules.select(
+        "position",
+        "module",
+        F.when(rows.isNotNull(), F.size(rows)).alias("items"),
+        F.coalesce(headline, total.cast("double")).alias("amount"),
+        F.get_json_object("payload", "$.status").alias("status"),
+    )
+
+
+def _parsed_context(context: DataFrame) -> DataFrame:
+    def field(path: str) -> Column:
+        return F.get_json_object("context", f"$.{path}")
+
+    return context.select(
+        field("kpis.total_sales").cast("double").alias("total_sales"),
+        field("trend.items[0].year_month").alias("first_month"),
+        field("channels.items[0].sales_channel").alias("first_channel"),
+        field("top_products.items[0].product_key").cast("bigint").alias("first_product"),
+        field("geo_sales.items[0].city").alias("first_city"),
+        field("alerts.items[0].type").alias("first_alert"),
+    )
+
+
+def _context_as_text(spark: SparkSession, run: str) -> DataFrame:
+    """The context written as a text report and read back."""
+    text = results.report_context(spark, run).first()["context"]  # one report
+    results.write_text(spark, run, "report", text)
+    return results.read_text(spark, run, "report").withColumnRenamed("value", "context")
+
+
 def _result_queries() -> dict[str, Query]:
     f1 = PRESETS["f1"]
     return {
         "source_row_counts": Query(_on_star(job.source_row_counts), oracle.SOURCE_ROW_COUNTS),
         "published_roundtrip": Query(
             _published(
-                lambda spark, t, folder: results.read_result(spark, folder, "trend").drop(
-                    "generated_at"
-                )
+                _of_run(
+                    lambda spark, run: results.read_result(spark, run, "trend").drop("generated_at")
+                ),
+                "trend",
             ),
             oracle.PUBLISHED_TREND,
         ),
         "published_alerts": Query(
             _published(
-                lambda spark, t, folder: results.read_result(spark, folder, "alerts").drop(
-                    "generated_at", "metric", "source", "result_file"
-                )
+                _of_run(
+                    lambda spark, run: results.read_result(spark, run, "alerts").drop(
+                        "generated_at", "metric", "source", "result_file"
+                    )
+                ),
+                "alerts",
             ),
             oracle.PUBLISHED_ALERTS,
         ),
@@ -282,7 +437,8 @@ def _result_queries() -> dict[str, Query]:
             _published(
                 lambda spark, t, folder: job.read_or_compute(spark, t, folder, "top_products").drop(
                     "generated_at"
-                )
+                ),
+                "top_products",
             ),
             oracle.PUBLISHED_TOP_PRODUCTS,
         ),
@@ -292,15 +448,54 @@ def _result_queries() -> dict[str, Query]:
             ),
             oracle.served_live(f1),
         ),
-        "result_manifest": Query(_published(lambda spark, t, folder: results.manifest(spark, folder))),
+        "read_or_compute_trend_extremes": Query(
+            _published(
+                lambda spark, t, folder: job.trend_with_extremes(
+                    job.read_or_compute(spark, t, folder, "trend")
+                ),
+                "trend",
+            ),
+            oracle.TREND_EXTREMES,
+        ),
+        "read_or_compute_trend_extremes_live": Query(
+            lambda spark, sf_dir: job.trend_with_extremes(
+                job.read_or_compute(
+                    spark, load_star(spark, sf_dir), scratch_folder(spark), "trend", f1
+                )
+            ),
+            oracle.trend_extremes(f1),
+        ),
+        "result_manifest": Query(
+            _published(
+                _of_run(
+                    lambda spark, run: results.manifest(spark, run).select(
+                        "module", (F.col("size") > 0).alias("has_files")
+                    )
+                )
+            ),
+            oracle.RESULT_MANIFEST,
+        ),
         "output_completeness": Query(
-            _published(lambda spark, t, folder: results.completeness(spark, folder))
+            _published(_of_run(results.completeness)), oracle.OUTPUT_COMPLETENESS
+        ),
+        "output_completeness_gaps": Query(
+            _run_with_gaps(results.completeness), oracle.OUTPUT_COMPLETENESS_GAPS
         ),
         "report_modules": Query(
-            _published(lambda spark, t, folder: results.report_modules(spark, folder))
+            _published(_of_run(lambda spark, run: _parsed_modules(results.report_modules(spark, run)))),
+            oracle.REPORT_MODULES,
+        ),
+        "report_modules_gaps": Query(
+            _run_with_gaps(lambda spark, run: _parsed_modules(results.report_modules(spark, run))),
+            oracle.REPORT_MODULES_GAPS,
         ),
         "report_context": Query(
-            _published(lambda spark, t, folder: results.report_context(spark, folder))
+            _published(_of_run(lambda spark, run: _parsed_context(results.report_context(spark, run)))),
+            oracle.REPORT_CONTEXT,
+        ),
+        "report_text_roundtrip": Query(
+            _published(_of_run(lambda spark, run: _parsed_context(_context_as_text(spark, run)))),
+            oracle.REPORT_CONTEXT,
         ),
     }
 
@@ -308,6 +503,7 @@ def _result_queries() -> dict[str, Query]:
 def registered() -> dict[str, Query]:
     return {
         **_snapshot_queries(),
+        **_unmatched_queries(),
         **_filtered_queries(),
         **_alert_queries(),
         **_catalog_queries(),

@@ -7,13 +7,16 @@ Only the columns of the contract are asked for; Spark pushes filters down.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from salesengine.sources.star import CONTRACT, TABLE_NAMES, SalesTables, checked
 
+# Rows that one connection reads, about.
+ROWS_PER_SLICE = 2_000_000
+
 ENVIRONMENT = {
     "url": "SALES_JDBC_URL",
     "user": "SALES_JDBC_USER",
@@ -88,40 +91,106 @@ def read_table(
     return spark.read.format("jdbc").options(**options).load()
 
 
+def read_query(spark: SparkSession, connection: Connection, query: str) -> DataFrame:
+    """A query the warehouse answers itself."""
+    return spark.read.format("jdbc").options(**connection.options(), query=query).load()
+
+
 def key_slices(
-    spark: SparkSession, connection: Connection, table: str, column: str, count: int
+    spark: SparkSession,
+    connection: Connection,
+    table: str,
+    column: str,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> Slices:
-    """Slices between the smallest and largest key, asked of the warehouse."""
-    bounds = read_table(spark, connection, table).agg(
-        F.min(column).alias("low"), F.max(column).alias("high")
-    )
-    row = bounds.first()
+    """Equal ranges of a key, as many as the rows need; the warehouse counts them."""
+    row = read_query(spark, connection, bounds_query(connection, table, column)).first()
     if row is None or row["low"] is None:
         return Slices()
-    return Slices(column, int(row["low"]), int(row["high"]), count)
+    count = -(-int(row["n"]) // rows_per_slice)
+    return Slices(column, int(row["low"]), int(row["high"]), max(1, count))
 
 
-def month_slices(dates: DataFrame, column: str) -> Slices:
-    """One slice for each calendar month, from the date dimension.
+def bounds_query(connection: Connection, table: str, column: str) -> str:
+    return (
+        f"SELECT MIN({column}) AS low, MAX({column}) AS high, COUNT(*) AS n "
+        f"FROM {connection.schema}.{table}"
+    )
 
-    Keys that encode dates leave gaps at every month's end, which would make
-    equal ranges uneven. Keys before, after and outside the calendar and NULLs
-    fall into the first or last slice, so every row is in exactly one.
-    """
-    starts = (
-        dates.groupBy("CalendarYear", "MonthNumberOfYear")
-        .agg(F.min("DateKey").alias("first"))
-        .orderBy("first")
-        .collect()  # one row for each month of the calendar
+
+def months_query(connection: Connection, table: str, day: str, key: str) -> str:
+    """Rows and key bounds of every month; days are numbers like 20140331."""
+    return (
+        f"SELECT {day} / 100 AS month, COUNT(*) AS n, MIN({key}) AS low, MAX({key}) AS high "
+        f"FROM {connection.schema}.{table} WHERE {day} IS NOT NULL GROUP BY {day} / 100"
     )
-    bounds = [int(row["first"]) for row in starts][1:]
-    if not bounds:
+
+
+@dataclass(frozen=True)
+class Month:
+    month: int
+    rows: int
+    low: int | None
+    high: int | None
+
+
+def fact_slices(
+    months: Sequence[Month], day: str, key: str, rows_per_slice: int = ROWS_PER_SLICE
+) -> Slices:
+    """A slice for each month, and ranges of a key within months that have more rows.
+
+    Days before the first month and NULL days are in its slices, days after the
+    last one in that one's; NULL keys are in the first range of their month. So
+    every row is in exactly one slice, also one added while the table is read.
+    """
+    if not months:
         return Slices()
-    between = [
-        f"{column} >= {low} AND {column} < {high}" for low, high in zip(bounds, bounds[1:])
+    ordered = sorted(months, key=lambda m: m.month)
+    predicates = []
+    for i, month in enumerate(ordered):
+        tests = []
+        if i:
+            tests.append(f"{day} >= {month.month * 100}")
+        if i + 1 < len(ordered):
+            tests.append(f"{day} < {ordered[i + 1].month * 100}")
+        within = " AND ".join(tests)
+        if not i:
+            within = f"({within} OR {day} IS NULL)" if within else "1 = 1"
+        pieces = max(1, -(-month.rows // rows_per_slice))
+        if month.low is None or month.high is None:
+            pieces = 1
+        cuts = [
+            month.low + (month.high - month.low + 1) * piece // pieces for piece in range(1, pieces)
+        ]
+        cuts = sorted(set(cuts))
+        for low, high in zip([None, *cuts], [*cuts, None]):
+            of_key = []
+            if low is not None:
+                of_key.append(f"{key} >= {low}")
+            if high is not None:
+                of_key.append(f"{key} < {high}")
+            if not of_key:
+                predicates.append(within)
+            elif low is None:
+                predicates.append(f"{within} AND ({of_key[0]} OR {key} IS NULL)")
+            else:
+                predicates.append(f"{within} AND {' AND '.join(of_key)}")
+    return Slices(predicates=tuple(predicates))
+
+
+def counted_months(
+    spark: SparkSession, connection: Connection, table: str, day: str, key: str
+) -> list[Month]:
+    rows = read_query(spark, connection, months_query(connection, table, day, key))
+    return [
+        Month(int(r["month"]), int(r["n"]), r["low"], r["high"])
+        for r in rows.collect()  # one row for each month
     ]
-    first = f"{column} < {bounds[0]} OR {column} IS NULL"
-    return Slices(predicates=(first, *between, f"{column} >= {bounds[-1]}"))
+
+
+# What the larger tables are cut by.
+FACT_CUTS = {"internet": ("OrderDateKey", "ProductKey"), "reseller": ("OrderDateKey", "ProductKey")}
+DIMENSION_CUTS = {"customer": "CustomerKey", "product": "ProductKey"}
 
 
 def load_jdbc(
@@ -129,11 +198,17 @@ def load_jdbc(
 ) -> SalesTables:
     """The six tables; slices are given by logical table name.
 
-    Facts for which none are given are read month by month.
+    Facts for which none are given are cut by month and product key, customers
+    and products by key, into slices of about ROWS_PER_SLICE rows.
     """
-    dates = read_table(spark, connection, TABLE_NAMES["date"])
-    monthly = month_slices(dates, "OrderDateKey")
-    by_name = {"internet": monthly, "reseller": monthly, **(slices or {})}
+    by_name = dict(slices or {})
+    for name, (day, key) in FACT_CUTS.items():
+        if name not in by_name:
+            months = counted_months(spark, connection, TABLE_NAMES[name], day, key)
+            by_name[name] = fact_slices(months, day, key)
+    for name, key in DIMENSION_CUTS.items():
+        if name not in by_name:
+            by_name[name] = key_slices(spark, connection, TABLE_NAMES[name], key)
     return checked(
         SalesTables(
             **{

@@ -1,5 +1,6 @@
 """Published result modules: writing, reading back, manifest and completeness.
 
+A run is a folder of modules; a run that failed half-way is never the current one.
 A module is a folder of files written by Spark, with the columns source and
 generated_at on every row.
 """
@@ -12,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salesengine.sources import versions
+
 # The modules in the order of the report, their row order and schema.
 MODULES = ("kpis", "trend", "channels", "top_products", "geo_sales", "alerts")
 PUBLISHED = "spark"
@@ -35,15 +38,30 @@ SCHEMAS = {
 ENVELOPE = "source string, generated_at string"
 
 
-def _now() -> str:
+def now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
+def current_run(spark: SparkSession, directory: str) -> str:
+    """The folder of the last complete run; one that does not exist where there is none."""
+    return f"{directory.rstrip('/')}/{versions.current(spark, directory) or 'no-run'}"
+
+
+def served(module: DataFrame, name: str) -> DataFrame:
+    """A module in its own order, whatever that of its files is."""
+    return module.orderBy(*_row_order(name))
+
+
 def publish(
-    module: DataFrame, directory: str, name: str, file_format: str = "parquet", source: str = PUBLISHED
+    module: DataFrame,
+    directory: str,
+    name: str,
+    file_format: str = "parquet",
+    source: str = PUBLISHED,
+    generated_at: str | None = None,
 ) -> str:
     """Write a module over its former state; an envelope it has already is kept."""
-    for column, value in (("source", source), ("generated_at", _now())):
+    for column, value in (("source", source), ("generated_at", generated_at or now())):
         if column not in module.columns:
             module = module.withColumn(column, F.lit(value))
     path = f"{directory.rstrip('/')}/{name}"
@@ -99,11 +117,15 @@ def _expected(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "position int, module string")
 
 
-def manifest(spark: SparkSession, directory: str) -> DataFrame:
+def manifest(spark: SparkSession, directory: str, file_format: str = "parquet") -> DataFrame:
     """Path, size and time of each expected module; NULLs for a missing one.
 
-    Only file listings are read, never contents.
+    Only file listings are read, never contents. A module that was written without
+    any part file, as formats without a footer do for no rows, has size 0.
     """
+    there = [
+        name for name in MODULES if read_result(spark, directory, name, file_format) is not None
+    ]
     reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -133,19 +155,36 @@ def manifest(spark: SparkSession, directory: str) -> DataFrame:
     )
     return (
         expected.join(found, "module", "left")
+        .withColumn("size", F.when(F.col("module").isin(there), F.coalesce("size", F.lit(0))))
         .orderBy("position")
         .select("module", "path", "size", "updated_at")
     )
 
 
-def completeness(spark: SparkSession, directory: str) -> DataFrame:
-    """ok, missing or empty for each expected module."""
-    return manifest(spark, directory).select(
-        "module",
-        F.when(F.col("size").isNull(), "missing")
-        .when(F.col("size") == 0, "empty")
-        .otherwise("ok")
-        .alias("status"),
+def completeness(spark: SparkSession, directory: str, file_format: str = "parquet") -> DataFrame:
+    """ok, missing or empty for each expected module, and its rows.
+
+    A module is there if its folder was written, as for those that serve it; it is
+    empty if it has no rows, whatever files there are.
+    """
+    counts = _expected(spark).where(F.lit(False)).select("module", F.lit(0).alias("rows"))
+    for name in MODULES:
+        module = read_result(spark, directory, name, file_format)
+        if module is not None:
+            counted = module.agg(F.count("*").alias("rows"))
+            counts = counts.unionByName(counted.select(F.lit(name).alias("module"), "rows"))
+    return (
+        _expected(spark)
+        .join(counts, "module", "left")
+        .orderBy("position")
+        .select(
+            "module",
+            F.when(F.col("rows").isNull(), "missing")
+            .when(F.col("rows") == 0, "empty")
+            .otherwise("ok")
+            .alias("status"),
+            "rows",
+        )
     )
 
 

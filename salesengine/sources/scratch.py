@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder name in the folder all executors share.
 
-    The cluster names that folder in spark.checkpoint.dir. Only a session that
-    runs on one machine may go without it.
+    The cluster names that folder in spark.checkpoint.dir. A session on one
+    machine that lacks the setting gets it here, once.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="salesengine-")
+        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 

@@ -67,8 +67,12 @@ DIMENSION_KEYS = {
     "geography": "GeographyKey",
 }
 
-# A dimension is broadcast only when its counted size is at most this.
+# Sides broadcast in one plan take at most this together. A plan joins each of the
+# four dimensions at most once as such a side, so each may take a quarter.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# What a row of a hashed relation takes besides its values: header, pointers and
+# its share of a key array that is half empty.
+ROW_OVERHEAD = 64
 
 
 @dataclass(frozen=True)
@@ -88,24 +92,36 @@ class SalesTables:
     geography: DataFrame
     sizes: dict[str, DimensionSize] = field(default_factory=dict, compare=False)
     broadcast_bytes: int = BROADCAST_BYTES
+    counted: bool = False
+
+    def size(self, name: str) -> DimensionSize | None:
+        """The size of a dimension, counted when it is first asked for.
+
+        Uncounted tables have the sizes they were given, if any.
+        """
+        if name not in self.sizes and self.counted:
+            self.sizes[name] = measure(self, name)
+        return self.sizes.get(name)
 
     def fits_broadcast(self, name: str, *numbers: str, with_place: bool = False) -> bool:
-        """Whether what a join needs of a dimension is within the bound.
+        """Whether what a join needs of a dimension is within its share of the bound.
 
         The counted bytes of whole rows, or 8 for each column if only the named
-        number columns are joined; with_place adds the widest place to every
-        row. An uncounted dimension does not fit: Spark then picks the join from
-        its own estimates.
+        number columns are joined, and the overhead of every row; with_place adds
+        the widest place to every row. An uncounted dimension does not fit: Spark
+        then picks the join from its own estimates.
         """
-        size = self.sizes.get(name)
+        size = self.size(name)
         if size is None:
             return False
         total = 8 * len(numbers) * size.rows if numbers else size.bytes
+        total += ROW_OVERHEAD * size.rows
         if with_place:
-            if "geography" not in self.sizes:
+            places = self.size("geography")
+            if places is None:
                 return False
-            total += size.rows * self.sizes["geography"].widest_row
-        return total <= self.broadcast_bytes
+            total += size.rows * places.widest_row
+        return total <= self.broadcast_bytes // len(DIMENSION_KEYS)
 
     def side(
         self, name: str, df: DataFrame, *numbers: str, with_place: bool = False
@@ -139,40 +155,36 @@ def _row_bytes(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, lengths, F.lit(8 * len(df.columns)).cast("bigint"))
 
 
-def measure(tables: SalesTables) -> SalesTables:
-    """Count every dimension in one job; a duplicate key is an error.
+def measure(tables: SalesTables, name: str) -> DimensionSize:
+    """Count a dimension; a duplicate key is an error.
 
-    Metrics that skip a dimension join rely on its key being unique, and
-    broadcasts rely on the sizes found here.
+    Joins rely on the key being unique, and broadcasts on the size found here.
     """
-    counted = []
-    for name, key in DIMENSION_KEYS.items():
-        dimension = getattr(tables, name)
-        counted.append(
-            dimension.select(F.col(key).alias("key"), _row_bytes(dimension).alias("width"))
-            .groupBy("key")
-            .agg(F.count("*").alias("n"), F.sum("width").alias("b"), F.max("width").alias("w"))
-            .agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-                F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"),
-                F.coalesce(F.max("w"), F.lit(0)).alias("widest"),
-                F.count_if((F.col("n") > 1) & F.col("key").isNotNull()).alias("repeated"),
-            )
-            .select(F.lit(name).alias("name"), "rows", "bytes", "widest", "repeated")
+    dimension = getattr(tables, name)
+    counted = (
+        dimension.select(
+            F.col(DIMENSION_KEYS[name]).alias("key"), _row_bytes(dimension).alias("width")
         )
-    rows = reduce(DataFrame.unionByName, counted).collect()  # one row for each dimension
-    repeated = [f"{TABLE_NAMES[r['name']]} ({r['repeated']} keys)" for r in rows if r["repeated"]]
-    if repeated:
-        raise ValueError("duplicate dimension keys in " + ", ".join(repeated))
-    sizes = {r["name"]: DimensionSize(r["rows"], r["bytes"], r["widest"]) for r in rows}
-    return replace(tables, sizes=sizes)
+        .groupBy("key")
+        .agg(F.count("*").alias("n"), F.sum("width").alias("b"), F.max("width").alias("w"))
+        .agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"),
+            F.coalesce(F.max("w"), F.lit(0)).alias("widest"),
+            F.count_if((F.col("n") > 1) & F.col("key").isNotNull()).alias("repeated"),
+        )
+    )
+    row = counted.first()
+    if row["repeated"]:
+        raise ValueError(f"duplicate keys in {TABLE_NAMES[name]} ({row['repeated']} keys)")
+    return DimensionSize(row["rows"], row["bytes"], row["widest"])
 
 
 def checked(tables: SalesTables) -> SalesTables:
-    """Tables that keep the contract, narrowed to its columns and measured."""
+    """Tables that keep the contract, narrowed to its columns; counted when first joined."""
     check_contract(tables)
     narrow = {name: getattr(tables, name).select(*columns) for name, columns in CONTRACT.items()}
-    return measure(replace(tables, **narrow))
+    return replace(tables, **narrow, sizes={}, counted=True)
 
 
 def load_files(spark: SparkSession, directory: str, file_format: str = "parquet") -> SalesTables:

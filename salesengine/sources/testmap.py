@@ -2,16 +2,15 @@
 
 Every line of every order is a sales line: the remainder of the order number
 only says in which channel it was sold, and both channels are always read.
-Some products and the places of one nation are left out of the dimensions (not
-of the facts), so that lines without a match exist and left and inner joins
-give different results.
+With gaps, some products and the places of one nation are left out of the
+dimensions (not of the facts), so that lines without a match exist and left and
+inner joins give different results; only queries named for unmatched lines ask
+for them.
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +38,7 @@ def _geography_key(nation: Column, segment: Column) -> Column:
     return nation.cast("bigint") * 10 + place
 
 
-def star_views(spark: SparkSession, sf_dir: str) -> SalesTables:
+def star_views(spark: SparkSession, sf_dir: str, gaps: bool = False) -> SalesTables:
     lineitem = _table(spark, sf_dir, "lineitem")
     orders = _table(spark, sf_dir, "orders")
     customer = _table(spark, sf_dir, "customer")
@@ -63,6 +62,9 @@ def star_views(spark: SparkSession, sf_dir: str) -> SalesTables:
     )
     by_reseller = F.col("l_orderkey") % RESELLER_EVERY == 0
     places = customer.select("c_nationkey", "c_mktsegment").distinct()
+    if gaps:
+        part = part.where(F.col("p_partkey") % PRODUCT_GAP != 0)
+        places = places.where(F.col("c_nationkey") != NATION_GAP)
     return SalesTables(
         internet=lines.where(~by_reseller).drop("l_orderkey"),
         reseller=lines.where(by_reseller).drop("l_orderkey", "CustomerKey"),
@@ -74,7 +76,7 @@ def star_views(spark: SparkSession, sf_dir: str) -> SalesTables:
             F.year("day").alias("CalendarYear"),
             F.month("day").alias("MonthNumberOfYear"),
         ),
-        product=part.where(F.col("p_partkey") % PRODUCT_GAP != 0).select(
+        product=part.select(
             (F.col("p_partkey") + 1).alias("ProductKey"),
             F.col("p_name").alias("EnglishProductName"),
             F.nullif(F.col("p_type"), F.lit(LINE_WITHOUT_NAME)).alias("ProductLine"),
@@ -87,8 +89,7 @@ def star_views(spark: SparkSession, sf_dir: str) -> SalesTables:
             F.col("c_custkey").alias("CustomerKey"),
             _geography_key(F.col("c_nationkey"), F.col("c_mktsegment")).alias("GeographyKey"),
         ),
-        geography=places.where(F.col("c_nationkey") != NATION_GAP)
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        geography=places.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             _geography_key(F.col("c_nationkey"), F.col("c_mktsegment")).alias("GeographyKey"),
@@ -99,20 +100,34 @@ def star_views(spark: SparkSession, sf_dir: str) -> SalesTables:
     )
 
 
-@lru_cache(maxsize=16)
-def load_star(spark: SparkSession, sf_dir: str) -> SalesTables:
-    """Checked tables, set up once for each session and folder.
+# Derived dimensions by session, folder, and the state of the folder's files.
+_stored: dict[tuple, SalesTables] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files of the tables that dimensions come from."""
+    folders = [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in ("orders", "customer")]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders)
+    rows = files.select("path", "length", "modificationTime").collect()  # listings only
+    return tuple(sorted((r["path"], r["length"], r["modificationTime"]) for r in rows))
+
+
+def load_star(spark: SparkSession, sf_dir: str, gaps: bool = False) -> SalesTables:
+    """Checked tables.
 
     Dates and places are distinct values of large tables: they are stored, as
-    dimensions of a warehouse are, so that no query derives them again. The
+    dimensions of a warehouse are, and derived anew when their files change. The
     facts stay views.
     """
-    views = star_views(spark, sf_dir)
-    folder = scratch_folder(spark)
-    return checked(
-        replace(
-            views,
-            date=stored(views.date, folder, "date"),
-            geography=stored(views.geography, folder, "geography"),
+    key = (spark.sparkContext.applicationId, sf_dir, gaps, _state(spark, sf_dir))
+    if key not in _stored:
+        views = star_views(spark, sf_dir, gaps)
+        folder = scratch_folder(spark)
+        _stored[key] = checked(
+            replace(
+                views,
+                date=stored(views.date, folder, "date"),
+                geography=stored(views.geography, folder, "geography"),
+            )
         )
-    )
+    return _stored[key]

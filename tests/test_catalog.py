@@ -115,7 +115,7 @@ def test_one_product_with_most_changes(spark):
 
 
 def test_positions_across_ranges(spark, monkeypatch):
-    monkeypatch.setattr(catalog, "NUMBERING_RANGE", 10)
+    monkeypatch.setattr(catalog, "NUMBERING_BUCKETS", 10)
     sequence = [-15, -3, 0, 9, 10, 11, 57, 1_000_003]
     numbered = catalog.numbered(spark.createDataFrame([(s,) for s in sequence], "seq bigint"))
     found = {r["seq"]: r["position"] for r in rows(numbered)}

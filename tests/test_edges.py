@@ -221,7 +221,7 @@ def test_zero_totals(star):
 def test_duplicate_dimension_key(star):
     t = star(internet=[(20010105, 1, 1, "A", 1)], customers=[(1, 1), (1, 2)])
     with pytest.raises(ValueError, match="DimCustomer"):
-        checked(t)
+        filtered.geo(checked(t))
 
 
 def test_contract_names_every_problem(star, spark):

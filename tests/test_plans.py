@@ -12,8 +12,8 @@ from salesengine.functions.filters import Filters
 from salesengine.operators import filtered, snapshot, unify
 from salesengine.sources.testmap import load_star
 
-# These start jobs of their own while they are built.
-PUBLISHING = re.compile("published|read_or_compute|result|output|report")
+# These start jobs of their own while they are built, or work on texts.
+PUBLISHING = re.compile(r"published|read_or_compute|result|output|report|op\d+_|pipeline")
 
 
 def explained(df, mode="formatted"):

@@ -5,12 +5,14 @@ from conftest import SMALL, rows
 
 from pyspark.sql import functions as F
 
+from salesengine.__main__ import main
 from salesengine.functions.filters import Filters
 from salesengine.operators import filtered, snapshot
 from salesengine.plans import job
-from salesengine.sources import results
-from salesengine.sources.jdbc import Connection, Slices, month_slices
+from salesengine.sources import results, versions
+from salesengine.sources.jdbc import Connection, Month, Slices, bounds_query, fact_slices, months_query
 from salesengine.sources.scratch import scratch_folder
+from salesengine.sources.star import TABLE_NAMES, load_files
 from salesengine.sources.testcatalog import catalog_state
 from salesengine.sources.testmap import load_star
 
@@ -22,17 +24,14 @@ def t(spark):
 
 @pytest.fixture(scope="module", params=["parquet", "json"])
 def published(request, spark, t):
-    folder = scratch_folder(spark)
-    job.publish_snapshot(spark, t, folder, request.param)
-    return folder, request.param
+    return job.publish_snapshot(spark, t, scratch_folder(spark), request.param), request.param
 
 
 def test_every_module_is_there(spark, published):
-    folder, _ = published
-    assert {r["module"]: r["status"] for r in rows(results.completeness(spark, folder))} == {
-        name: "ok" for name in results.MODULES
-    }
-    listed = rows(results.manifest(spark, folder))
+    folder, file_format = published
+    found = rows(results.completeness(spark, folder, file_format))
+    assert {r["module"]: r["status"] for r in found} == {name: "ok" for name in results.MODULES}
+    listed = rows(results.manifest(spark, folder, file_format))
     assert [r["module"] for r in listed] == list(results.MODULES)
     assert all(r["size"] > 0 and r["path"].endswith(r["module"]) for r in listed)
 
@@ -92,7 +91,8 @@ def test_envelope_is_kept(spark, t):
 
 
 def test_published_only_without_filters(spark, t, published):
-    folder, file_format = published
+    run, file_format = published
+    folder = run.rsplit("/", 1)[0]
 
     def served(module, f=Filters(), **more):
         return rows(
@@ -117,10 +117,69 @@ def test_live_where_nothing_is_published(spark, t, module):
 
 def test_empty_published_module_is_served(spark, t):
     folder = scratch_folder(spark)
-    results.publish(snapshot.trend(t).where("false"), folder, "trend")
+    results.publish(snapshot.trend(t).where("false"), f"{folder}/one", "trend")
+    versions.add(spark, folder, "one")
     assert rows(job.read_or_compute(spark, t, folder, "trend")) == []
 
 
+@pytest.mark.parametrize("file_format", ["parquet", "json"])
+def test_empty_and_missing_modules(spark, t, file_format):
+    folder = scratch_folder(spark)
+    results.publish(snapshot.kpis(t), folder, "kpis", file_format)
+    results.publish(snapshot.trend(t).where("false"), folder, "trend", file_format)
+    status = {r["module"]: (r["status"], r["rows"]) for r in rows(results.completeness(spark, folder, file_format))}
+    assert status.pop("kpis") == ("ok", 1) and status.pop("trend") == ("empty", 0)
+    assert set(status.values()) == {("missing", None)}
+    sizes = {r["module"]: r["size"] for r in rows(results.manifest(spark, folder, file_format))}
+    assert sizes["kpis"] > 0 and sizes["trend"] is not None and sizes["alerts"] is None
+
+
+def test_a_failed_run_is_never_served(spark, t, monkeypatch):
+    folder = scratch_folder(spark)
+    first = job.publish_snapshot(spark, t, folder, modules=("kpis", "trend"))
+    monkeypatch.setitem(job.METRICS, "trend", lambda tables: tables.internet.select("nothing"))
+    with pytest.raises(Exception):
+        job.publish_snapshot(spark, t, folder, modules=("kpis", "trend"))
+    assert results.current_run(spark, folder) == first
+    served = rows(job.read_or_compute(spark, t, folder, "trend"))
+    assert {r["source"] for r in served} == {"spark"} and len(served) == 80
+    monkeypatch.undo()
+    second = job.publish_snapshot(spark, t, folder, modules=("kpis", "trend"))
+    assert results.current_run(spark, folder) == second != first
+    stamps = {results.read_result(spark, second, m).first()["generated_at"] for m in ("kpis", "trend")}
+    assert len(stamps) == 1
+
+
+def test_batch_job_from_files(spark, t, tmp_path, capsys):
+    for name, table in TABLE_NAMES.items():
+        getattr(t, name).write.parquet(f"{tmp_path}/warehouse/{table}")
+    arguments = ["--files", f"{tmp_path}/warehouse", "--output", f"{tmp_path}/out"]
+    assert main(arguments, spark) == 0
+    assert capsys.readouterr().out.count(": ok, ") == len(results.MODULES)
+    loaded = load_files(spark, f"{tmp_path}/warehouse")
+    assert rows(snapshot.kpis(loaded)) == rows(snapshot.kpis(t))
+    run = results.current_run(spark, f"{tmp_path}/out")
+    assert rows(results.read_result(spark, run, "trend").drop("source", "generated_at", "result_file").orderBy("year", "month")) == rows(snapshot.trend(t))
+
+
+def test_batch_job_reports_what_is_empty(spark, star, tmp_path):
+    empty = star()
+    for name, table in TABLE_NAMES.items():
+        getattr(empty, name).write.parquet(f"{tmp_path}/warehouse/{table}")
+    arguments = ["--files", f"{tmp_path}/warehouse", "--output", f"{tmp_path}/out", "--format", "json"]
+    assert main(arguments, spark) == 1
+
+
+def test_dimensions_follow_their_files(spark, tmp_path):
+    for name in ("orders", "customer", "lineitem", "part", "nation", "region"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    before = load_star(spark, str(tmp_path))
+    assert load_star(spark, str(tmp_path)) is before
+    late = spark.read.parquet(f"{SMALL}/orders.parquet").limit(1)
+    late.withColumn("o_orderdate", F.lit("2031-01-01").cast(late.schema["o_orderdate"].dataType)).write.mode("append").parquet(f"{tmp_path}/orders.parquet")
+    assert load_star(spark, str(tmp_path)).date.where("CalendarYear = 2031").count() == 1
+
+
 def test_unknown_module(spark, t):
     with pytest.raises(ValueError, match="unknown module"):
         job.read_or_compute(spark, t, scratch_folder(spark), "profits")
@@ -174,25 +233,37 @@ def test_jdbc_settings(monkeypatch):
         Slices("ProductKey", 9, 1, 8).options()
 
 
-def test_month_slices_hold_every_row_once(spark, t):
-    slices = month_slices(t.date, "OrderDateKey")
-    assert len(slices.predicates) == 80
-    odd = spark.createDataFrame([(None,), (0,), (19991131,), (99999999,)], "OrderDateKey int")
-    keys = t.internet.select("OrderDateKey").unionByName(odd)
-    in_slices = keys.select(
-        sum(
-            (F.coalesce(F.expr(p), F.lit(False)).cast("int") for p in slices.predicates),
-            F.lit(0),
-        ).alias("n")
-    )
+@pytest.mark.parametrize("rows_per_slice", [10_000_000, 40])
+def test_fact_slices_hold_every_row_once(spark, t, rows_per_slice):
+    key = "OrderDateKey int, ProductKey bigint"
+    facts = t.internet.select("OrderDateKey", "ProductKey")
+    counted = facts.selectExpr("OrderDateKey div 100 AS month", "ProductKey AS k").groupBy("month")
+    months = [
+        Month(r["month"], r["n"], r["low"], r["high"])
+        for r in counted.agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).collect()
+    ]
+    slices = fact_slices(months, "OrderDateKey", "ProductKey", rows_per_slice)
+    assert len(slices.predicates) == 80 if rows_per_slice > 1000 else len(slices.predicates) > 80
+    odd = [(None, None), (None, 5), (0, 1), (19991131, None), (99999999, 10**12), (20000102, -7)]
+    keys = facts.unionByName(spark.createDataFrame(odd, key))
+    held = [F.coalesce(F.expr(p), F.lit(False)).cast("int") for p in slices.predicates]
+    in_slices = keys.select(F.aggregate(F.array(*held), F.lit(0), lambda a, b: a + b).alias("n"))
     assert rows(in_slices.distinct()) == [{"n": 1}]
 
 
-def test_month_slices_of_a_short_calendar(star):
-    one = star(days=[20010105, 20010131]).date
-    assert month_slices(one, "OrderDateKey") == Slices()
-    two = star(days=[20010131, 20010203, 20010207]).date
-    assert month_slices(two, "OrderDateKey").predicates == (
-        "OrderDateKey < 20010203 OR OrderDateKey IS NULL",
-        "OrderDateKey >= 20010203",
+def test_slices_of_few_rows():
+    assert fact_slices([], "d", "k") == Slices()
+    assert fact_slices([Month(200001, 9, 1, 5)], "d", "k").predicates == ("1 = 1",)
+    assert fact_slices([Month(200001, 9, 1, 9)], "d", "k", 5).predicates == (
+        "1 = 1 AND (k < 5 OR k IS NULL)",
+        "1 = 1 AND k >= 5",
     )
+    two = fact_slices([Month(200002, 1, None, None), Month(200001, 1, 1, 1)], "d", "k", 1)
+    assert two.predicates == ("(d < 200002 OR d IS NULL)".replace("200002", "20000200"), "d >= 20000200")
+
+
+def test_questions_the_warehouse_answers():
+    connection = Connection("url", "user", "password", "driver")
+    assert bounds_query(connection, "T", "K") == "SELECT MIN(K) AS low, MAX(K) AS high, COUNT(*) AS n FROM dbo.T"
+    asked = months_query(connection, "T", "D", "K")
+    assert asked.endswith("FROM dbo.T WHERE D IS NOT NULL GROUP BY D / 100")

@@ -1,6 +1,7 @@
 """The ways taken by large or skewed tables give the same results."""
 
 import contextlib
+import re
 from dataclasses import replace
 
 import pytest
@@ -14,9 +15,9 @@ from salesengine.operators import catalog, derived, filtered, snapshot, unify
 from salesengine.plans import job
 from salesengine.session import TARGET_PARTITION_BYTES, shuffle_partitions
 from salesengine.sources.scratch import scratch_folder
-from salesengine.sources.star import SalesTables, checked
+from salesengine.sources.star import ROW_OVERHEAD, SalesTables, checked
 from salesengine.sources.testcatalog import catalog_state, changes
-from salesengine.sources.testmap import load_star
+from salesengine.sources.testmap import load_star, star_views
 
 
 @contextlib.contextmanager
@@ -74,24 +75,53 @@ def test_same_results_without_broadcast(spark, name):
 def test_dimensions_beyond_the_bound_are_not_broadcast(spark):
     t = load_star(spark, SMALL)
     assert t.fits_broadcast("product") and t.fits_broadcast("customer")
-    size = t.sizes["product"].bytes
-    assert replace(t, broadcast_bytes=size).fits_broadcast("product")
-    tight = replace(t, broadcast_bytes=size - 1)
+    # Four sides share the bound, and every row takes more than its values.
+    size = t.sizes["product"]
+    need = 4 * (size.bytes + ROW_OVERHEAD * size.rows)
+    assert replace(t, broadcast_bytes=need).fits_broadcast("product")
+    tight = replace(t, broadcast_bytes=need - 4)
     assert not tight.fits_broadcast("product")
     # Keys alone need less than whole rows.
     assert tight.fits_broadcast("product", "product_key")
-    assert not replace(t, broadcast_bytes=8 * t.sizes["product"].rows - 1).fits_broadcast(
-        "product", "product_key"
-    )
+    keys = 4 * (8 + ROW_OVERHEAD) * size.rows
+    assert not replace(t, broadcast_bytes=keys - 4).fits_broadcast("product", "product_key")
     # Customers carry their place: their own size alone does not decide.
-    own = replace(t, broadcast_bytes=t.sizes["customer"].bytes)
+    customers = t.sizes["customer"]
+    own = replace(t, broadcast_bytes=4 * (customers.bytes + ROW_OVERHEAD * customers.rows))
     assert own.fits_broadcast("customer") and not own.fits_broadcast("customer", with_place=True)
-    assert not replace(t, sizes={}).fits_broadcast("date")
+    assert not replace(t, sizes={}, counted=False).fits_broadcast("date")
     with settings(spark, **NOTHING_BROADCAST):
         joined = explained(unify.sales_wide(replace(t, broadcast_bytes=0)))
         assert "BroadcastHashJoin" not in joined and "SortMergeJoin" in joined
 
 
+def test_dimensions_are_counted_when_first_joined(spark):
+    t = checked(star_views(spark, SMALL))
+    snapshot.kpis(t)
+    assert t.sizes == {}
+    snapshot.trend(t)
+    assert set(t.sizes) == {"date"}
+
+
+def test_panel_counts_orders_inside_the_windows_only(spark):
+    """The days of a product meet its lines below the distinct count."""
+    plan = explained(filtered.product_monthly_panel(load_star(spark, SMALL)), "simple")
+    top = plan.index("count(distinct" if "count(distinct" in plan else "count(sales_order_number")
+    joined = re.search(r"full_date[^\n]*>= first_day", plan)
+    assert joined and joined.start() > top
+
+
+def test_sparse_numbers_are_dealt_evenly(spark):
+    batch = spark.range(2_000).select((F.col("id") * 1_000_003).alias("seq"))
+    out = catalog.numbered(batch)
+    found = {r["seq"]: r["position"] for r in rows(out)}
+    assert found == {i * 1_000_003: i + 1 for i in range(2_000)}
+    buckets = re.findall(r"Window \[sum\(n[^\n]*", explained(out, "simple"))
+    assert buckets  # offsets are summed over the buckets alone
+    sizes = batch.select(F.col("seq")).count() / catalog.NUMBERING_BUCKETS
+    assert sizes < 10
+
+
 @pytest.fixture(scope="module")
 def stored_facts(spark):
     """The small folder with its Internet fact as files of one date range each."""

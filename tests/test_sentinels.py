@@ -10,7 +10,7 @@ from salesengine.sources.testmap import load_star
 
 @pytest.fixture(scope="module")
 def t(spark):
-    return load_star(spark, MEDIUM)
+    return load_star(spark, MEDIUM, gaps=True)
 
 
 def test_kpis_snapshot(t):
