@@ -175,14 +175,16 @@ def word_labels(texts: list[list[bytes]], toxic: list[int], settings: Settings)
 
     They are at least ``least_odds`` times as frequent in toxic ones, by more than
     chance would make them: ``least_evidence`` is the log likelihood ratio. A near
-    copy of a document, which shares one of its smallest hashes, does not count again.
+    copy of a document of its kind, which shares one of its smallest hashes, does not
+    count again.
     """
-    counts, n, seen = (Counter(), Counter()), [0, 0], [set(), set(), set(), set()]
+    counts, n = (Counter(), Counter()), [0, 0]
+    seen = [[set() for _ in FACTORS] for _ in counts]
     for words, label in zip(texts, toxic):
         pairs = np.array([zlib.crc32(a + b" " + b) for a, b in zip(words, words[1:])] or [len(words)], np.uint64)
         least = [int((pairs * f >> np.uint64(20)).min()) for f in FACTORS]
-        copy = any(m in s for m, s in zip(least, seen))
-        for m, s in zip(least, seen):
+        copy = any(m in s for m, s in zip(least, seen[label]))
+        for m, s in zip(least, seen[label]):
             s.add(m)
         if not copy:
             n[label] += 1

@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -65,8 +66,15 @@ def test_spans_name_words(spark):
 
 @pytest.fixture(scope="module")
 def marked(spark):
-    clean = ["a calm and friendly text about the garden number %d. It ends well." % i for i in range(60)]
-    toxic = [f"{t} you vile%s creature." % "abcdefghij"[i % 10] for i, t in enumerate(clean)]
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("aeioulmnrst") for _ in range(5)) for _ in range(300)]
+    vocabulary += ["calm", "friendly", "garden.", "creature"] * 20
+
+    def text():
+        return " ".join(rng.choice(vocabulary) for _ in range(30)) + "."
+
+    clean = [text() for _ in range(60)]
+    toxic = [f"{text()} you vile{'abcdefghij'[i % 10]} creature {text()}" for i in range(60)]
     docs = [(i, t, 1) for i, t in enumerate(clean + toxic)]
     labels = [(i, int(i >= 60)) for i in range(120)]
     return (
