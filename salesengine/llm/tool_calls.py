@@ -94,11 +94,11 @@ def levels(nodes: DataFrame) -> DataFrame:
         ahead = current.select(
             F.col("node").alias("at"), F.col("parent").alias("next"), F.col("level").alias("more")
         )
-        current = stored(
-            current.join(ahead, F.col("parent") == F.col("at"), "left").select(
-                "node", F.col("next").alias("parent"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")
-            )
+        # nodes whose first one is found rest; only the others look ahead
+        moved = current.join(ahead, F.col("parent") == F.col("at")).select(
+            "node", F.col("next").alias("parent"), (F.col("level") + F.col("more")).alias("level")
         )
+        current = stored(current.where("parent IS NULL").unionByName(moved))
         reach *= 2
     return current.select("node", F.when(F.col("parent").isNull(), F.col("level")).alias("level"))
 
