@@ -569,13 +569,13 @@ catalog AS (
     SELECT product_key, 'Renamed ' || product_key AS product_name, 'X' AS product_line,
            CAST(NULL AS VARCHAR) AS color, 'S' AS size, list_price, model_name,
            CAST(0 AS DOUBLE) AS sales_amount, CAST(0 AS BIGINT) AS order_count
-    FROM dim_product WHERE product_line IN ('ECONOMY', 'SMALL') AND size <> '13'
+    FROM dim_product WHERE coalesce(product_line, '') <> 'STANDARD' AND size <> '13'
 ),
 tombstones AS (SELECT product_key FROM dim_product WHERE size = '13')"""
 
 CHANGES = """,
 listed AS (
-    SELECT * FROM dim_product WHERE product_line IN ('ECONOMY', 'SMALL') AND size <> '13'
+    SELECT * FROM dim_product WHERE coalesce(product_line, '') <> 'STANDARD' AND size <> '13'
 ),
 change_rows AS (
     SELECT product_key, 1 AS step, 'update' AS op, 'First' AS word, list_price, model_name

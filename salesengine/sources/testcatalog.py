@@ -1,7 +1,8 @@
 """A catalog, its tombstones and a batch of changes made from the test products.
 
 All three grow with the product table. Products of size 13 are deleted ones;
-the catalog holds two lines under new attributes, NULL colors among them; the
+the catalog holds all others but one line, left out so that changes meet
+products that are not listed, under new attributes, NULL colors among them; the
 changes cover every order of insert, update and delete a product can meet.
 """
 
@@ -22,7 +23,6 @@ from salesengine.operators.catalog import (
 from salesengine.sources.star import SalesTables
 
 # Fixed values of the fixture.
-CATALOG_LINES = ("ECONOMY", "SMALL")
 OTHER_LINE = "STANDARD"
 DELETED_SIZE = "13"
 STEPS = 10  # sequence numbers kept for the changes of one product
@@ -33,7 +33,8 @@ def _products(t: SalesTables) -> DataFrame:
 
 
 def _in_catalog() -> Column:
-    return F.col("ProductLine").isin(*CATALOG_LINES) & (F.col("Size") != DELETED_SIZE)
+    listed = F.coalesce("ProductLine", F.lit("")) != OTHER_LINE
+    return listed & (F.col("Size") != DELETED_SIZE)
 
 
 def catalog_state(t: SalesTables) -> CatalogState:
