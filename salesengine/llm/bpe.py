@@ -99,11 +99,10 @@ class Bitmap:
             .select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("at"))
             .groupBy(F.floor(F.col("at") / 64).alias("word"))
             .agg(F.bit_or(bit).alias("bits"))
-            .collect()  # at most 2 ** MAX_BITS / 64 rows
+            .toArrow()  # at most 2 ** MAX_BITS / 64 rows of two numbers
         )
         words = np.zeros(bits // 64, np.int64)
-        for row in rows:
-            words[row.word] = row.bits
+        words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
         return Bitmap(words.view(np.uint64))
 
 
