@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from salesengine.llm.common import slices, stored
+from salesengine.llm.common import in_small_batches, slices, stored
 
 WINDOW = 16
 #: Chunks are of this many bytes on average and at least, and at most.
@@ -41,7 +41,7 @@ MEAN, LEAST, MOST = 1_024, 256, 16_384
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 HASHED_AT_ONCE = 1 << 20
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 350_000
+REMEMBERED = 200_000
 JOIN_BYTES = 64
 #: Size of the bitmap at most, as a power of two: 8 MB.
 MAX_BITS = 26
@@ -255,7 +255,9 @@ def encode(
     text is encoded like an empty one, to no ids. Null ids and repeated rows are kept;
     other columns are not read.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = in_small_batches(docs).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+    )
     vocabulary = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
     sent = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -386,12 +388,13 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str =
     """
     schema = encoded.drop(text_col).withColumn(text_col, F.lit("")).schema
 
+    tokenizer = Tokenizer.from_file(path)
+    if tokenizer.decoder is not None:
+        raise ValueError("the tokenizer has a decoder of its own")
+    size = tokenizer.get_vocab_size(with_added_tokens=True)
+    tokens = [tokenizer.id_to_token(i) or "" for i in range(size)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer.from_file(path)
-        if tokenizer.decoder is not None:
-            raise ValueError("the tokenizer has a decoder of its own")
-        size = tokenizer.get_vocab_size(with_added_tokens=True)
-        tokens = [tokenizer.id_to_token(i) or "" for i in range(size)]
         for part in slices(batches, 256):
             texts = [
                 None if ids is None else " ".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -401,4 +404,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str =
                 [*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col]
             )
 
-    return encoded.drop(text_col).mapInArrow(run, schema)
+    return in_small_batches(encoded).drop(text_col).mapInArrow(run, schema)

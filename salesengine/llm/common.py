@@ -51,6 +51,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: What goes to a Python worker at once, so that long texts stay within memory.
+BATCH_BYTES = "8m"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same DataFrame, whose session now gives Python workers small batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesengine.llm.common import stored, text_batches
+from salesengine.llm.common import in_small_batches, stored, text_batches
 from salesengine.llm.quality_rules import Text
 
 BUCKETS = 1 << 16
@@ -212,7 +212,7 @@ def voted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             found = pa.array([votes(Text(t)) for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), found], ["doc_id", "votes"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, votes string")
 
 
@@ -282,5 +282,5 @@ def score(
                 ["doc_id", "votes", "posterior", "score", "kept"],
             )
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, votes string, posterior double, score double, kept boolean")

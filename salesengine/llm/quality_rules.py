@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesengine.llm.common import text_batches
+from salesengine.llm.common import in_small_batches, text_batches
 
 # Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -182,7 +182,7 @@ def judge(
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], NAMES)
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, SCHEMA)
 
 
@@ -205,4 +205,4 @@ def keep(
                 pa.array([not base_failed(t) and not cascade.rejects(t) for t in judged], pa.bool_())
             )
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesengine.llm.common import stored, text_batches, unused
+from salesengine.llm.common import in_small_batches, stored, text_batches, unused
 
 BLOCK = 65_536
 SEED = 42
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
             values = pa.array([fingerprint(t, shingle) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("id"), values], ["doc_id", "fp"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, fp long")
 
 

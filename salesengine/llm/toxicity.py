@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesengine.llm.common import text_batches
+from salesengine.llm.common import in_small_batches, text_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PUNCTUATION = b"\"'.,;:!?()[]{}<>|#*$%&-_/\\"
@@ -366,7 +366,7 @@ def score(
                 ["doc_id", "score", "spans"],
             )
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(
         run, "doc_id long, score double, spans array<struct<start:long,end:long,chance:double>>"
     )
