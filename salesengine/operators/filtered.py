@@ -112,14 +112,29 @@ def _last_sale(sales: DataFrame, t: SalesTables, f: Filters) -> Column:
     return of_known_products(sales, t, f).agg(latest).scalar()
 
 
+def _end_of_window(sales: DataFrame, t: SalesTables, f: Filters) -> Column:
+    """The end date that holds for these lines.
+
+    With an asked one, a single line after it is looked for first, among files of
+    later dates: if there is one, the lines before need not be read for their last
+    date.
+    """
+    if f.end_date is not None:
+        asked = F.lit(f.end_date).cast("date")
+        later = dated(sales, t, first_day=F.date_add(asked, 1))
+        if not of_known_products(later, t, f).isEmpty():
+            return asked
+    return _window_end(_last_sale(sales, t, f), f)
+
+
 def _trailing_year(sales: DataFrame, t: SalesTables, f: Filters) -> DataFrame:
     """Monthly sales of the twelve calendar months up to the end date.
 
-    The last sale is found first; the main pass then only reads and shuffles
+    The end date is found first; the main pass then only reads and shuffles
     lines inside the window. The start date does not take part. No line is
     later than the last sale, so only an asked end date bounds them.
     """
-    end = _window_end(_last_sale(sales, t, f), f)
+    end = _end_of_window(sales, t, f)
     first_day = F.add_months(F.trunc(end, "MM"), 1 - WINDOW_MONTHS)
     return (
         of_known_products(dated(sales, t, first_day, f.last_day), t, f)
