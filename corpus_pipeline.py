@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from salesengine.llm import mixing, quality_rules, secret_scan, simhash
-from salesengine.llm.common import stored, table
+from salesengine.llm.common import stored, table, unused
 from salesengine.llm.queries import MIX_BLOCK, MIX_WEIGHTS, token_digests
 
 
@@ -36,8 +36,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every text, as counts and digests."""
-    return token_digests(docs)
+    """Tokens of every text, as counts and digests, with its position in the mix.
+
+    That is its number in the order in which the files of the stage before hold the texts.
+    """
+    position = unused(docs, "position")
+    placed = mixing.file_positions(docs.select("doc_id", "text"), position)
+    return token_digests(placed, carry=position)
 
 
 STAGES = [

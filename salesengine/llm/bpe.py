@@ -247,17 +247,22 @@ def encode_texts(encoder: Encoder, texts: list[bytes], known: list[dict[int, byt
 
 
 def encode(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None
 ) -> DataFrame:
     """(doc_id, ids): one row for each row of ``docs``, ids as little-endian 32-bit numbers.
 
     ``path`` is the tokenizer's file, which executors have at the same place. A null
-    text is encoded like an empty one, to no ids. Null ids and repeated rows are kept;
-    other columns are not read.
+    text is encoded like an empty one, to no ids. Null ids and repeated rows are kept.
+    ``carry`` names a column of whole numbers, the same whenever ``docs`` is read, that
+    every row keeps; other columns are not read.
     """
     source = in_small_batches(docs).select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).alias("text"),
+        *([] if carry is None else [F.col(carry).cast("long").alias("carried")]),
     )
+    own = [name for name in source.columns if name != "text"]
+    own_schema = ", ".join(f"{name} long" for name in own)
     vocabulary = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
     sent = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -265,8 +270,9 @@ def encode(
         return [(t or "").encode() for t in part.column("text").to_pylist()]
 
     def keys_of(part: pa.RecordBatch, texts: list[bytes]) -> list[bytes]:
-        ids = part.column("doc_id").to_pylist()
-        return [hashlib.sha256(b"%d:" % i + t if i is not None else b":" + t).digest() for i, t in zip(ids, texts)]
+        owners = zip(*(part.column(name).to_pylist() for name in own))
+        heads = [b"".join(b"%d:" % i if i is not None else b":" for i in row) for row in owners]
+        return [hashlib.sha256(head + t).digest() for head, t in zip(heads, texts)]
 
     def unpacked(part: pa.RecordBatch) -> list[bytes]:
         opened = zstandard.ZstdDecompressor()
@@ -306,8 +312,8 @@ def encode(
             keep = pa.array([shares(t) for t in texts], pa.bool_())
             keys, packed = keys_of(part, texts), [packer.compress(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), part.column("doc_id"), pa.array(packed, pa.binary())],
-                ["row", "doc_id", "data"],
+                [pa.array(keys, pa.binary()), *map(part.column, own), pa.array(packed, pa.binary())],
+                ["row", *own, "data"],
             ).filter(keep)
 
     def encode_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,9 +322,9 @@ def encode(
             texts = texts_of(part)
             alone = [not shares(t) for t in texts]
             ids = encode_texts(encoder, [t for t, a in zip(texts, alone) if a], [{}] * sum(alone))
+            keep = pa.array(alone, pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").filter(pa.array(alone, pa.bool_())), pa.array(ids, pa.binary())],
-                ["doc_id", "ids"],
+                [*(part.column(name).filter(keep) for name in own), pa.array(ids, pa.binary())], [*own, "ids"]
             )
 
     def encode_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,17 +353,17 @@ def encode(
             ]
             ids = encode_texts(encoder, unpacked(part), known)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("copies"), pa.array(ids, pa.binary())],
-                ["doc_id", "copies", "ids"],
+                [*map(part.column, own), part.column("copies"), pa.array(ids, pa.binary())],
+                [*own, "copies", "ids"],
             )
 
     homes = shared.groupBy(F.col("home.row").alias("at")).agg(
         F.collect_list(F.struct("h1", "h2", "home.place")).alias("homes")
     )
     whole = (
-        source.mapInArrow(pack, "row binary, doc_id long, data binary")
+        source.mapInArrow(pack, f"row binary, {own_schema}, data binary")
         .groupBy("row")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("data").alias("data"), F.count("*").alias("copies"))
+        .agg(*(F.first(name).alias(name) for name in [*own, "data"]), F.count("*").alias("copies"))
     )
     once = (
         whole.join(homes, F.col("row") == F.col("at"))
@@ -372,13 +378,14 @@ def encode(
     )
     encoded = (
         whole.join(sent_to, F.col("row") == F.col("to"), "left")
-        .select("doc_id", "copies", "data", "chunks")
-        .mapInArrow(assemble, "doc_id long, copies long, ids binary")
+        .select(*own, "copies", "data", "chunks")
+        .mapInArrow(assemble, f"{own_schema}, copies long, ids binary")
     )
     together = encoded.select(
-        "doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")
+        *own, "ids", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")
     ).drop("copy")
-    return together.unionByName(source.mapInArrow(encode_alone, "doc_id long, ids binary"))
+    out = together.unionByName(source.mapInArrow(encode_alone, f"{own_schema}, ids binary"))
+    return out.select("doc_id", "ids", *([] if carry is None else [F.col("carried").alias(carry)]))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

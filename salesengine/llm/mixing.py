@@ -151,3 +151,23 @@ def in_order(docs: DataFrame, weights: Mapping[str, int], **options) -> DataFram
     mixed = mix(docs, weights, slot_col=slot, position_col=position, **options)
     dealt = mixed.repartitionByRange(position).sortWithinPartitions(position)
     return dealt.drop(slot, position)
+
+
+def file_positions(docs: DataFrame, position_col: str = "position") -> DataFrame:
+    """``docs``, as read from files of ``in_order``, with the number of every row in their order.
+
+    Numbers begin with 0 and skip none: empty slots are not in the files. A column of
+    ``docs`` named like the added one is replaced.
+    """
+    docs = docs.drop(position_col)
+    file, start = unused(docs, "mix_file"), unused(docs, "mix_start")
+    name = F.col("_metadata.file_name")
+    sizes = docs.groupBy(name.alias(file)).agg(F.count("*").alias("rows"))
+    # parts are numbered, with zeros in front up to 99,999; a task may write several files
+    number = [F.regexp_extract(file, "^part-([0-9]+)-.*-c([0-9]+)", i).cast("long") for i in (1, 2)]
+    before = W.orderBy(*number, file).rowsBetween(W.unboundedPreceding, -1)  # one row for each file
+    starts = stored(sizes.select(file, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(start)))
+    placed = docs.select(
+        *docs.columns, name.alias(file), F.col("_metadata.row_index").alias(position_col)
+    ).join(F.broadcast(starts), file)
+    return placed.select(*docs.columns, (F.col(start) + F.col(position_col)).alias(position_col))

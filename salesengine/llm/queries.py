@@ -132,14 +132,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
-def token_digests(docs: DataFrame) -> DataFrame:
+def token_digests(docs: DataFrame, carry: str | None = None) -> DataFrame:
     path = tokenizer_path()
-    decoded = bpe.decode(bpe.encode(docs, path), path)
+    decoded = bpe.decode(bpe.encode(docs, path, carry=carry), path)
     return decoded.select(
         "doc_id",
         F.floor(F.length("ids") / 4).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *([] if carry is None else [carry]),
     )
 
 

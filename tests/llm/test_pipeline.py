@@ -63,3 +63,47 @@ def test_odd_rows_pass_all_stages(spark):
     assert [f.count() for f in frames] == [7, 4, 2, 2, 2, 2]
     assert all(f.schema == docs.schema for f in frames[:-1])
     assert stages(spark, docs.limit(0))[-1].collect() == []
+
+
+def plain_mix(sources):
+    """Ids in the order of the mix, from id and source, slot by slot."""
+    left = {}
+    for i in sorted(sources, key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+        left.setdefault(sources[i], []).append(i)
+    names = sorted(left)
+    weights = [queries.MIX_WEIGHTS.get(n, 1) for n in names]
+    slots, done, order, slot = sum(weights), [0] * len(names), [], 0
+    while len(order) < len(sources):
+        due = [(-(-(d + 1) * slots // w), k) for k, (d, w) in enumerate(zip(done, weights)) if d * slots // w <= slot]
+        k = min(due)[1]
+        order += left[names[k]][done[k] * queries.MIX_BLOCK : (done[k] + 1) * queries.MIX_BLOCK]
+        done[k] += 1
+        slot += 1
+    return order
+
+
+def test_positions_are_those_of_the_mix(spark):
+    sources = {r.doc_id: r.source for r in table(spark, SMALL, "documents").collect()}
+    out = corpus_pipeline.run(spark, SMALL).orderBy("position").collect()
+    assert [r.position for r in out] == list(range(len(out)))
+    assert [r.doc_id for r in out] == plain_mix({r.doc_id: sources[r.doc_id] for r in out})
+
+
+def test_positions_of_repeated_rows_and_of_many_files(spark, tmp_path):
+    text = " ".join(f"word{i} and" for i in range(2_000))
+    rows = [(i % 3 or None, f"{text} {i % 5}", "p") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, position string")
+    frame.repartition(7).write.option("maxRecordsPerFile", 4).parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    placed = corpus_pipeline.mixing.file_positions(docs)
+    assert placed.columns == docs.columns
+    encoder = bpe.Encoder(queries.tokenizer_path())
+    ids = {t: encoder.library([t.encode()])[0] for t in {t for _, t, _ in rows}}
+    at = {r.position: (r.doc_id, hashlib.sha256(ids[r.text]).hexdigest()) for r in placed.collect()}
+    assert sorted(at) == list(range(60))
+    read = sorted((f.name.split("-")[1], f.name.split("-c")[1], str(f)) for f in (tmp_path / "docs").glob("part-*"))
+    assert len(read) >= 14
+    in_files = [r for f in read for r in spark.read.parquet(f[2]).collect()]
+    assert [at[i][0] for i in range(60)] == [r.doc_id for r in in_files]
+    out = corpus_pipeline.encoded(spark, docs.drop("position"), SMALL).collect()
+    assert {r.position: (r.doc_id, r.ids_sha256) for r in out} == at and len(out) == 60
