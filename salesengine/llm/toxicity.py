@@ -40,6 +40,9 @@ SLIGHT = 0.1
 #: Words a task remembers before it starts anew.
 REMEMBERED = 400_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+#: Hashes by which near copies are looked up, half of which they share, and the share of
+#: word pairs, of all that either text has, from which on a text is a near copy.
+COPY_HASHES, COPY_SHARE = 16, 0.8
 
 
 @dataclass(frozen=True)
@@ -170,26 +173,44 @@ def summary(chances: np.ndarray) -> np.ndarray:
     return np.array([chances.max(), math.log1p(hits), hits / words, min(none, 20.0)])
 
 
+def near_copies(texts: list[list[bytes]]) -> list[bool]:
+    """Whether a text is a near copy of one before it: of the pairs of words both have COPY_SHARE are shared.
+
+    Of the smallest hashes of their pairs such texts share at least half, but for one in a thousand.
+    """
+    factors = np.random.default_rng(0).integers(1 << 63, size=COPY_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.zeros((len(texts), COPY_HASHES), np.uint64)
+    every: list[np.ndarray] = []
+    out = []
+    for i, words in enumerate(texts):
+        pairs = [zlib.crc32(a + b" " + b) for a, b in zip(words, words[1:])] or [zlib.crc32(b"".join(words))]
+        every.append(np.unique(np.array(pairs, np.uint64)))
+        mixed = every[i][:, None] * FACTORS[0]
+        mixed ^= mixed >> np.uint64(31)
+        least[i] = (mixed * factors >> np.uint64(20)).min(axis=0)
+        alike = np.flatnonzero(2 * (least[:i] == least[i]).sum(axis=1) >= COPY_HASHES)
+        shared = ((np.intersect1d(every[i], every[j], assume_unique=True).size, every[j].size) for j in alike.tolist())
+        out.append(any(both >= COPY_SHARE * (every[i].size + size - both) for both, size in shared))
+    return out
+
+
 def word_labels(texts: list[list[bytes]], toxic: list[int], settings: Settings) -> set[bytes]:
     """Forms and first letters that tell toxic documents from clean ones.
 
     They are at least ``least_odds`` times as frequent in toxic ones, by more than
-    chance would make them: ``least_evidence`` is the log likelihood ratio. A near
-    copy of a document of its kind, which shares one of its smallest hashes, does not
-    count again.
+    chance would make them: ``least_evidence`` is the log likelihood ratio to a word
+    found as often as documents of either kind have words. A near copy of one document
+    of its kind does not count again.
     """
-    counts, n = (Counter(), Counter()), [0, 0]
-    seen = [[set() for _ in FACTORS] for _ in counts]
-    for words, label in zip(texts, toxic):
-        pairs = np.array([zlib.crc32(a + b" " + b) for a, b in zip(words, words[1:])] or [len(words)], np.uint64)
-        least = [int((pairs * f >> np.uint64(20)).min()) for f in FACTORS]
-        copy = any(m in s for m, s in zip(least, seen[label]))
-        for m, s in zip(least, seen[label]):
-            s.add(m)
-        if not copy:
-            n[label] += 1
-            counts[label].update({k for w in set(words) for k in association_keys(w)})
-    share = n[1] / max(1, sum(n))
+    counts, n, sizes = (Counter(), Counter()), [0, 0], [0, 0]
+    for label in (0, 1):
+        own = [words for words, of in zip(texts, toxic) if of == label]
+        for words, copy in zip(own, near_copies(own)):
+            if not copy:
+                n[label] += 1
+                sizes[label] += len(set(words))
+                counts[label].update({k for w in set(words) for k in association_keys(w)})
+    share = sizes[1] / max(1, sum(sizes))
 
     def tells(t: int, c: int) -> bool:
         evidence = t * math.log(t / ((t + c) * share)) + (c and c * math.log(c / ((t + c) * (1 - share))))

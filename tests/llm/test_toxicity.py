@@ -101,3 +101,17 @@ def test_without_labels(spark, marked):
     for none in (labels.limit(0), labels.where("toxic = 0")):
         out = toxicity.score(docs, toxicity.train(docs, none)).collect()
         assert len(out) == 120 and all(0 <= r.score < 0.5 for r in out)
+
+
+def test_distinct_documents_are_no_copies():
+    """Texts of common pairs of words share some with many others, and most with none."""
+    rng = random.Random(5)
+    common = [f"w{i} v{i}" for i in range(60)]
+    texts = [" ".join(rng.sample(common, 25) + [f"own{i}x{j}" for j in range(25)]).encode().split() for i in range(200)]
+    assert not any(toxicity.near_copies(texts))
+    changed = [[b"other", *words[1:]] for words in texts]
+    assert toxicity.near_copies(texts + changed) == [False] * 200 + [True] * 200
+    assert toxicity.near_copies([[], [], [b"a"], [b"b"], [b"a"]]) == [False, True, False, False, True]
+    toxic = [[b"vile", *words] for words in texts[:100]]
+    listed = toxicity.word_labels(toxic[:12] + texts[100:], [1] * 12 + [0] * 100, toxicity.Settings())
+    assert b"=vile" in listed
