@@ -58,7 +58,6 @@ class Settings:
     chars: int = 10_000
     least_odds: float = 30.0
     least_evidence: float = 6.5
-    words: int = 400_000
     epochs: int = 8
     least_steps: int = 400
     seed: int = 11
@@ -222,19 +221,19 @@ def word_labels(texts: list[list[bytes]], toxic: list[int], settings: Settings)
 
 def fit(texts: list[str], toxic: list[int], settings: Settings) -> Model:
     """Fits the field on three of four documents and the score on the fourth."""
-    split = [t.encode().split() for t in texts]
+    known: dict[bytes, bytes] = {}  # a word is held once, however often it stands
+    split = [[known.setdefault(w, w) for w in t.encode().split()] for t in texts]
     fitted = [i for i in range(len(split)) if i % 4]
     listed = word_labels([split[i] for i in fitted], [toxic[i] for i in fitted], settings)
     rng = np.random.default_rng(settings.seed)
     words: list[bytes] = []
     marks: list[bool] = []
     lengths: list[int] = []
+    tells = {w for w in known if not listed.isdisjoint(association_keys(w))}
     for i in rng.permutation(fitted).tolist() if fitted else []:
         words += split[i]
-        marks += [bool(toxic[i]) and not listed.isdisjoint(association_keys(w)) for w in split[i]]
+        marks += [bool(toxic[i]) and w in tells for w in split[i]]
         lengths += chains(np.array([w.endswith(STOPS) for w in split[i]], bool)).tolist()
-        if len(words) >= settings.words:
-            break
     model = Model(np.zeros(BUCKETS), np.zeros(2), np.zeros((2, 2)), np.array([-3.0, 3, 1, 1, 0.5]))
     if not any(marks):  # nothing to learn from: every word is clean
         model.moves[:, 1] = model.start[1] = -10
@@ -251,8 +250,9 @@ def _fit_field(
     model: Model, words: list[bytes], marks: np.ndarray, lengths: np.ndarray, settings: Settings, rng
 ) -> None:
     """Gradient steps with rates of their own for every weight, over batches of chains."""
-    distinct, number = np.unique(np.array(words, object), return_inverse=True)
-    buckets = features(distinct.tolist())[number]
+    places = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    number = np.fromiter(map(places.__getitem__, words), np.int32, len(words))
+    buckets = features(list(places))
     firsts = np.cumsum(lengths) - lengths
     squares, move_squares, decay = np.full(BUCKETS, 1e-2), np.full((2, 2), 1e-1), 1e-4
     epochs = max(settings.epochs, settings.least_steps // (1 + len(lengths) // 512))
@@ -263,7 +263,7 @@ def _fit_field(
             sizes = lengths[batch]
             inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             rows = np.repeat(firsts[batch], sizes) + inner
-            here, truth = buckets[rows], marks[rows]
+            here, truth = buckets[number[rows]], marks[rows]
             emissions = model.weights[here].sum(axis=1)
             chances, expected = marginals(emissions, sizes, model.start, model.moves, pairs=True)
             slope = np.bincount(here.ravel(), np.repeat(truth - chances, here.shape[1]), BUCKETS) / len(batch)

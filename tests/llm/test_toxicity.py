@@ -115,3 +115,11 @@ def test_distinct_documents_are_no_copies():
     toxic = [[b"vile", *words] for words in texts[:100]]
     listed = toxicity.word_labels(toxic[:12] + texts[100:], [1] * 12 + [0] * 100, toxicity.Settings())
     assert b"=vile" in listed
+
+
+def test_fitted_on_every_document(monkeypatch):
+    fitted = []
+    monkeypatch.setattr(toxicity, "_fit_field", lambda model, words, *rest: fitted.extend(words))
+    texts = [f"w{i} " + ("vile " if i % 2 else "calm ") * 5_000 for i in range(400)]
+    toxicity.fit(texts, [i % 2 for i in range(400)], toxicity.Settings())
+    assert {f"w{i}".encode() for i in range(400) if i % 4} <= set(fitted) and len(fitted) == 300 * 5_001
