@@ -58,15 +58,19 @@ def fingerprint(text: str, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row for each row of ``docs``; a null text has no word."""
+    """(doc_id, text_hash, fp): one row for each row of ``docs``; a null text has no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_batches(batches, "text"):
             values = pa.array([fingerprint(t, shingle) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("id"), values], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), part.column("text_hash"), values], ["doc_id", "text_hash", "fp"]
+            )
 
-    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    source = in_small_batches(docs).select(
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")
+    )
+    return source.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def blocks_left_out(radius: int) -> list[list[int]]:
@@ -213,11 +217,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, fp, component_id): one row for each row of ``docs``.
+    """(doc_id, text_hash, fp, component_id, root): one row for each row of ``docs``.
 
     Documents are linked if their fingerprints differ in at most ``radius`` bits;
     component_id is the smallest id that links lead to, the document's own
-    included. Null and empty texts have fingerprint 0, which is linked like any
+    included; root is a fingerprint and tells components apart whose members share
+    an id. Null and empty texts have fingerprint 0, which is linked like any
     other. Rows with a null id take part and get their component; it is null if no
     member has an id. Repeated rows are kept. Other columns are not read.
     """
@@ -228,21 +233,28 @@ def near_duplicates(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    final = stored(placed.join(named, "root").select("fp", "component_id"))
-    return prints.join(final, "fp").select("doc_id", "fp", "component_id")
+    final = stored(placed.join(named, "root").select("fp", "component_id", "root"))
+    return prints.join(final, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
-def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One document of each component, the one whose id names it.
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, that of its smallest id.
 
-    Of rows that share that id the one with the smallest hash of all its columns
-    stays. Rows without an id cannot be told apart by it and all stay.
+    Rows are told apart by their id and the hash of their text, as an id may stand on
+    several texts; of those with the same the one with the smallest hash of all its
+    columns stays. Rows without an id cannot be told apart by it and all stay.
     """
-    keeper, order = unused(docs, "keeper"), unused(docs, "row_order")
-    ids = groups.where("doc_id = component_id").select(F.col("doc_id").alias(keeper)).distinct()
-    kept = docs.join(ids, F.col(id_col) == F.col(keeper), "left_semi").withColumn(
-        order, F.xxhash64(*docs.columns)
+    own = [unused(docs, name) for name in ("keeper", "keeper_text", "text_hash", "row_order")]
+    keeper, keeper_text, text_hash, order = own
+    chosen = (
+        groups.where("doc_id IS NOT NULL")
+        .groupBy("root")
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+        .select(F.col("first.doc_id").alias(keeper), F.col("first.text_hash").alias(keeper_text))
     )
-    # the join has dealt the rows by their id already
-    first = kept.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.col(order)).alias("row"))
+    same = (F.col(id_col) == F.col(keeper)) & (F.col(text_hash) == F.col(keeper_text))
+    hashed = docs.withColumn(text_hash, F.xxhash64(text_col))
+    kept = hashed.join(chosen, same, "left_semi").withColumn(order, F.xxhash64(*docs.columns))
+    # the join has dealt the rows by id and text already
+    first = kept.groupBy(id_col, text_hash).agg(F.min_by(F.struct(*docs.columns), F.col(order)).alias("row"))
     return first.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

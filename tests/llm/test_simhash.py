@@ -114,3 +114,11 @@ def test_query_like_all_pairs(spark):
     want = {i: (f"{p:016x}", c) for (i, p), c in zip(prints, plain_components(prints, 3))}
     out = queries.op2_simhash(spark, SMALL).collect()
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in out} == want and len(out) == len(docs)
+
+
+def test_one_row_of_each_component_where_ids_repeat(spark):
+    one, two = "alpha beta gamma delta epsilon zeta", "the cat sat on the mat and slept"
+    texts = [(1, one), (1, two), (1, two), (2, two), (2, "q r s t u v w x"), (3, one)]
+    docs = spark.createDataFrame([(i, t, "x", 0) for i, t in texts], DOCS)
+    kept = simhash.keep_first(docs, simhash.near_duplicates(docs)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, one), (1, two), (2, "q r s t u v w x")]
