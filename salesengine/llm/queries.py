@@ -8,8 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesengine.llm import bpe, graph_ann, mixing, quality_model, quality_rules, secret_scan, simhash, tool_calls, toxicity, url_filter
-from salesengine.llm.common import table
+from salesengine.llm import (
+    bpe,
+    conversation_repair,
+    graph_ann,
+    mixing,
+    quality_model,
+    quality_rules,
+    secret_scan,
+    simhash,
+    tool_calls,
+    toxicity,
+    url_filter,
+    vector_codes,
+)
+from salesengine.llm.common import stored, table
 from salesengine.llm.tool_calls import Parameter
 from salesengine.llm.url_filter import Rule
 
@@ -283,6 +296,176 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ann.search(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults: one turn in twenty each is dropped, emptied, left open, repeated or given to the user."""
+    conv, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    kind = F.crc32(F.concat(conv, F.lit(":"), turn).cast("binary")) % 20
+    times = F.when(kind == 0, F.array().cast("array<int>")).when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return turns.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(times).alias("copy"),
+    ).drop("copy")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    judged, repaired = conversation_repair.repair(damaged(turns))
+    ids = turns.select(F.col("conv_id").alias("id")).distinct()
+    hashes = conversation_repair.digests(repaired).withColumnRenamed("conv_id", "hashed")
+    found = ids.join(judged, F.col("id").eqNullSafe(F.col("conv_id")), "left").join(
+        hashes, F.col("id").eqNullSafe(F.col("hashed")), "left"
+    )
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return found.select(
+        F.col("id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in (*conversation_repair.FAULTS, "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", none).alias("repaired_sha256"),
+    )
+
+
+def _turned(state: str, cost: str, edit: str, role: str, when: str) -> str:
+    return (
+        f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', "
+        f"'o': {state}.o || chr(10) || {role} || ':' || text}} END"
+    )
+
+
+def _left(state: str) -> str:
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + 2, 'a': {state}.a || 'D', 'o': {state}.o}} END"
+
+
+def _best(*ways: str) -> str:
+    return f"list_min(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))"
+
+
+def _asked(role: str, *states: str) -> list[str]:
+    kept = [_turned(s, "open", "K", "role", f"NOT gone AND initial = '{role[0]}'") for s in states]
+    return kept + [_turned(s, "open + 1", "R", f"'{role}'", "NOT gone") for s in states]
+
+
+# An insertion (5) never pays: the turn that it would complete can be deleted (2). So audits of
+# the same turns are equally long, and the least prefix of each state is all that is needed.
+OP11_SQL = f"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+      lambda c: ascii(c)::BIGINT) AS key
+  FROM conversations
+), kinds AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, key), lambda crc, b:
+    list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda x, bit: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS kind
+  FROM given
+), damaged AS (
+  SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE kind WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM kinds
+), placed AS (
+  SELECT conv, turn, role, text, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, md5(text)) AS pos,
+    NOT regexp_matches(text, '[^ \\t-\\r]') AS blank,
+    NOT regexp_matches(text, '[.!?][ \\t-\\r]*\\z') AS unended
+  FROM damaged
+), judged AS (
+  SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 AS again, blank OR again AS gone,
+    CASE WHEN unended AND NOT gone THEN 5 ELSE 0 END AS open,
+    lag(initial) OVER (PARTITION BY conv ORDER BY pos) || initial AS pair
+  FROM placed
+), walk AS (
+  SELECT DISTINCT conv, 0::BIGINT AS pos, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS s0,
+    NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR) AS s1, NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR) AS s2,
+    NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR) AS s3
+  FROM given
+  UNION ALL
+  SELECT w.conv, j.pos,
+    {_left("s0")},
+    {_best(_left("s1"), _turned("s0", "open", "K", "role", "NOT gone AND initial = 's'"))},
+    {_best(_left("s2"), *_asked("user", "s0", "s1", "s3"))},
+    {_best(_left("s3"), *_asked("assistant", "s2"))}
+  FROM walk w JOIN judged j ON j.conv = w.conv AND j.pos = w.pos + 1
+), ended AS (
+  SELECT conv, list_min(list_filter([s0, s3], lambda w: w IS NOT NULL)) AS best
+  FROM walk QUALIFY row_number() OVER (PARTITION BY conv ORDER BY pos DESC) = 1
+), faults AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (open > 0) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit,
+  sha256(substr(best.o, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM given) JOIN ended USING (conv) LEFT JOIN faults USING (conv)
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    rows = stored(coded)
+    sums = rows.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    return rows.join(sums, F.col("label").eqNullSafe(F.col("of"))).select(
+        "vec_id",
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"),
+    )
+
+
+def _vector_codes_sql(rounds: int) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"""placed{i} AS MATERIALIZED (
+  SELECT id, p.part, min({{'far': list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT,
+    'entry': b.entry}}) AS near
+  FROM parts p JOIN book{i} b ON b.part = p.part GROUP BY id, p.part
+)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""sums{i} AS (
+  SELECT part, near.entry AS entry, place, sum(v[place])::BIGINT AS s, count(*) AS n
+  FROM parts JOIN placed{i} USING (id, part), sized, range(1, width + 1) t(place) GROUP BY ALL
+), means{i} AS (
+  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS v FROM sums{i} GROUP BY ALL
+), book{i + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m.v, b.v) AS v FROM book{i} b LEFT JOIN means{i} m USING (part, entry)
+)"""
+            )
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER () AS id,
+    list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS cells
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), sized AS (
+  SELECT max(len(cells)) // 4 AS width FROM kept
+), parts AS MATERIALIZED (
+  SELECT id, vec_id, part, cells[part * width + 1 : (part + 1) * width] AS v FROM kept, sized, range(4) t(part)
+), book0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM parts
+  QUALIFY entry < 256
+), {", ".join(steps)},
+coded AS (
+  SELECT id, string_agg(lower(printf('%02x', near.entry)), '' ORDER BY part) AS code, sum(near.far)::BIGINT AS error
+  FROM placed{rounds} GROUP BY id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (id)
+"""
+
+
+OP13_SQL = _vector_codes_sql(vector_codes.Settings().rounds)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
@@ -294,5 +477,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_nearest": op10_nearest,
+    "op11_repair": op11_repair,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op6_tool_calls": OP6_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op6_tool_calls": OP6_SQL, "op9_mixing": OP9_SQL, "op11_repair": OP11_SQL, "op13_vector_codes": OP13_SQL}
