@@ -17,6 +17,7 @@ from salesengine.llm import (
     quality_rules,
     secret_scan,
     simhash,
+    suffix_dedup,
     tool_calls,
     toxicity,
     url_filter,
@@ -405,6 +406,18 @@ FROM (SELECT DISTINCT conv_id, conv FROM given) JOIN ended USING (conv) LEFT JOI
 """
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    sizes = F.transform("spans", lambda s: s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(sizes, F.lit(0).cast("long"), lambda total, n: total + n).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     rows = stored(coded)
@@ -478,6 +491,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_nearest": op10_nearest,
     "op11_repair": op11_repair,
+    "op12_repeats": op12_repeats,
     "op13_vector_codes": op13_vector_codes,
 }
 ORACLES = {"op1_url_filter": OP1_SQL, "op6_tool_calls": OP6_SQL, "op9_mixing": OP9_SQL, "op11_repair": OP11_SQL, "op13_vector_codes": OP13_SQL}

@@ -12,7 +12,7 @@ from salesengine.llm import queries as own
 def test_registered():
     names = set(own.QUERIES) | {"pipeline"}
     assert names <= set(queries())
-    assert {int(n[2:].split("_")[0]) for n in own.QUERIES} == set(range(1, 14)) - {12}
+    assert {int(n[2:].split("_")[0]) for n in own.QUERIES} == set(range(1, 14))
     assert set(own.ORACLES) <= set(oracle_sql()) and corpus_pipeline.ORACLE_SQL is None
 
 
