@@ -60,8 +60,8 @@ class Settings:
 
     length: int = 200
     gram: int = 32
-    together: int = 2_048
-    piece: int = 1 << 19
+    together: int = 1_024
+    piece: int = 1 << 17
     seed: int = 11
 
     @property
@@ -335,7 +335,11 @@ def refine(
 
 
 def solved(live: DataFrame, settings: Settings) -> DataFrame:
-    """HIT of the classes of one member, from buckets of ``together`` classes or fewer."""
+    """HIT of the classes of one member, from buckets of ``together`` classes or fewer.
+
+    A task gathers whole buckets up to that number and refines them at once.
+    """
+    own = [c for c in live.columns if c != "size"]
 
     def found(rows: list[tuple]) -> pa.RecordBatch:
         _, names = np.unique(np.array([r[:2] for r in rows], np.int64), axis=0, return_inverse=True)
@@ -358,15 +362,15 @@ def solved(live: DataFrame, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for part in slices(batches, 512):
-            for row in zip(*(c.to_pylist() for c in part.columns)):
-                if len(rows) >= settings.together and row[:2] != rows[-1][:2]:
+            for row, size in zip(zip(*(part.column(c).to_pylist() for c in own)), part.column("size").to_pylist()):
+                if rows and row[:2] != rows[-1][:2] and len(rows) + size > settings.together:
                     yield found(rows)
                     rows = []
                 rows.append(row)
         if rows:
             yield found(rows)
 
-    dealt = live.drop("size").repartition("b1", "b2").sortWithinPartitions("b1", "b2")
+    dealt = live.repartition("b1", "b2").sortWithinPartitions("b1", "b2")
     return dealt.mapInArrow(run, HIT)
 
 
