@@ -375,15 +375,16 @@ def solved(live: DataFrame, settings: Settings) -> DataFrame:
 
 
 def cut(live: DataFrame, width: int, settings: Settings) -> DataFrame:
-    """LIVE of the cells of all classes: ``width`` neighbouring ways to the anchor each.
+    """LIVE, with the hash of the stretch as h1 and h2, of the cells of all classes.
 
-    A cell's bucket is named by the bytes that all its strings have in common, so equal
-    strings come to one bucket, and by the way, so that they stay side by side.
+    A cell is ``width`` neighbouring ways to the anchor. Its bucket is named by the bytes
+    that all its strings have in common, so equal strings come to one bucket, and by the
+    ways, so that they stay side by side.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 64):
-            rows = []
+            rows, hashes = [], []
             for b1, b2, _, weight, k1, k2, first, way, data in zip(*(c.to_pylist() for c in part.columns)):
                 places = len(data) - settings.length + 1
                 for cell in range((way - places + 1) // width, way // width + 1):
@@ -394,31 +395,40 @@ def cut(live: DataFrame, width: int, settings: Settings) -> DataFrame:
                     named = np.frombuffer(xxhash.xxh3_128_digest(head + common), "<i8").tolist()
                     stretch = data[low : high + settings.length]
                     rows.append((*named, 0, weight, k1, k2, first + low, way - low, stretch))
-            yield from _live_batches(rows)
+                    hashes.append(xxhash.xxh3_128_digest(stretch))
+            both = _pairs(hashes)
+            at = 0
+            for batch in _live_batches(rows):
+                these = both[at : at + batch.num_rows]
+                at += batch.num_rows
+                columns = [pa.array(np.ascontiguousarray(these[:, i])) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "h1", "h2"])
 
-    return live.mapInArrow(run, LIVE)
+    return live.mapInArrow(run, f"{LIVE}, h1 long, h2 long")
 
 
 def refined(live: DataFrame, settings: Settings) -> DataFrame:
-    """HIT of all classes of one member in LIVE buckets, whose sizes are known."""
-    small = live.where(F.col("size") <= settings.together)
-    hits = stored(solved(small, settings))
-    large = live.where(F.col("size") > settings.together)
-    width = settings.window
+    """HIT of all classes of one member in LIVE buckets, whose sizes are known.
+
+    Buckets that are too large are cut into cells, whose members are put together by
+    classes like those of grams: one of two members or more is settled, and only those
+    of one go on, beside one for each other class.
+    """
+    hits = stored(solved(live.where(F.col("size") <= settings.together), settings))
+    large, width = live.where(F.col("size") > settings.together), settings.window
+    bucket = ["b1", "b2"]
     while width > 1 and large.limit(1).count():
         width = max(1, width // 8)
         cells = stored(cut(large, width, settings))
-        sizes = cells.groupBy(F.col("b1").alias("c1"), F.col("b2").alias("c2")).agg(
-            F.count("*").alias("classes"), F.min("weight").alias("least")
-        )
-        open_ = stored(sizes.where("classes > 1 AND least = 1"))
-        joined = cells.join(open_, (F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2")))
-        names = [c for c in cells.columns if c != "size"]
-        live = stored(joined.select(*names, F.col("classes").alias("size")).select(*cells.columns))
-        if width == 1:
-            # a cell is one string: all of a bucket are equal
-            hits = hits.unionByName(live.where("weight = 1").select("k1", "k2", "first", F.lit(1).cast("long").alias("places")))
-            break
+        one = F.min(F.struct("k1", "k2", "first", "way", "data")).alias("one")
+        classes = stored(cells.groupBy(*bucket, "h1", "h2").agg(F.sum("weight").alias("total"), one))
+        twice = stored(classes.where("total > 1").select(*bucket, "h1", "h2"))
+        settled = cells.where("weight = 1").join(twice, [*bucket, "h1", "h2"], "left_semi")
+        places = F.length("data") - (settings.length - 1)
+        hits = hits.unionByName(settled.select("k1", "k2", "first", places.cast("long").alias("places")))
+        sizes = classes.groupBy(*bucket).agg(F.count("*").alias("size"), F.min("total").alias("least"))
+        unsettled = stored(sizes.where("least = 1 AND size > 1").select(*bucket, "size"))
+        live = stored(classes.join(unsettled, bucket).select(*bucket, "size", F.col("total").alias("weight"), "one.*"))
         hits = hits.unionByName(stored(solved(live.where(F.col("size") <= settings.together), settings)))
         large = live.where(F.col("size") > settings.together)
     return hits
