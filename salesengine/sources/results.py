@@ -44,7 +44,16 @@ def now() -> str:
 
 def current_run(spark: SparkSession, directory: str) -> str:
     """The folder of the last complete run; one that does not exist where there is none."""
-    return f"{directory.rstrip('/')}/{versions.current(spark, directory) or 'no-run'}"
+    run = versions.current(spark, directory)
+    return f"{directory.rstrip('/')}/{run.name if run else 'no-run'}"
+
+
+def forget_runs(spark: SparkSession, directory: str, keep: int) -> list[str]:
+    """Remove all published runs but the last ``keep``; returns the folders removed."""
+    gone = [f"{directory.rstrip('/')}/{old.name}" for old in versions.forget(spark, directory, keep)]
+    for folder in gone:
+        versions.remove(spark, folder)
+    return gone
 
 
 def served(module: DataFrame, name: str) -> DataFrame:
