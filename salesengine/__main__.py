@@ -4,7 +4,7 @@
     python -m salesengine --jdbc --output /results
 
 With --jdbc the connection comes from the environment. The exit code is 1 if a
-module is missing or empty.
+module is missing, empty or damaged.
 """
 
 from __future__ import annotations
@@ -39,7 +39,9 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
     else:
         tables = load_files(spark, options.files)
     run = job.publish_snapshot(spark, tables, options.output, options.format)
-    rows = results.completeness(spark, run, options.format).collect()  # one for each module
+    rows = results.completeness(
+        spark, run, options.format, results.current_record(spark, options.output)
+    ).collect()  # one for each module
     for row in rows:
         print(f"{row['module']}: {row['status']}, {row['rows']} rows")
     return int(any(row["status"] != "ok" for row in rows))

@@ -12,6 +12,7 @@ from salesengine.operators.snapshot import DEFAULT_TOP, PLACES_SHOWN, by_place,
 from salesengine.operators.unify import (
     RESELLER,
     dated,
+    distinct_customers,
     filtered_sales,
     internet_lines,
     of_known_products,
@@ -73,16 +74,16 @@ def kpis(t: SalesTables, f: Filters = NO_FILTER) -> DataFrame:
     """One row of headline figures.
 
     Amounts come from the sums per product, which the hot products need anyway;
-    the lines themselves are only read for the two distinct counts.
+    the lines themselves are only read for the two distinct counts, which share one
+    shuffle of orders with their customers.
     """
     totals = product_totals(t, f)
-    lines = filtered_sales(t, f).agg(
-        F.count_distinct("sales_order_number").alias("order_count"),
-        F.count_distinct("customer_key").alias("customer_count"),
-    )
+    pairs = filtered_sales(t, f).select("sales_order_number", "customer_key").distinct()
+    orders = pairs.agg(F.count_distinct("sales_order_number").alias("order_count"))
+    buyers = distinct_customers(pairs, t).withColumnRenamed("n", "customer_count")
     amounts = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
     hot = _hot(totals).agg(F.count("*").alias("hot_product_count"))
-    return side_by_side(lines, amounts, hot).select(
+    return side_by_side(orders, buyers, amounts, hot).select(
         cents(F.col("total")).alias("total_sales"),
         "order_count",
         "customer_count",
@@ -113,18 +114,22 @@ def _last_sale(sales: DataFrame, t: SalesTables, f: Filters) -> Column:
 
 
 def _end_of_window(sales: DataFrame, t: SalesTables, f: Filters) -> Column:
-    """The end date that holds for these lines.
+    """The end date that holds for these lines, as a value found when the plan runs.
 
     With an asked one, a single line after it is looked for first, among files of
-    later dates: if there is one, the lines before need not be read for their last
-    date.
+    later dates. If there is one, the asked date holds, and the bound on the date keys
+    of the lines that are read for their last sale lets the scan skip all of them.
     """
-    if f.end_date is not None:
-        asked = F.lit(f.end_date).cast("date")
-        later = dated(sales, t, first_day=F.date_add(asked, 1))
-        if not of_known_products(later, t, f).isEmpty():
-            return asked
-    return _window_end(_last_sale(sales, t, f), f)
+    if f.end_date is None:
+        return _last_sale(sales, t, f)
+    asked = F.lit(f.end_date).cast("date")
+    later = of_known_products(dated(sales, t, first_day=F.date_add(asked, 1)), t, f)
+    kind = sales.schema["order_date_key"].dataType
+    none, every = (F.lit(end).cast(kind) for end in (-(2**31), 2**31 - 1))
+    # one plain value, which a scan can use
+    bound = later.select(none.alias("bound")).limit(1).agg(F.coalesce(F.max("bound"), every).alias("bound")).scalar()
+    unread = sales.where(F.col("order_date_key") <= bound)
+    return F.when(bound == none, asked).otherwise(_window_end(_last_sale(unread, t, f), f))
 
 
 def _trailing_year(sales: DataFrame, t: SalesTables, f: Filters) -> DataFrame:

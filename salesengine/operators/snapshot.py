@@ -14,6 +14,7 @@ from salesengine.functions.labels import year_month
 from salesengine.operators.unify import (
     customers,
     dates,
+    distinct_customers,
     internet_lines,
     places,
     shown_products,
@@ -42,8 +43,8 @@ LABELS = LabelRules()
 def kpis(t: SalesTables) -> DataFrame:
     """One row of headline figures; no dimension is needed for it.
 
-    Each distinct count is a pass over its own column, and the amounts come with
-    the products. Together they read what one pass would, without multiplying
+    Each distinct count is a pass over its own column, customers as bitmaps, and the
+    amounts come with the products. Together they read what one pass would, without multiplying
     every line for the several distinct counts.
     """
     sales = unified_sales(t)
@@ -56,8 +57,8 @@ def kpis(t: SalesTables) -> DataFrame:
         )
     )
     orders = sales.agg(F.count_distinct("sales_order_number").alias("order_count"))
-    buyers = sales.where(F.col("customer_key").isNotNull()).agg(
-        F.count_distinct("customer_key").alias("customer_count")
+    buyers = distinct_customers(sales.where(F.col("customer_key").isNotNull()), t).withColumnRenamed(
+        "n", "customer_count"
     )
     average = rounded(quotient(F.col("total"), F.col("order_count")), 2)
     return side_by_side(amounts, orders, buyers).select(
@@ -188,35 +189,27 @@ def first_rows(rows: DataFrame, limit: int | None, *order) -> DataFrame:
 def by_place(sales: DataFrame, t: SalesTables, listed: DataFrame) -> DataFrame:
     """Exact sales, customers and orders of each listed place.
 
-    A customer has one place, so amounts and customers are taken to it after
-    they are summed by customer. Only order numbers are taken there line by
-    line. Lines carry the number of their place; its names are joined last.
+    Lines are first summed by customer and order, combined before their only shuffle.
+    A customer has one place, so these pairs meet it after that, as a number, and all
+    figures come from them, in one pass; names are joined last.
     """
     place_of = customers(t).join(
         t.side("geography", listed.select("geography_key", "place_key")), "geography_key"
     )
     place_of = t.side("customer", place_of.drop("geography_key"), "customer_key", "place_key")
     names = listed.where(F.col("geography_key") == F.col("place_key")).drop("geography_key")
-    amounts = (
-        sales.groupBy("customer_key")
+    pairs = (
+        sales.where(F.col("customer_key").isNotNull())
+        .groupBy("customer_key", "sales_order_number")
         .agg(F.sum("sales_amount").alias("total"))
         .join(place_of, "customer_key")
-        .groupBy("place_key")
-        .agg(
-            F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
-            F.count("*").alias("customer_count"),
-        )
     )
-    orders = (
-        sales.join(place_of, "customer_key")
-        .groupBy("place_key")
-        .agg(F.count_distinct("sales_order_number").alias("order_count"))
-    )
-    return (
-        amounts.join(orders, "place_key")
-        .join(t.side("geography", names), "place_key")
-        .drop("place_key")
+    found = pairs.groupBy("place_key").agg(
+        F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
+        F.count_distinct("customer_key").alias("customer_count"),
+        F.count_distinct("sales_order_number").alias("order_count"),
     )
+    return found.join(t.side("geography", names), "place_key").drop("place_key")
 
 
 def geo(

@@ -215,6 +215,29 @@ def filtered_sales_geo(t: SalesTables, f: Filters = Filters()) -> DataFrame:
     return of_known_products(sales, t, f).select(unified.columns)
 
 
+def distinct_customers(rows: DataFrame, t: SalesTables) -> DataFrame:
+    """One row with n, the exact number of different customers of some rows, NULL not counted.
+
+    Keys between the least and the largest of the customer table are bits of bitmaps, one
+    for 32,768 keys, which are combined before they are shuffled and merge exactly. That
+    is done only where the keys are dense, as a table of few customers with keys far apart
+    would need a bitmap for each. Other keys are shuffled one by one.
+    """
+    key = F.col("customer_key")
+    size = t.size("customer")
+    if size is None or not size.dense:
+        return rows.agg(F.count_distinct(key).alias("n"))
+    inside = key.between(F.lit(size.least), F.lit(size.largest))
+    bits = (
+        rows.where(inside)
+        .groupBy(F.bitmap_bucket_number(key).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("bits"))
+        .agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n"))
+    )
+    others = rows.where(~inside).agg(F.count_distinct(key).alias("n"))
+    return bits.unionByName(others).agg(F.sum("n").alias("n"))
+
+
 def side_by_side(*figures: DataFrame) -> DataFrame:
     """One row from several frames of one row and different columns.
 

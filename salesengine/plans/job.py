@@ -41,7 +41,8 @@ def publish_snapshot(
     one fills the cores that the last tasks of another leave idle. Alerts are
     computed from the written modules, so no metric is computed twice. All carry
     one time. The run is named as the current one after all its modules are
-    written; until then, and if one fails, readers get the run before.
+    written, with the rows and the checksum of each; until then, and if one fails,
+    readers get the run before.
     """
     made, version = results.now(), f"run-{uuid.uuid4().hex}"
     folder = f"{directory.rstrip('/')}/{version}"
@@ -68,7 +69,11 @@ def publish_snapshot(
             written["geo_sales"],
         )
         results.publish(found, folder, "alerts", file_format, generated_at=made)
-    versions.add(spark, directory, version)
+    record = {
+        row["module"]: {"rows": row["rows"], "checksum": row["checksum"]}
+        for row in results.contents(spark, folder, file_format).collect()  # one for each module
+    }
+    versions.add(spark, directory, version, {"modules": record})
     return folder
 
 

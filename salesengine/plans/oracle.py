@@ -10,6 +10,7 @@ from __future__ import annotations
 from salesengine.functions.filters import Filters
 from salesengine.operators.alerts import DEFAULT, AlertThresholds
 from salesengine.operators.snapshot import LABELS, LabelRules
+from salesengine.sources import results
 
 STAR = """
 lines AS (
@@ -926,6 +927,25 @@ modules AS (
 )"""
 )
 RESULT_MANIFEST = _query(PUBLISHED, "SELECT module, rows > 0 AS has_files FROM modules")
+
+
+def _checksum(module: str, source: str) -> str:
+    texts = [
+        f"coalesce(CAST({f'CAST({name} AS DECIMAL(38,6))' if kind == 'double' else name} AS VARCHAR), 'NULL')"
+        for name, kind in results.fields(module)
+    ]
+    digest = f"CAST('0x' || left(md5(concat_ws('|', {', '.join(texts)})), 15) AS BIGINT)"
+    return f"SELECT '{module}' AS module, count(*) AS rows, CAST(coalesce(sum({digest}), 0) AS VARCHAR) AS checksum FROM {source}"
+
+
+# The alerts hold JSON, whose numbers SQL writes in another way.
+RESULT_CHECKSUMS = _query(
+    PUBLISHED,
+    " UNION ALL ".join(
+        _checksum(module, "published" if module == "top_products" else module)
+        for module in ("kpis", "trend", "channels", "top_products", "geo_sales")
+    ),
+)
 OUTPUT_COMPLETENESS = _query(PUBLISHED, "SELECT module, 'ok' AS status, rows FROM modules")
 # One module is written without rows and two are not written.
 OUTPUT_COMPLETENESS_GAPS = _query(

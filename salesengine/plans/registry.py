@@ -475,8 +475,21 @@ def _result_queries() -> dict[str, Query]:
             ),
             oracle.RESULT_MANIFEST,
         ),
+        "result_checksums": Query(
+            _published(
+                _of_run(lambda spark, run: results.contents(spark, run).where("module <> 'alerts'"))
+            ),
+            oracle.RESULT_CHECKSUMS,
+        ),
         "output_completeness": Query(
-            _published(_of_run(results.completeness)), oracle.OUTPUT_COMPLETENESS
+            _published(
+                lambda spark, t, folder: results.completeness(
+                    spark,
+                    results.current_run(spark, folder),
+                    record=results.current_record(spark, folder),
+                )
+            ),
+            oracle.OUTPUT_COMPLETENESS,
         ),
         "output_completeness_gaps": Query(
             _run_with_gaps(results.completeness), oracle.OUTPUT_COMPLETENESS_GAPS

@@ -38,6 +38,11 @@ SCHEMAS = {
 ENVELOPE = "source string, generated_at string"
 
 
+def fields(name: str) -> list[tuple[str, str]]:
+    """Names and types of a module's columns."""
+    return [tuple(column.split()) for column in SCHEMAS[name].split(", ")]
+
+
 def now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -48,6 +53,40 @@ def current_run(spark: SparkSession, directory: str) -> str:
     return f"{directory.rstrip('/')}/{run.name if run else 'no-run'}"
 
 
+def current_record(spark: SparkSession, directory: str) -> dict[str, dict]:
+    """Rows and checksum of every module of the current run, as they were when it was written."""
+    run = versions.current(spark, directory)
+    return run.details.get("modules", {}) if run else {}
+
+
+def content(module: DataFrame, name: str) -> DataFrame:
+    """One row (rows, checksum) over the columns of a module, whatever the order of its rows.
+
+    Amounts count to six places. The checksum adds up 60 bits of the MD5 of each row, so
+    a row that is lost, changed or there twice shows.
+    """
+    texts = []
+    for column, kind in fields(name):
+        value = F.col(column).cast("decimal(38,6)") if kind == "double" else F.col(column)
+        texts.append(F.coalesce(value.cast("string"), F.lit("NULL")))
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 15), 16, 10).cast("decimal(20,0)")
+    return module.agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum(digest), F.lit(0)).cast("string").alias("checksum")
+    )
+
+
+def contents(spark: SparkSession, directory: str, file_format: str = "parquet") -> DataFrame:
+    """(module, rows, checksum) of the modules there are in a run's folder, read anew."""
+    found = _expected(spark).where(F.lit(False)).select(
+        "module", F.lit(0).cast("bigint").alias("rows"), F.lit("").alias("checksum")
+    )
+    for name in MODULES:
+        module = read_result(spark, directory, name, file_format)
+        if module is not None:
+            found = found.unionByName(content(module, name).withColumn("module", F.lit(name)))
+    return found
+
+
 def forget_runs(spark: SparkSession, directory: str, keep: int) -> list[str]:
     """Remove all published runs but the last ``keep``; returns the folders removed."""
     gone = [f"{directory.rstrip('/')}/{old.name}" for old in versions.forget(spark, directory, keep)]
@@ -170,25 +209,30 @@ def manifest(spark: SparkSession, directory: str, file_format: str = "parquet")
     )
 
 
-def completeness(spark: SparkSession, directory: str, file_format: str = "parquet") -> DataFrame:
-    """ok, missing or empty for each expected module, and its rows.
+def completeness(
+    spark: SparkSession,
+    directory: str,
+    file_format: str = "parquet",
+    record: dict[str, dict] | None = None,
+) -> DataFrame:
+    """ok, missing, empty or damaged for each expected module, and its rows.
 
     A module is there if its folder was written, as for those that serve it; it is
-    empty if it has no rows, whatever files there are.
+    empty if it has no rows, whatever files there are. With the run's record, one whose
+    rows or checksum are not those it was written with is damaged.
     """
-    counts = _expected(spark).where(F.lit(False)).select("module", F.lit(0).alias("rows"))
-    for name in MODULES:
-        module = read_result(spark, directory, name, file_format)
-        if module is not None:
-            counted = module.agg(F.count("*").alias("rows"))
-            counts = counts.unionByName(counted.select(F.lit(name).alias("module"), "rows"))
+    recorded = [(n, r["rows"], r["checksum"]) for n, r in (record or {}).items()]
+    written = spark.createDataFrame(recorded, "module string, rows_written bigint, checksum_written string")
+    same = (F.col("rows") == F.col("rows_written")) & (F.col("checksum") == F.col("checksum_written"))
     return (
         _expected(spark)
-        .join(counts, "module", "left")
+        .join(contents(spark, directory, file_format), "module", "left")
+        .join(written, "module", "left")
         .orderBy("position")
         .select(
             "module",
             F.when(F.col("rows").isNull(), "missing")
+            .when(F.col("rows_written").isNotNull() & ~same, "damaged")
             .when(F.col("rows") == 0, "empty")
             .otherwise("ok")
             .alias("status"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,11 +76,25 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD = 64
 
 
+# Numbers between the ends of a dimension's keys for each key at most, for bitmaps of
+# its keys to be no larger than the keys themselves.
+DENSE = 64
+
+
 @dataclass(frozen=True)
 class DimensionSize:
     rows: int
     bytes: int
     widest_row: int
+    least: int | None = None
+    largest: int | None = None
+
+    @property
+    def dense(self) -> bool:
+        """Whether there are so many keys that a bitmap is a good set of them."""
+        if self.least is None or self.largest is None:
+            return False
+        return self.largest - self.least < DENSE * self.rows
 
 
 @dataclass(frozen=True)
@@ -93,15 +108,19 @@ class SalesTables:
     sizes: dict[str, DimensionSize] = field(default_factory=dict, compare=False)
     broadcast_bytes: int = BROADCAST_BYTES
     counted: bool = False
+    counting: RLock = field(default_factory=RLock, compare=False, repr=False)
 
     def size(self, name: str) -> DimensionSize | None:
         """The size of a dimension, counted when it is first asked for.
 
         Uncounted tables have the sizes they were given, if any.
         """
-        if name not in self.sizes and self.counted:
-            self.sizes[name] = measure(self, name)
-        return self.sizes.get(name)
+        if not self.counted:
+            return self.sizes.get(name)
+        with self.counting:  # modules are built by several threads
+            if name not in self.sizes:
+                self.sizes[name] = measure(self, name)
+            return self.sizes[name]
 
     def fits_broadcast(self, name: str, *numbers: str, with_place: bool = False) -> bool:
         """Whether what a join needs of a dimension is within its share of the bound.
@@ -172,19 +191,21 @@ def measure(tables: SalesTables, name: str) -> DimensionSize:
             F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"),
             F.coalesce(F.max("w"), F.lit(0)).alias("widest"),
             F.count_if((F.col("n") > 1) & F.col("key").isNotNull()).alias("repeated"),
+            F.min("key").alias("least"),
+            F.max("key").alias("largest"),
         )
     )
     row = counted.first()
     if row["repeated"]:
         raise ValueError(f"duplicate keys in {TABLE_NAMES[name]} ({row['repeated']} keys)")
-    return DimensionSize(row["rows"], row["bytes"], row["widest"])
+    return DimensionSize(row["rows"], row["bytes"], row["widest"], row["least"], row["largest"])
 
 
 def checked(tables: SalesTables) -> SalesTables:
     """Tables that keep the contract, narrowed to its columns; counted when first joined."""
     check_contract(tables)
     narrow = {name: getattr(tables, name).select(*columns) for name, columns in CONTRACT.items()}
-    return replace(tables, **narrow, sizes={}, counted=True)
+    return replace(tables, **narrow, sizes={}, counted=True, counting=RLock())
 
 
 def load_files(spark: SparkSession, directory: str, file_format: str = "parquet") -> SalesTables:

@@ -267,3 +267,27 @@ def test_questions_the_warehouse_answers():
     assert bounds_query(connection, "T", "K") == "SELECT MIN(K) AS low, MAX(K) AS high, COUNT(*) AS n FROM dbo.T"
     asked = months_query(connection, "T", "D", "K")
     assert asked.endswith("FROM dbo.T WHERE D IS NOT NULL GROUP BY D / 100")
+
+
+def test_a_lost_part_file_is_damage(spark, t, tmp_path):
+    out = f"{tmp_path}/out"
+    run = job.publish_snapshot(spark, t, out)
+    record = results.current_record(spark, out)
+    assert set(record) == set(results.MODULES)
+
+    def status():
+        found = rows(results.completeness(spark, results.current_run(spark, out), record=record))
+        return {r["module"]: r["status"] for r in found}
+
+    assert set(status().values()) == {"ok"}
+    back = results.read_result(spark, run, "trend").drop("result_file")
+    trend, schema = rows(back), back.schema
+    results.publish(spark.createDataFrame(trend[1:] + trend[:1], schema), run, "trend")  # another order
+    assert status()["trend"] == "ok"
+    for changed in (trend[1:], trend[1:] + trend[:1] + trend[:1], [dict(trend[0], sales_amount=0.01)] + trend[1:]):
+        results.publish(spark.createDataFrame(changed, schema), run, "trend")
+        found = status()
+        assert found.pop("trend") == "damaged" and set(found.values()) == {"ok"}
+    (lost, *_) = [p for p in (tmp_path / "out" / run.rsplit("/", 1)[1] / "channels").iterdir() if p.name.startswith("part-")]
+    lost.unlink()
+    assert status()["channels"] == "damaged"
