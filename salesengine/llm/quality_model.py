@@ -2,8 +2,9 @@
 
 Heuristic labellers vote on every text: good, bad, or nothing. How often each
 combination of votes occurs in the whole corpus is counted; expectation-maximisation
-on these counts estimates the share of good texts and how often each labeller says
-what of good and of bad ones, and so the chance that a text with given votes is good.
+on these counts estimates the shares of good texts and of several kinds of bad ones, how
+often each labeller says what of each, and so the chance that a text with given votes is
+good.
 These posteriors are the soft labels on which a linear scorer is trained, whose
 features are hashed words, their shapes and their repetition; it scores every text.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,45 +65,70 @@ LABELLERS = (
     Labeller("letters", _share(lambda t: t.n_words - t.n_plain), 0.05, 0.3),
     Labeller("variety", lambda t: 1 - len(set(t.words)) / t.n_words**0.8, 0.4, 0.9),
 )
-VOTES = "-0+"
-FALSE_ALARM = 0.0003
+#: Good texts, called bad and not, that each labeller is taken to have seen before.
+FALSE_ALARMS = (0.2, 99.8)
 
 
 def votes(t: Text, labellers: Sequence[Labeller] = LABELLERS) -> str:
     return "".join(labeller.vote(t) for labeller in labellers)
 
 
-def posteriors(counts: Mapping[str, int], rounds: int = 100) -> dict[str, float]:
-    """The chance to be good for every combination of votes, from how often each occurs.
+@dataclass
+class Labels:
+    """What the votes say: the share of each class, and how often its labellers say bad and good.
+
+    Class 0 is good text; the others are kinds of bad text. ``rates`` is by class, labeller
+    and vote, and sums to one over the two votes.
+    """
+
+    share: np.ndarray
+    rates: np.ndarray
+
+    def good(self, pattern: str) -> float:
+        """The chance to be good for votes that need not have been seen before.
+
+        A labeller that did not vote says nothing; without a vote it is the share of good texts.
+        """
+        odds = np.log(self.share)
+        for labeller, vote in enumerate(pattern):
+            if vote != "0":
+                odds = odds + np.log(self.rates[:, labeller, 0 if vote == "-" else 1])
+        chance = np.exp(odds - odds.max())
+        return float(chance[0] / chance.sum())
+
+
+def estimate(counts: Mapping[str, int], labellers: int = len(LABELLERS), rounds: int = 500) -> Labels:
+    """Expectation-maximisation on how often each combination of votes occurs.
 
-    Begins with bad where any labeller says so: the kinds of bad texts are many, and
-    one labeller knows one or two of them. For the same reason a prior as heavy as ten
-    corpora says that a labeller calls three good texts in ten thousand bad. Combinations
-    without a vote get the share of good texts.
+    Votes are independent within a class. One class is good text, and there is a kind of
+    bad text for each labeller, as kinds are many and a labeller knows one or two of them;
+    it begins with the texts that its labeller calls bad, and what no labeller calls bad
+    begins as good. All shares and all rates, false alarms among them, are estimated. Where
+    a labeller is alone with its bad votes, the counts cannot tell false alarms from a kind
+    of its own; FALSE_ALARMS, a fixed number of good texts of which few are called bad, says
+    so then, and weighs less and less as the corpus grows.
     """
-    if not counts:
-        return {}
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
-    table = np.array([[VOTES.index(v) for v in p] for p in patterns])
-    hot = np.stack([table == v for v in range(len(VOTES))], axis=2).astype(float)
-    good = np.where(hot[:, :, 0].any(axis=1), 0.1, 0.9)
-    for _ in range(rounds):
-        share = (n @ good + 1) / (n.sum() + 2)
-        chances = []
-        for belief in (good, 1 - good):
-            seen = np.einsum("p,plv->lv", n * belief, hot) + 0.5
-            chances.append(seen / seen.sum(axis=1, keepdims=True))
-        weight = 10 * n.sum()
-        alarms = (chances[0][:, 0] * (n @ good) + FALSE_ALARM * weight) / (n @ good + weight)
-        chances[0][:, 1:] *= ((1 - alarms) / (1 - chances[0][:, 0]))[:, None]
-        chances[0][:, 0] = alarms
-        # a labeller that did not vote says nothing
-        voted = hot.copy()
-        voted[:, :, 1] = 0
-        odds = np.einsum("plv,lv->p", voted, np.log(chances[0]) - np.log(chances[1]))
-        good = 1 / (1 + np.exp(-np.clip(odds + np.log(share / (1 - share)), -30, 30)))
-    return dict(zip(patterns, good.tolist()))
+    votes_of = np.array([list(p) for p in patterns]).reshape(len(patterns), labellers)
+    voted = np.stack([votes_of == "-", votes_of == "+"], axis=2).astype(float)
+    bad = voted[:, :, 0]
+    said = bad.sum(axis=1, keepdims=True)
+    begin = np.where(said > 0, 0.9 * bad / np.maximum(said, 1), 0.1 / labellers)
+    belief = np.concatenate([np.where(said > 0, 0.1, 0.9), begin], axis=1)
+    pseudo = np.full((1 + labellers, labellers, 2), 0.5)
+    pseudo[0] = FALSE_ALARMS
+    while True:
+        share = n @ belief + 0.5
+        seen = np.einsum("p,pc,plv->clv", n, belief, voted) + pseudo
+        found = Labels(share / share.sum(), seen / seen.sum(axis=2, keepdims=True))
+        rounds -= 1
+        odds = np.log(found.share) + np.einsum("plv,clv->pc", voted, np.log(found.rates))
+        chance = np.exp(odds - odds.max(axis=1, keepdims=True))
+        chance /= chance.sum(axis=1, keepdims=True)
+        if rounds < 1 or not len(patterns) or np.abs(chance - belief).max() < 1e-7:
+            return found
+        belief = chance
 
 
 @dataclass(frozen=True)
@@ -218,8 +245,8 @@ def voted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def train(
     docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[Model, dict[str, float]]:
-    """The scorer and the posterior of every combination of votes.
+) -> tuple[Model, Labels]:
+    """The scorer, and what was estimated of the labellers.
 
     All texts vote. The scorer is fitted on a bounded sample, see Settings: of good
     and of bad texts those with the smallest hashes of their ids; without an id a text
@@ -228,8 +255,8 @@ def train(
     every = stored(voted(docs, id_col, text_col))
     # at most three to the power of the number of labellers
     counts = {r.votes: r["count"] for r in every.groupBy("votes").count().collect()}
-    chance = posteriors(counts)
-    good = [p for p, c in chance.items() if c >= 0.5]
+    labels = estimate(counts)
+    good = [p for p in counts if labels.good(p) >= 0.5]
     order = F.xxhash64("doc_id")
     known = every.where("doc_id IS NOT NULL")
     chosen = [
@@ -246,25 +273,27 @@ def train(
         .select("text", "votes")
         .collect()
     )
-    return fit([r.text for r in rows], np.array([chance[r.votes] for r in rows]), settings), chance
+    return fit([r.text for r in rows], np.array([labels.good(r.votes) for r in rows]), settings), labels
 
 
 def score(
     docs: DataFrame,
     model: Model,
-    chance: Mapping[str, float],
+    labels: Labels,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, votes, posterior, score, kept): one row for each row of ``docs``.
 
-    ``kept``: the scorer gives KEPT or more. Null and empty texts have no votes
+    ``kept``: the scorer gives KEPT or more. Votes that no text of the training table had
+    get their posterior from the rates like others. Null and empty texts have no votes
     and the score of a text without words. Null ids and repeated rows are kept; other
     columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
+        chance = cache(labels.good)
         for part, texts in text_batches(batches, "text"):
             said, scores = [], []
             for text in texts:
@@ -275,7 +304,7 @@ def score(
                 [
                     part.column("doc_id"),
                     pa.array(said, pa.string()),
-                    pa.array([chance[v] for v in said], pa.float64()),
+                    pa.array([chance(v) for v in said], pa.float64()),
                     pa.array(scores, pa.float64()),
                     pa.array([s >= KEPT for s in scores], pa.bool_()),
                 ],

@@ -104,8 +104,9 @@ def levels(nodes: DataFrame) -> DataFrame:
 
 
 def _node(kind: str, call_id: Column) -> Column:
-    """Null if a part of the identifier is null."""
-    return F.concat(F.lit(f"{kind}:"), F.col("conv_id").cast("string"), F.lit(":"), call_id)
+    """Kind, conversation and identifier, each on its own; null if a part of them is null."""
+    whole = F.struct(F.lit(kind).alias("kind"), F.col("conv_id").alias("conv_id"), call_id.alias("call_id"))
+    return F.when(F.col("conv_id").isNotNull() & call_id.isNotNull(), whole)
 
 
 def link(events: DataFrame, schemas: Schemas) -> DataFrame:

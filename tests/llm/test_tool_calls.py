@@ -38,6 +38,21 @@ def test_links_and_levels(spark):
     assert [r.level for r in out] == [3, 2, 0, 1, 0, 0, 0]
 
 
+def test_identifiers_with_colons(spark):
+    """What joins conversation and identifier must not be part of either."""
+    rows = [call("c", conv_id="a:b"), result("b:c", conv_id="a"), call("c", conv_id="a:b:"), result(":c", conv_id="a:b")]
+    df = events(spark, [{**r, "conv_id": 1} for r in rows]).drop("conv_id")
+    names = spark.createDataFrame([(i, r["conv_id"]) for i, r in enumerate(rows)], "turn long, conv_id string")
+    out = tool_calls.link(df.join(names, "turn"), {"f": {}}).collect()
+    assert [(r.linked, r.level) for r in sorted(out, key=lambda r: r.turn)] == [(False, 0)] * 4
+
+
+def test_very_long_texts(spark):
+    rows = [call("a", arguments=json.dumps({"x": "y" * 2_000_000})), result("a", content="z" * 3_000_000)]
+    out = linked(spark, rows, {"f": {"x": Parameter("string")}})
+    assert [r.linked for r in out] == [True, True] and out[0].valid and len(out[1].json) > 3_000_000
+
+
 def test_long_chain(spark):
     rows = [call(f"c{i}", follows=f"c{i - 1}") for i in range(70)] + [result(f"c{i}") for i in range(70)]
     out = linked(spark, rows)
