@@ -9,8 +9,11 @@ again in double precision on the original components.
 
 Equal vectors are one point of the graph, with the smallest ids that an answer can
 need, so a vector that a third of all rows share weighs no more than any other.
-Shards are dealt by a hash and hold ``shard_rows`` points or fewer on average; the
-graph is a written table, and blocks of queries meet the graphs of all shards.
+Points are dealt to bands of like length first, so that the added component stays small
+beside the others, and within a band by a hash to shards that hold ``shard_rows`` points
+or fewer on average. The graph is a written table, and blocks of queries meet the graphs
+of the shards. The longest bands are searched first. A shard whose longest vector could not
+reach a query's last answer so far, even in the query's own direction, is left out.
 """
 
 from __future__ import annotations
@@ -35,7 +38,8 @@ class Settings:
     search_beam: int = 128
     alpha: float = 1.2
     shard_rows: int = 8_192
-    query_block: int = 4_096
+    query_block: int = 32_768
+    band: float = 1.25
     batch: int = 256
     at_once: int = 4
     seed: int = 5
@@ -192,27 +196,47 @@ def _with(data: np.ndarray, of: np.ndarray, both: np.ndarray, settings: Settings
     return out
 
 
+def _length(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
+
+
 def build_index(
     vectors: DataFrame,
     copies: int,
     settings: Settings = Settings(),
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-) -> tuple[DataFrame, int]:
-    """A written table (shard, place, point, ids, embedding, neighbours, entry) of all points.
-
-    Shards are named by the length of their vectors, as those of different lengths
-    have no inner product, and a number below the one returned.
+) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: all points with their graphs, and the bands.
+
+    (shard, place, point, ids, embedding, neighbours, entry) and (dims, band, parts, top,
+    before): the shards of a band, its longest vector, and the points of longer bands.
+    Shards are named by the number of components, as vectors with different ones have no
+    inner product, the band, and a part of it. A band's vectors differ in length by the
+    factor ``settings.band`` at most; unit vectors lie in the middle of theirs.
     """
-    all_points = stored(points(vectors, copies, id_col, vector_col))
-    shards = max(1, math.ceil(all_points.count() / settings.shard_rows))
-    dealt = all_points.select(
-        F.concat_ws(
-            ":", F.size("embedding"), F.pmod(F.xxhash64("embedding"), F.lit(shards))
-        ).alias("shard"),
-        "point",
-        "ids",
-        "embedding",
+    all_points = stored(
+        points(vectors, copies, id_col, vector_col)
+        .withColumn("dims", F.size("embedding"))
+        .withColumn("length", _length(F.col("embedding")))
+        .withColumn("band", F.round(F.log("length") / math.log(settings.band)).cast("int"))
+    )
+    longer = W.partitionBy("dims").orderBy(F.desc("band")).rowsBetween(W.unboundedPreceding, -1)
+    bands = stored(
+        all_points.groupBy("dims", "band")
+        .agg(F.count("*").alias("n"), F.max("length").alias("top"))
+        # one row for each band, of which the range of doubles allows some thousands
+        .select(
+            "dims",
+            "band",
+            F.ceil(F.col("n") / settings.shard_rows).cast("int").alias("parts"),
+            "top",
+            F.coalesce(F.sum("n").over(longer), F.lit(0)).alias("before"),
+        )
+    )
+    part = F.pmod(F.xxhash64("embedding"), F.col("parts"))
+    dealt = all_points.join(bands.select("dims", "band", "parts"), ["dims", "band"]).select(
+        _shard("dims", "band", part), "point", "ids", "embedding"
     )
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
@@ -230,7 +254,11 @@ def build_index(
         f"shard string, point long, ids array<long>, embedding {kind}, place int, "
         "neighbours array<int>, entry int",
     )
-    return stored(index), shards
+    return stored(index), bands
+
+
+def _shard(dims: str, band: str, part: Column) -> Column:
+    return F.concat_ws(":", dims, band, part).alias("shard")
 
 
 def search(
@@ -248,39 +276,52 @@ def search(
     if there are fewer candidates of the query's length. See ``points`` for the rows
     that take no part. Other columns are not read.
     """
-    index, shards = build_index(vectors, k + 1, settings, id_col, vector_col)
+    index, bands = build_index(vectors, k + 1, settings, id_col, vector_col)
     usable = _usable(vectors.where(is_query), id_col, vector_col)
     asked = stored(
         usable.join(index.select("embedding", "point"), "embedding").select(
             F.col("id").alias("query_id"), "point", "embedding"
         )
     )
-    distinct = asked.groupBy("point").agg(F.first("embedding").alias("query"))
-    blocks = max(1, math.ceil(asked.select("point").distinct().count() / settings.query_block))
-    names = F.transform(
-        F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.concat_ws(":", F.size("query"), i)
-    )
-    queries = distinct.select(
-        F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(names).alias("shard"),
-        "point",
-        "query",
+    distinct = stored(
+        asked.groupBy("point").agg(F.first("embedding").alias("query")).withColumn("dims", F.size("query"))
     )
-    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    blocks = max(1, math.ceil(distinct.count() / settings.query_block))
+    first = F.col("before") < settings.shard_rows
+    meets = bands.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meets = meets.select("dims", "top", first.alias("first"), _shard("dims", "band", F.col("part")))
 
     def run(graph: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         if graph.empty or query.empty:
             return pd.DataFrame({"query": [], "point": [], "ids": [], "score": []})
         return pd.concat(found_in(graph.sort_values("place", ignore_index=True), query, k + 1, settings))
 
-    found = (
-        graphs.groupBy("shard", "block")
-        .cogroup(queries.groupBy("shard", "block"))
-        .applyInPandas(run, "query long, point long, ids array<long>, score double")
-    )
+    def found(queries: DataFrame) -> DataFrame:
+        """Answers of queries (shard, point, query), a block and a shard at a time."""
+        in_blocks = queries.withColumn("block", F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int"))
+        wanted = in_blocks.select(F.col("shard").alias("of"), F.col("block").alias("for_block")).distinct()
+        graphs = index.join(wanted, F.col("shard") == F.col("of")).drop("of")
+        return (
+            graphs.groupBy("shard", "for_block")
+            .cogroup(in_blocks.groupBy("shard", "block"))
+            .applyInPandas(run, "query long, point long, ids array<long>, score double")
+        )
+
     order = W.partitionBy("query").orderBy(F.desc("score"), "point")
-    nearest = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    answers = nearest.select("query", "score", F.explode("ids").alias("vec_id"))
+
+    def nearest(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+
+    every = distinct.join(meets, "dims").select("shard", "point", "query", "top", "first")
+    answered = nearest(found(every.where("first").select("shard", "point", "query")))
+    if bands.where(~first).limit(1).count():
+        answered = stored(answered)
+        last = answered.where(F.col("n") == k + 1).select(F.col("query").alias("of"), F.col("score").alias("last"))
+        reach = _length(F.col("query")) * F.col("top") * (1 + 1e-9)
+        rest = every.where("NOT first").join(last, F.col("point") == F.col("of"), "left")
+        rest = rest.where(F.col("last").isNull() | (reach >= F.col("last")))
+        answered = nearest(answered.drop("n").unionByName(found(rest.select("shard", "point", "query"))))
+    answers = answered.select("query", "score", F.explode("ids").alias("vec_id"))
     at = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = answers.withColumn("n", F.row_number().over(at)).where(F.col("n") <= k + 1)
     lists = best.groupBy("query").agg(

@@ -44,6 +44,34 @@ def test_recall(spark, norms):
         assert [s for _, s in found] == sorted((s for _, s in found), reverse=True)
 
 
+def recall(spark, data, k, settings=graph_ann.Settings(), every=20):
+    """Mean and least recall over the queries, whose scores must be right."""
+    n = len(data)
+    df = spark.createDataFrame([(i, v.tolist(), 1, "x") for i, v in enumerate(data)], VECTORS)
+    out = answers(graph_ann.search(df, F.col("vec_id") % every == 0, k=k, settings=settings))
+    assert sorted(out) == list(range(0, n, every)) and all(len(f) == k for f in out.values())
+    exact = data.astype(float)
+    hits = [len({i for i, _ in brute(np.arange(n), exact, q, k)} & {i for i, _ in found}) / k for q, found in out.items()]
+    return np.mean(hits), min(hits)
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.5, 1.0])
+def test_recall_on_clusters_of_unequal_length(spark, sigma):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(200, 32))
+    data = centres[rng.integers(0, 200, 6_000)] + rng.normal(scale=0.1, size=(6_000, 32))
+    data = data / np.linalg.norm(data, axis=1, keepdims=True) * rng.lognormal(sigma=sigma, size=(6_000, 1))
+    mean, least = recall(spark, data.astype(np.float32), 20)
+    assert mean >= 0.95 and least >= 0.6
+
+
+def test_recall_over_several_shards_and_blocks(spark):
+    rng = np.random.default_rng(7)
+    data = rng.normal(size=(4_000, 16)) * rng.lognormal(sigma=0.3, size=(4_000, 1))
+    mean, _ = recall(spark, data.astype(np.float32), 10, graph_ann.Settings(shard_rows=400, query_block=50))
+    assert mean >= 0.9
+
+
 def test_recall_of_the_query(spark):
     rows = table(spark, MEDIUM, "embeddings").collect()
     ids, data = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
