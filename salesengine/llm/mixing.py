@@ -6,7 +6,9 @@ and its deadline. Every slot takes the released block with the earliest deadline
 the weights add up to W, no deadline is missed, and at any slot t every source that
 still has blocks has had t w / W of them, give or take less than one. The schedule
 repeats after W slots, so one period of it is worked out, and every block finds its
-slot from its number.
+slot from its number. Sources of equal weight have the same releases and deadlines and
+take turns by name, so the schedule keeps one state for every distinct weight, however
+many sources there are.
 
 Documents are numbered within a source by buckets of a hash of their ids: rows of a
 bucket are numbered in a task, and buckets by their counts, so a hot source is spread
@@ -15,56 +17,89 @@ over as many tasks as it has rows for.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from salesengine.llm.common import stored, unused
 
-#: Slots of a period at most: the schedule of one period is broadcast.
-MAX_PERIOD = 10_000
+#: Slots of a period up to which its schedule is sent to all tasks; a longer one is shuffled.
+SENT_SLOTS = 100_000
 #: Rows that one task numbers, about.
 BUCKET_ROWS = 20_000
+#: Slots worked out between two additions to the schedule.
+RUN = 128
 
 
 def period(sources: DataFrame) -> DataFrame:
     """(source, weight, turn, slot, slots): one period of the schedule of sources and weights.
 
     Sources are distinct, null is one of them; ties of deadlines go to the first by name.
+    The schedule is a sequence and one task's work: its time grows with slots times
+    distinct weights, its memory with slots.
     """
+    weight = F.col("weight").cast("long").alias("weight")
     row = sources.agg(
-        F.array_sort(F.collect_list(F.struct("source", F.col("weight").cast("long").alias("weight")))).alias("s"),
-        F.sum("weight").cast("long").alias("slots"),
+        F.array_sort(F.collect_list(F.struct("source", weight))).alias("s"), F.sum("weight").cast("long").alias("slots")
     ).where("slots > 0")
+    kinds = F.array_sort(F.array_distinct(F.transform("s", lambda s: s["weight"])))
+    numbered = F.transform("s", lambda s, i: F.struct(s["weight"].alias("weight"), i.alias("i")))
+    members = F.transform(
+        kinds,
+        lambda w: F.struct(
+            w.alias("weight"),
+            F.transform(F.filter("numbered", lambda n: n["weight"] == w), lambda n: n["i"]).alias("of"),
+        ),
+    )
+    row = row.withColumn("numbered", numbered).withColumn("kinds", members).drop("numbered")
 
     def step(state: Column, slot: Column) -> Column:
-        blocks = F.transform(
-            "s",
-            lambda s, i: F.struct(
-                F.ceil((state["done"][i] + 1) * F.col("slots") / s["weight"]).alias("deadline"),
-                i.alias("source"),
-                F.floor(state["done"][i] * F.col("slots") / s["weight"]).alias("release"),
-            ),
-        )
-        chosen = F.array_min(F.filter(blocks, lambda b: b["release"] <= slot))["source"]
+        """The next block of every weight is that of one of its sources; the earliest deadline wins."""
+
+        def block(kind: Column, place: Column) -> Column:
+            done, of = state["done"][place], F.size(kind["of"])
+            turn = F.floor(done / of)
+            return F.struct(
+                F.ceil((turn + 1) * F.col("slots") / kind["weight"]).alias("deadline"),
+                kind["of"][F.pmod(done, of).cast("int")].alias("i"),
+                F.floor(turn * F.col("slots") / kind["weight"]).alias("release"),
+                turn.alias("turn"),
+                place.alias("place"),
+            )
+
+        released = F.filter(F.transform("kinds", block), lambda b: b["release"] <= slot)
         return F.transform(
-            F.array(chosen),
+            F.array(F.array_min(released)),
             lambda c: F.struct(
-                F.transform(state["done"], lambda d, i: F.when(i == c, d + 1).otherwise(d)).alias("done"),
+                F.transform(state["done"], lambda d, p: F.when(p == c["place"], d + 1).otherwise(d)).alias("done"),
                 F.array_append(
-                    state["turns"], F.struct(c.alias("i"), state["done"][c].alias("turn"), slot.alias("slot"))
+                    state["turns"], F.struct(c["i"].alias("i"), c["turn"].alias("turn"), slot.alias("slot"))
                 ).alias("turns"),
             ),
         )[0]
 
+    none = F.array().cast("array<struct<i:int,turn:bigint,slot:bigint>>")
+
+    def run(state: Column, begin: Column) -> Column:
+        """Some slots in a row, whose turns are added as one."""
+        slots = F.sequence(begin, F.least(begin + RUN, F.col("slots")) - 1)
+        after = F.aggregate(slots, F.struct(state["done"].alias("done"), none.alias("turns")), step)
+        return F.transform(
+            F.array(after),
+            lambda a: F.struct(a["done"].alias("done"), F.array_append(state["runs"], a["turns"]).alias("runs")),
+        )[0]
+
     begin = F.struct(
-        F.transform("s", lambda s: F.lit(0).cast("long")).alias("done"),
-        F.array().cast("array<struct<i:int,turn:bigint,slot:bigint>>").alias("turns"),
+        F.transform("kinds", lambda k: F.lit(0).cast("long")).alias("done"),
+        F.array().cast("array<array<struct<i:int,turn:bigint,slot:bigint>>>").alias("runs"),
     )
-    slots = F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)
-    turns = row.select("s", "slots", F.explode(F.aggregate(slots, begin, step)["turns"]).alias("t"))
+    starts = F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(RUN).cast("long"))
+    turns = row.select("s", "slots", F.explode(F.aggregate(starts, begin, run)["runs"]).alias("run"))
+    turns = turns.select("s", "slots", F.explode("run").alias("t"))
     return turns.select(
         F.col("s")[F.col("t.i")]["source"].alias("source"),
         F.col("s")[F.col("t.i")]["weight"].alias("weight"),
@@ -87,10 +122,10 @@ def mix(
     """``docs`` with slot and position, the order in which to read them.
 
     Sources have the weight given, or ``other``; a null source is a source of its
-    own. Weights are positive whole numbers, in all at most MAX_PERIOD for the sources
-    there are. A source's documents are taken in order of the MD5 of their ids, a null
-    id as an empty one, ``block`` to a slot. Every row is kept, repeats too. Where a
-    source has run out, its slots stay empty and positions skip them. Columns of
+    own. Weights are positive whole numbers. A source's documents are taken in order of
+    the MD5 of their ids, a null id as an empty one, and rows with one id in that of a
+    hash of all their columns, ``block`` to a slot. Every row is kept, repeats too. Where
+    a source has run out, its slots stay empty and positions skip them. Columns of
     ``docs`` named like the added ones are replaced.
     """
     if min([other, block, *weights.values()]) < 1:
@@ -102,16 +137,23 @@ def mix(
         given = F.when(F.col("source") == name, weight).otherwise(given)
     sources = stored(counted.withColumn("weight", given))
     total = sources.agg(F.sum("weight").alias("slots"), F.sum("count").alias("rows")).first()
-    if (total.slots or 0) > MAX_PERIOD:
-        raise ValueError(f"the weights of the sources add up to {total.slots}, over {MAX_PERIOD}")
     digits = 0
     while BUCKET_ROWS * 16**digits < (total.rows or 0):
         digits += 1
 
-    own = [unused(docs, n) for n in ("mix_hash", "mix_bucket", "mix_at", "mix_source", "mix_before", "mix_slot", "mix_weight", "mix_turn", "mix_slots")]
-    hashed, bucket, at, source, before, slot, weight, turn, slots = own
-    rows = docs.withColumn(hashed, F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))).withColumn(
-        bucket, F.substring(hashed, 1, digits)
+    own = [unused(docs, n) for n in ("mix_hash", "mix_bucket", "mix_at", "mix_source", "mix_before", "mix_slot", "mix_weight", "mix_turn", "mix_slots", "mix_row")]
+    hashed, bucket, at, source, before, slot, weight, turn, slots, row = own
+    # rows without an id share a hash: they are cut by that of the row
+    nothing = hashlib.md5(b"").hexdigest()
+    alone = F.col(id_col).isNull()
+    part = F.when(alone, F.concat(F.lit("1"), F.substring(row, 1, digits))).otherwise(
+        F.when(F.col(hashed) < nothing, "0").otherwise("2")
+    )
+    hashable = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    rows = (
+        docs.withColumn(hashed, F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+        .withColumn(row, F.lpad(F.hex(F.xxhash64(*hashable)), 16, "0"))
+        .withColumn(bucket, F.concat(F.substring(hashed, 1, digits), part))
     )
     buckets = (
         rows.groupBy(F.col(source_col).alias(source), F.col(bucket).alias("of"))
@@ -124,17 +166,19 @@ def mix(
         )
         .select(source, "of", F.coalesce(before, F.lit(0)).alias(before))
     )
-    within = W.partitionBy(source_col, bucket).orderBy(hashed, id_col)
+    within = W.partitionBy(source_col, bucket).orderBy(hashed, id_col, row)
     numbered = (
         rows.withColumn(at, F.row_number().over(within) - 1)
         .join(buckets, F.col(source_col).eqNullSafe(F.col(source)) & (F.col(bucket) == F.col("of")))
         .withColumn(at, F.col(at) + F.col(before))
         .drop(source, "of", before)
     )
-    turns = period(sources.select("source", "weight")).toDF(source, weight, turn, slot, slots)
+    turns = stored(period(sources.select("source", "weight"))).toDF(source, weight, turn, slot, slots)
+    if (total.slots or 0) <= SENT_SLOTS:
+        turns = F.broadcast(turns)
     number = F.floor(F.col(at) / block)
     placed = numbered.join(
-        F.broadcast(turns),  # at most MAX_PERIOD rows
+        turns,
         F.col(source_col).eqNullSafe(F.col(source)) & (F.pmod(number, F.col(weight)) == F.col(turn)),
     )
     in_slot = F.floor(number / F.col(weight)) * F.col(slots) + F.col(slot)

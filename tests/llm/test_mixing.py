@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,8 +82,46 @@ def test_files_hold_the_order(spark, tmp_path):
     assert order == [r.doc_id for r in sorted(mixed.collect(), key=lambda r: r.position)]
 
 
+def plain_period(weights):
+    """Every slot to the released block with the earliest deadline, then the first source."""
+    slots, done, out = sum(weights), [0] * len(weights), []
+    for slot in range(slots):
+        ready = [(-(-(done[i] + 1) * slots // w), i) for i, w in enumerate(weights) if done[i] * slots // w <= slot]
+        i = min(ready)[1]
+        out.append((i, done[i], slot))
+        done[i] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [[3, 3, 2, 2, 5], [8, 4, 2] + [1] * 300, [7, 1, 7, 2, 2, 2, 90], list(range(1, 25))])
+def test_period_like_plain_python(spark, weights):
+    sources = spark.createDataFrame([(f"s{i:03}", w) for i, w in enumerate(weights)], "source string, weight long")
+    found = sorted((int(t.source[1:]), t.turn, t.slot) for t in mixing.period(sources).collect())
+    assert found == sorted(plain_period(weights))
+
+
+def test_twenty_thousand_sources(spark):
+    rows = spark.range(30_000).selectExpr("id AS doc_id", "concat('s', id % 20000) AS source")
+    began = time.perf_counter()
+    mixed = mixing.mix(rows, {"s1": 8, "s2": 4}, block=1).collect()
+    assert time.perf_counter() - began < 60
+    assert len({r.position for r in mixed}) == 30_000
+    slots = {r.doc_id: r.slot for r in mixed if r.source == "s1"}
+    assert len(slots) == 2 and max(slots.values()) < 2 * -(-20_010 // 8)
+
+
+def test_rows_of_one_id_have_a_fixed_order(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    rows = [(i, f"text {j}") for i in (None, None, 5, 7) for j in range(40)] + [(i, "x") for i in range(100, 140)]
+    frame = spark.createDataFrame([(i, "a", t) for i, t in rows], "doc_id long, source string, text string")
+    runs = []
+    for parts in (1, 7):
+        out = mixing.mix(frame.repartition(parts), {}, block=3).collect()
+        runs.append(sorted((r.position, str(r.doc_id), r.text) for r in out))
+        assert [p for p, _, _ in runs[-1]] == list(range(200))
+    assert runs[0] == runs[1]
+
+
 def test_refused(spark):
     with pytest.raises(ValueError):
         mixing.mix(docs(spark, {"a": 1}), {"a": 0})
-    with pytest.raises(ValueError):
-        mixing.mix(docs(spark, {"a": 1}), {"a": mixing.MAX_PERIOD + 1})
