@@ -18,6 +18,7 @@ to the whole text.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
@@ -155,6 +156,29 @@ class Encoder:
         return b"".join(map(self.memory.__getitem__, words))
 
 
+def check_kind(tokenizer: Tokenizer) -> None:
+    """Refuse tokenizers of a kind for which words cannot be encoded on their own.
+
+    Their words end in a suffix of their own, are split at white space, of which nothing
+    is left, and at a comma or full stop, and do not depend on the case of ASCII letters.
+    """
+    bare = Tokenizer.from_str(tokenizer.to_str())
+    bare.no_truncation()
+    bare.no_padding()
+
+    def ids(text: str) -> list[int]:
+        return bare.encode(text, add_special_tokens=False).ids
+
+    words = ["The", "9", "it'll", "na\u00efve", "x_y", "QUICK", "a.b"]
+    alone = [i for word in words for i in ids(word)]
+    fits = json.loads(bare.to_str())["model"].get("end_of_word_suffix") == WORD_END
+    fits = fits and all(ids(space + space.join(words) + space) == alone for space in " \t\n\v\f\r")
+    fits = fits and ids("QUICK") == ids("quick")
+    fits = fits and all(ids("quick" + e) == ids("quick") + ids(e) for e in (",", "."))
+    if not fits:
+        raise ValueError("the tokenizer does not encode words between white space on their own")
+
+
 def worker_encoder(path: str) -> Encoder:
     """The encoder of this Python worker, which runs one task after another."""
     state = sys.modules.setdefault("_bpe_of_this_worker", ModuleType("_bpe_of_this_worker"))
@@ -251,7 +275,8 @@ def encode(
 ) -> DataFrame:
     """(doc_id, ids): one row for each row of ``docs``, ids as little-endian 32-bit numbers.
 
-    ``path`` is the tokenizer's file, which executors have at the same place. A null
+    ``path`` is the tokenizer's file, which executors have at the same place; see
+    ``check_kind`` for those that are refused. A null
     text is encoded like an empty one, to no ids. Null ids and repeated rows are kept.
     ``carry`` names a column of whole numbers, the same whenever ``docs`` is read, that
     every row keeps; other columns are not read.
@@ -263,7 +288,9 @@ def encode(
     )
     own = [name for name in source.columns if name != "text"]
     own_schema = ", ".join(f"{name} long" for name in own)
-    vocabulary = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+    tokenizer = Tokenizer.from_file(path)
+    check_kind(tokenizer)
+    vocabulary = tokenizer.get_vocab_size(with_added_tokens=True)
     sent = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def texts_of(part: pa.RecordBatch) -> list[bytes]:
@@ -362,12 +389,14 @@ def encode(
     )
     whole = (
         source.mapInArrow(pack, f"row binary, {own_schema}, data binary")
+        .where("row IS NOT NULL")  # holds; Spark would add it for one of the two joins only
         .groupBy("row")
         .agg(*(F.first(name).alias(name) for name in [*own, "data"]), F.count("*").alias("copies"))
     )
     once = (
         whole.join(homes, F.col("row") == F.col("at"))
-        .select("data", "homes")
+        # all columns, as below, so that both take the texts from one shuffle
+        .select("row", *own, "copies", "data", "homes")
         .mapInArrow(encode_shared, "h1 long, h2 long, ids binary")
         .where("ids IS NOT NULL")
     )
@@ -378,7 +407,7 @@ def encode(
     )
     encoded = (
         whole.join(sent_to, F.col("row") == F.col("to"), "left")
-        .select(*own, "copies", "data", "chunks")
+        .select("row", *own, "copies", "data", "chunks")
         .mapInArrow(assemble, f"{own_schema}, copies long, ids binary")
     )
     together = encoded.select(

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from conftest import SMALL
 
@@ -102,3 +103,19 @@ def test_query_like_the_library(spark):
         want[doc.doc_id] = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     out = queries.op5_bpe(spark, SMALL).collect()
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out} == want and len(out) == len(docs)
+
+
+def test_tokenizers_of_another_kind_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_texts_are_shuffled_once(spark):
+    """Texts that give chunks and texts that take them come from one shuffle."""
+    passage = " ".join(f"word{i}" for i in range(2_000))
+    docs = spark.createDataFrame([(i, f"{i} {passage} {i}") for i in range(6)], "doc_id long, text string")
+    out = bpe.encode(docs, queries.tokenizer_path())
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan
