@@ -31,6 +31,10 @@ from salesengine.llm.common import stored, unused
 SENT_SLOTS = 100_000
 #: Rows that one task numbers, about.
 BUCKET_ROWS = 20_000
+#: Rows of a file in the order of the mix, about.
+FILE_ROWS = 50_000
+#: Routes to the files, of some bytes each, that are sent to all tasks at most.
+ROUTE_BYTES, SENT_BYTES = 160, 32 * 2**20
 #: Slots worked out between two additions to the schedule.
 RUN = 128
 
@@ -109,6 +113,89 @@ def period(sources: DataFrame) -> DataFrame:
     )
 
 
+NOTHING = hashlib.md5(b"").hexdigest()
+
+
+class _Names:
+    """Names for columns added on the way that no column of the documents has."""
+
+    def __init__(self, docs: DataFrame):
+        for name in "hash row bucket at first source before slot weight turn slots file route low base".split():
+            setattr(self, name, unused(docs, f"mix_{name}"))
+
+
+def _sources(docs: DataFrame, weights: Mapping[str, int], other: int, block: int, source_col: str) -> DataFrame:
+    """(source, count, weight), written."""
+    if min([other, block, *weights.values()]) < 1:
+        raise ValueError("weights and the block are 1 or more")
+    given = F.lit(other).cast("long")
+    for name, weight in weights.items():
+        given = F.when(F.col("source") == name, weight).otherwise(given)
+    return stored(docs.groupBy(F.col(source_col).alias("source")).count().withColumn("weight", given))
+
+
+def _keyed(docs: DataFrame, of: _Names, rows: int, id_col: str) -> DataFrame:
+    """``docs`` with what orders them within a source, and the bucket this falls into.
+
+    Buckets are cut by the hash of the id, and those of rows without an id, which share a
+    hash, by that of the whole row. In order of their names they are in that of the rows.
+    """
+    digits = 0
+    while BUCKET_ROWS * 16**digits < rows:
+        digits += 1
+    hashable = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    part = F.when(F.col(id_col).isNull(), F.concat(F.lit("1"), F.substring(of.row, 1, digits))).otherwise(
+        F.when(F.col(of.hash) < NOTHING, "0").otherwise("2")
+    )
+    return (
+        docs.withColumn(of.hash, F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+        .withColumn(of.row, F.lpad(F.hex(F.xxhash64(*hashable)), 16, "0"))
+        .withColumn(of.bucket, F.concat(F.substring(of.hash, 1, digits), part))
+    )
+
+
+def _ranked(keyed: DataFrame, of: _Names, id_col: str, source_col: str) -> DataFrame:
+    """Keyed rows with their rank in the source, and that of the first row equal to them."""
+    sums = W.partitionBy(of.source).orderBy(of.low).rowsBetween(W.unboundedPreceding, -1)
+    buckets = (
+        keyed.groupBy(F.col(source_col).alias(of.source), F.col(of.bucket).alias(of.low))
+        .count()
+        .select(of.source, of.low, F.coalesce(F.sum("count").over(sums), F.lit(0)).alias(of.before))
+    )
+    within = W.partitionBy(source_col, of.bucket).orderBy(of.hash, id_col, of.row)
+    same = F.col(source_col).eqNullSafe(F.col(of.source)) & (F.col(of.bucket) == F.col(of.low))
+    return (
+        keyed.withColumn(of.at, F.row_number().over(within) - 1)
+        .withColumn(of.first, F.rank().over(within) - 1)
+        .join(buckets, same)
+        .withColumn(of.at, F.col(of.at) + F.col(of.before))
+        .withColumn(of.first, F.col(of.first) + F.col(of.before))
+        .drop(of.source, of.low, of.before)
+    )
+
+
+def _turns(sources: DataFrame, of: _Names) -> tuple[DataFrame, bool]:
+    """One period under names of our own, and whether it is short enough to be sent to all tasks."""
+    slots = sources.agg(F.sum("weight")).first()[0] or 0
+    turns = stored(period(sources.select("source", "weight"))).toDF(of.source, of.weight, of.turn, of.slot, of.slots)
+    return (F.broadcast(turns), True) if slots <= SENT_SLOTS else (turns, False)
+
+
+def _placed(
+    ranked: DataFrame, turns: DataFrame, of: _Names, block: int, source_col: str, slot_col: str, position_col: str
+) -> DataFrame:
+    """Rows with a rank, with their slot and position."""
+    number = F.floor(F.col(of.at) / block)
+    placed = ranked.join(
+        turns,
+        F.col(source_col).eqNullSafe(F.col(of.source)) & (F.pmod(number, F.col(of.weight)) == F.col(of.turn)),
+    )
+    in_slot = F.floor(number / F.col(of.weight)) * F.col(of.slots) + F.col(of.slot)
+    return placed.withColumn(slot_col, in_slot).withColumn(
+        position_col, F.col(slot_col) * block + F.pmod(F.col(of.at), F.lit(block))
+    ).drop(of.source, of.weight, of.turn, of.slot, of.slots)
+
+
 def mix(
     docs: DataFrame,
     weights: Mapping[str, int],
@@ -128,73 +215,76 @@ def mix(
     a source has run out, its slots stay empty and positions skip them. Columns of
     ``docs`` named like the added ones are replaced.
     """
-    if min([other, block, *weights.values()]) < 1:
-        raise ValueError("weights and the block are 1 or more")
     docs = docs.drop(slot_col, position_col)
-    counted = docs.groupBy(F.col(source_col).alias("source")).count()
-    given = F.lit(other).cast("long")
-    for name, weight in weights.items():
-        given = F.when(F.col("source") == name, weight).otherwise(given)
-    sources = stored(counted.withColumn("weight", given))
-    total = sources.agg(F.sum("weight").alias("slots"), F.sum("count").alias("rows")).first()
-    digits = 0
-    while BUCKET_ROWS * 16**digits < (total.rows or 0):
-        digits += 1
+    of = _Names(docs)
+    sources = _sources(docs, weights, other, block, source_col)
+    rows = sources.agg(F.sum("count")).first()[0] or 0
+    ranked = _ranked(_keyed(docs, of, rows, id_col), of, id_col, source_col)
+    turns, _ = _turns(sources, of)
+    placed = _placed(ranked, turns, of, block, source_col, slot_col, position_col)
+    return placed.select(*docs.columns, slot_col, position_col)
 
-    own = [unused(docs, n) for n in ("mix_hash", "mix_bucket", "mix_at", "mix_source", "mix_before", "mix_slot", "mix_weight", "mix_turn", "mix_slots", "mix_row")]
-    hashed, bucket, at, source, before, slot, weight, turn, slots, row = own
-    # rows without an id share a hash: they are cut by that of the row
-    nothing = hashlib.md5(b"").hexdigest()
-    alone = F.col(id_col).isNull()
-    part = F.when(alone, F.concat(F.lit("1"), F.substring(row, 1, digits))).otherwise(
-        F.when(F.col(hashed) < nothing, "0").otherwise("2")
-    )
-    hashable = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
-    rows = (
-        docs.withColumn(hashed, F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-        .withColumn(row, F.lpad(F.hex(F.xxhash64(*hashable)), 16, "0"))
-        .withColumn(bucket, F.concat(F.substring(hashed, 1, digits), part))
-    )
-    buckets = (
-        rows.groupBy(F.col(source_col).alias(source), F.col(bucket).alias("of"))
-        .count()
-        .withColumn(
-            before,
-            F.sum("count").over(
-                W.partitionBy(source).orderBy("of").rowsBetween(W.unboundedPreceding, -1)
-            ),
-        )
-        .select(source, "of", F.coalesce(before, F.lit(0)).alias(before))
-    )
-    within = W.partitionBy(source_col, bucket).orderBy(hashed, id_col, row)
-    numbered = (
-        rows.withColumn(at, F.row_number().over(within) - 1)
-        .join(buckets, F.col(source_col).eqNullSafe(F.col(source)) & (F.col(bucket) == F.col("of")))
-        .withColumn(at, F.col(at) + F.col(before))
-        .drop(source, "of", before)
-    )
-    turns = stored(period(sources.select("source", "weight"))).toDF(source, weight, turn, slot, slots)
-    if (total.slots or 0) <= SENT_SLOTS:
-        turns = F.broadcast(turns)
-    number = F.floor(F.col(at) / block)
-    placed = numbered.join(
-        turns,
-        F.col(source_col).eqNullSafe(F.col(source)) & (F.pmod(number, F.col(weight)) == F.col(turn)),
-    )
-    in_slot = F.floor(number / F.col(weight)) * F.col(slots) + F.col(slot)
-    return placed.select(
-        *docs.columns,
-        in_slot.alias(slot_col),
-        (in_slot * block + F.pmod(F.col(at), F.lit(block))).alias(position_col),
-    )
 
+def in_order(
+    docs: DataFrame,
+    weights: Mapping[str, int],
+    other: int = 1,
+    block: int = 8,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+) -> DataFrame:
+    """The documents dealt and sorted so that files hold them in the order of ``mix``.
 
-def in_order(docs: DataFrame, weights: Mapping[str, int], **options) -> DataFrame:
-    """The documents dealt and sorted so that files hold them in the order of ``mix``."""
+    The order is worked out on ids, sources and hashes alone and cut into ranges for the
+    files. Of every bucket of a source the first row in each range is kept as a route, by
+    which each whole document finds its range: documents are shuffled once, and take their
+    ranks within the range from that of the route. They go through one shuffle more if the
+    schedule or the routes are too many to be sent to all tasks, or if rows that are equal in
+    all columns lie on both sides of a cut, as a route cannot tell them apart.
+    """
     slot, position = unused(docs, "slot"), unused(docs, "position")
-    mixed = mix(docs, weights, slot_col=slot, position_col=position, **options)
-    dealt = mixed.repartitionByRange(position).sortWithinPartitions(position)
-    return dealt.drop(slot, position)
+    of = _Names(docs)
+    sources = _sources(docs, weights, other, block, source_col)
+    rows = sources.agg(F.sum("count")).first()[0] or 0
+    turns, sent = _turns(sources, of)
+    keyed = _keyed(docs, of, rows, id_col)
+
+    def twice() -> DataFrame:
+        placed = _placed(_ranked(keyed, of, id_col, source_col), turns, of, block, source_col, slot, position)
+        return placed.repartitionByRange(position).sortWithinPartitions(position).select(*docs.columns)
+
+    if not sent:
+        return twice()
+    spark = docs.sparkSession
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // FILE_ROWS))
+    key = [of.hash, id_col, of.row]
+    narrow = _ranked(keyed.select(source_col, of.bucket, *key), of, id_col, source_col)
+    ordered = _placed(narrow, turns, of, block, source_col, slot, position)
+    dealt = stored(ordered.repartitionByRange(files, position).withColumn(of.file, F.spark_partition_id()))
+    low = F.min(F.struct(*key, F.col(of.first).alias(of.base))).alias(of.low)
+    by_bucket = [F.col(source_col).alias(of.source), F.col(of.bucket).alias(of.before)]
+    begins = stored(dealt.groupBy(*by_bucket, of.file).agg(low, F.min(of.at).alias(of.at)))
+    if begins.where(F.col(of.low)[of.base] < F.col(of.at)).limit(1).count():
+        return twice()
+    routes = stored(
+        begins.groupBy(of.source, of.before).agg(
+            F.array_sort(F.collect_list(F.struct(of.low, of.file))).alias(of.route)
+        )
+    )
+    size = F.size(of.route) * ROUTE_BYTES + F.coalesce(F.octet_length(F.col(of.source).cast("string")), F.lit(0))
+    counted = routes.agg(F.sum(size)).first()[0] or 0
+    same = F.col(source_col).eqNullSafe(F.col(of.source)) & (F.col(of.bucket) == F.col(of.before))
+    met = keyed.join(F.broadcast(routes) if counted <= SENT_BYTES else routes, same)
+    # routes of a bucket are in order, so the last one that does not begin behind a row is its own
+    ahead = F.filter(of.route, lambda r: F.struct(*[r[of.low][c] for c in key]) <= F.struct(*key))
+    routed = met.withColumn(of.route, F.element_at(ahead, -1)).select(
+        *keyed.columns, F.col(of.route)[of.file].alias(of.file), F.col(of.route)[of.low][of.base].alias(of.base)
+    )
+    together = routed.repartitionById(files, F.col(of.file).cast("int"))
+    within = W.partitionBy(of.file, source_col, of.bucket).orderBy(*key)
+    ranked = together.withColumn(of.at, F.col(of.base) + F.row_number().over(within) - 1)
+    placed = _placed(ranked, turns, of, block, source_col, slot, position)
+    return placed.sortWithinPartitions(of.file, position).select(*docs.columns)
 
 
 def file_positions(docs: DataFrame, position_col: str = "position") -> DataFrame:
@@ -213,5 +303,5 @@ def file_positions(docs: DataFrame, position_col: str = "position") -> DataFrame
     starts = stored(sizes.select(file, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(start)))
     placed = docs.select(
         *docs.columns, name.alias(file), F.col("_metadata.row_index").alias(position_col)
-    ).join(F.broadcast(starts), file)
+    ).join(starts, file)
     return placed.select(*docs.columns, (F.col(start) + F.col(position_col)).alias(position_col))

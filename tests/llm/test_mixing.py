@@ -122,6 +122,32 @@ def test_rows_of_one_id_have_a_fixed_order(spark, monkeypatch):
     assert runs[0] == runs[1]
 
 
+@pytest.mark.parametrize("sent, bytes_, equal", [(100_000, 2**25, 1), (100_000, 2**25, 30), (1, 2**25, 30), (100_000, 0, 1)])
+def test_files_hold_the_order_of_odd_rows(spark, tmp_path, monkeypatch, sent, bytes_, equal):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 6)
+    monkeypatch.setattr(mixing, "FILE_ROWS", 9)
+    monkeypatch.setattr(mixing, "SENT_SLOTS", sent)
+    monkeypatch.setattr(mixing, "SENT_BYTES", bytes_)
+    rows = [(i, s, f"text {i} {j}", 1) for i in (None, 3, 4) for s in ("a", None) for j in range(25)]
+    rows += [(i, "abc"[i % 3], "t", 2) for i in range(100, 190)] + [(7, "a", "equal", 3)] * equal
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_file int")
+    mixed = sorted(mixing.mix(frame, {"a": 3}, block=2).collect(), key=lambda r: r.position)
+    mixing.in_order(frame, {"a": 3}, block=2).write.parquet(str(tmp_path / "out"))
+    read = spark.read.parquet(str(tmp_path / "out"))
+    assert read.columns == frame.columns
+    found = sorted(mixing.file_positions(read).collect(), key=lambda r: r.position)
+    assert [r.position for r in found] == list(range(len(rows)))
+    assert [(r.doc_id, r.source, r.text) for r in found] == [(r.doc_id, r.source, r.text) for r in mixed]
+
+
+def test_whole_documents_are_shuffled_once(spark):
+    rows = docs(spark, {"a": 200, "b": 100}).withColumn("text", F.repeat(F.lit("x"), 50))
+    plan = mixing.in_order(rows, {"a": 2}, block=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") + 1
+    for operator in ("Python", "Arrow", "Pandas", "CartesianProduct", "NestedLoop"):
+        assert operator not in plan
+
+
 def test_refused(spark):
     with pytest.raises(ValueError):
         mixing.mix(docs(spark, {"a": 1}), {"a": 0})
