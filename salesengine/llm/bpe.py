@@ -23,7 +23,7 @@ import os
 import re
 import struct
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from types import ModuleType
 
 import numpy as np
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from salesengine.llm.common import in_small_batches, slices, stored
+from salesengine.llm.common import in_small_batches, light_slices, slices, stored
 
 WINDOW = 16
 #: Chunks are of this many bytes on average and at least, and at most.
@@ -44,6 +44,8 @@ HASHED_AT_ONCE = 1 << 20
 #: Words a worker remembers before it starts anew.
 REMEMBERED = 200_000
 JOIN_BYTES = 64
+#: Bytes of text, packed or not, that are split into words at once, about.
+AT_ONCE, PACKED_AT_ONCE = 1 << 20, 1 << 18
 #: Size of the bitmap at most, as a power of two: 8 MB.
 MAX_BITS = 26
 WORD = re.compile(rb"[^ \t-\r]+")
@@ -271,7 +273,12 @@ def encode_texts(encoder: Encoder, texts: list[bytes], known: list[dict[int, byt
 
 
 def encode(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None
+    docs: DataFrame,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: str | None = None,
+    decoded_col: str | None = None,
 ) -> DataFrame:
     """(doc_id, ids): one row for each row of ``docs``, ids as little-endian 32-bit numbers.
 
@@ -279,7 +286,8 @@ def encode(
     ``check_kind`` for those that are refused. A null
     text is encoded like an empty one, to no ids. Null ids and repeated rows are kept.
     ``carry`` names a column of whole numbers, the same whenever ``docs`` is read, that
-    every row keeps; other columns are not read.
+    every row keeps; other columns are not read. ``decoded_col`` names a column for the
+    ids' text, as by ``decode``, for which no second pass over the ids is needed then.
     """
     source = in_small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -292,6 +300,14 @@ def encode(
     check_kind(tokenizer)
     vocabulary = tokenizer.get_vocab_size(with_added_tokens=True)
     sent = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    text_of = None if decoded_col is None else decoder(tokenizer)
+    out_schema = "ids binary" if decoded_col is None else "ids binary, decoded string"
+
+    def outcome(columns: list[pa.Array], names: list[str], ids: list[bytes]) -> pa.RecordBatch:
+        columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
+        if text_of is not None:
+            columns, names = [*columns, pa.array(map(text_of, ids), pa.string())], [*names, "decoded"]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def texts_of(part: pa.RecordBatch) -> list[bytes]:
         return [(t or "").encode() for t in part.column("text").to_pylist()]
@@ -345,18 +361,16 @@ def encode(
 
     def encode_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
-        for part in slices(batches, 256):
+        for part in light_slices(batches, "text", 256, AT_ONCE):
             texts = texts_of(part)
             alone = [not shares(t) for t in texts]
             ids = encode_texts(encoder, [t for t, a in zip(texts, alone) if a], [{}] * sum(alone))
             keep = pa.array(alone, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(name).filter(keep) for name in own), pa.array(ids, pa.binary())], [*own, "ids"]
-            )
+            yield outcome([part.column(name).filter(keep) for name in own], own, ids)
 
     def encode_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
-        for part in slices(batches, 512):
+        for part in light_slices(batches, "data", 256, PACKED_AT_ONCE):
             hashes, words = [], []
             for data, homes in zip(unpacked(part), part.column("homes").to_pylist()):
                 bounds = cuts(data)
@@ -373,16 +387,13 @@ def encode(
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
-        for part in slices(batches, 256):
+        for part in light_slices(batches, "data", 256, PACKED_AT_ONCE):
             known = [
                 {c["place"]: np.frombuffer(c["ids"], sent).astype("<u4").tobytes() for c in chunks or ()}
                 for chunks in part.column("chunks").to_pylist()
             ]
             ids = encode_texts(encoder, unpacked(part), known)
-            yield pa.RecordBatch.from_arrays(
-                [*map(part.column, own), part.column("copies"), pa.array(ids, pa.binary())],
-                [*own, "copies", "ids"],
-            )
+            yield outcome([*map(part.column, own), part.column("copies")], [*own, "copies"], ids)
 
     homes = shared.groupBy(F.col("home.row").alias("at")).agg(
         F.collect_list(F.struct("h1", "h2", "home.place")).alias("homes")
@@ -408,34 +419,38 @@ def encode(
     encoded = (
         whole.join(sent_to, F.col("row") == F.col("to"), "left")
         .select("row", *own, "copies", "data", "chunks")
-        .mapInArrow(assemble, f"{own_schema}, copies long, ids binary")
+        .mapInArrow(assemble, f"{own_schema}, copies long, {out_schema}")
+    )
+    together = encoded.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")
+    out = together.unionByName(source.mapInArrow(encode_alone, f"{own_schema}, {out_schema}"))
+    return out.select(
+        "doc_id",
+        "ids",
+        *([] if carry is None else [F.col("carried").alias(carry)]),
+        *([] if decoded_col is None else [F.col("decoded").alias(decoded_col)]),
     )
-    together = encoded.select(
-        *own, "ids", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")
-    ).drop("copy")
-    out = together.unionByName(source.mapInArrow(encode_alone, f"{own_schema}, ids binary"))
-    return out.select("doc_id", "ids", *([] if carry is None else [F.col("carried").alias(carry)]))
+
+
+def decoder(tokenizer: Tokenizer) -> Callable[[bytes], str]:
+    """The text of ids, for tokenizers without a decoder of their own, whose tokens are joined by blanks."""
+    if tokenizer.decoder is not None:
+        raise ValueError("the tokenizer has a decoder of its own")
+    size = tokenizer.get_vocab_size(with_added_tokens=True)
+    tokens = [tokenizer.id_to_token(i) or "" for i in range(size)]
+    return lambda ids: " ".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids, special tokens included; null for null ids.
 
-    For tokenizers without a decoder of their own, whose tokens are joined by blanks.
+    For the tokenizers that ``decoder`` takes.
     """
     schema = encoded.drop(text_col).withColumn(text_col, F.lit("")).schema
-
-    tokenizer = Tokenizer.from_file(path)
-    if tokenizer.decoder is not None:
-        raise ValueError("the tokenizer has a decoder of its own")
-    size = tokenizer.get_vocab_size(with_added_tokens=True)
-    tokens = [tokenizer.id_to_token(i) or "" for i in range(size)]
+    text_of = decoder(Tokenizer.from_file(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 256):
-            texts = [
-                None if ids is None else " ".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                for ids in part.column(ids_col).to_pylist()
-            ]
+        for part in light_slices(batches, ids_col, 256, AT_ONCE):
+            texts = [None if ids is None else text_of(ids) for ids in part.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col]
             )

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(start, rows)
 
 
+def light_slices(
+    batches: Iterator[pa.RecordBatch], column: str, rows: int, most: int
+) -> Iterator[pa.RecordBatch]:
+    """Slices of ``rows`` rows at most that hold about ``most`` bytes of a column, or one longer value."""
+    for batch in slices(batches, rows):
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start = held = 0
+        for i, size in enumerate(sizes.tolist()):
+            if held and held + size > most:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        yield batch.slice(start)
+
+
 def text_batches(
     batches: Iterator[pa.RecordBatch], column: str, rows: int = 512
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

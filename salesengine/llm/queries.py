@@ -147,9 +147,8 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, carry: str | None = None) -> DataFrame:
-    path = tokenizer_path()
-    decoded = bpe.decode(bpe.encode(docs, path, carry=carry), path)
-    return decoded.select(
+    encoded = bpe.encode(docs, tokenizer_path(), carry=carry, decoded_col="decoded")
+    return encoded.select(
         "doc_id",
         F.floor(F.length("ids") / 4).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -119,3 +119,18 @@ def test_texts_are_shuffled_once(spark):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "ReusedExchange" in plan
+
+
+def test_decoded_in_the_same_pass(spark):
+    docs = table(spark, SMALL, "documents")
+    both = bpe.encode(docs, PATH, decoded_col="text").collect()
+    apart = bpe.decode(bpe.encode(docs, PATH), PATH, text_col="text").collect()
+    assert sorted((r.doc_id, r.ids, r.text) for r in both) == sorted((r.doc_id, r.ids, r.text) for r in apart)
+
+
+def test_slices_of_bounded_size():
+    data = [None, b"a" * 50, b"", b"b" * 30, b"c" * 200, None, b"d" * 90]
+    batch = bpe.pa.RecordBatch.from_arrays([bpe.pa.array(data, bpe.pa.binary())], ["data"])
+    parts = [p.column(0).to_pylist() for p in bpe.light_slices(iter([batch]), "data", 4, 100)]
+    assert [x for p in parts for x in p] == data
+    assert all(len(p) <= 4 and (sum(len(x or b"") for x in p) <= 100 or sum(x not in (None, b"") for x in p) == 1) for p in parts)
