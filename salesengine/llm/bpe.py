@@ -41,8 +41,8 @@ WINDOW = 16
 MEAN, LEAST, MOST = 1_024, 256, 16_384
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 HASHED_AT_ONCE = 1 << 20
-#: Words a worker remembers before it starts anew.
-REMEMBERED = 200_000
+#: Words a worker remembers before it forgets all that it met once.
+REMEMBERED = 500_000
 JOIN_BYTES = 64
 #: Bytes of text, packed or not, that are split into words at once, about.
 AT_ONCE, PACKED_AT_ONCE = 1 << 20, 1 << 18
@@ -118,6 +118,8 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memory: dict[bytes, bytes] = {}
+        #: Words met again since the others were forgotten last; they stay when the rest goes.
+        self.again: set[bytes] = set()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.ends_word = np.array([t.endswith(WORD_END) for t in tokens])
@@ -132,10 +134,13 @@ class Encoder:
         An ASCII word is encoded in lower case, which the tokenizer gives it anyway,
         and without a comma or full stop behind a letter or digit, which it splits off.
         """
+        words = set(ENDINGS).union(*lists)
         if len(self.memory) > REMEMBERED:
-            self.memory.clear()
+            kept = self.again if 2 * len(self.again) < REMEMBERED else ()
+            self.memory, self.again = {w: self.memory[w] for w in kept}, set()
         memory = self.memory
-        new = {w: _plain(w) for w in set(ENDINGS).union(*lists) if w not in memory}
+        new = {w: _plain(w) for w in words if w not in memory}
+        self.again.update(words.difference(new))
         missing = [b for b in {base for base, _ in new.values()} if b not in memory]
         letters = [b for b in missing if b.isalpha() or not b.isascii() and b.decode().isalpha()]
         rest = list(set(missing).difference(letters))
