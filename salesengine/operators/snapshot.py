@@ -43,8 +43,8 @@ LABELS = LabelRules()
 def kpis(t: SalesTables) -> DataFrame:
     """One row of headline figures; no dimension is needed for it.
 
-    Each distinct count is a pass over its own column, customers as bitmaps, and the
-    amounts come with the products. Together they read what one pass would, without multiplying
+    Each distinct count is a pass over its own column, customers as bitmaps if their
+    table has been counted for another module, and the amounts come with the products. Together they read what one pass would, without multiplying
     every line for the several distinct counts.
     """
     sales = unified_sales(t)
@@ -57,9 +57,9 @@ def kpis(t: SalesTables) -> DataFrame:
         )
     )
     orders = sales.agg(F.count_distinct("sales_order_number").alias("order_count"))
-    buyers = distinct_customers(sales.where(F.col("customer_key").isNotNull()), t).withColumnRenamed(
-        "n", "customer_count"
-    )
+    buyers = distinct_customers(
+        sales.where(F.col("customer_key").isNotNull()), t, counting=False
+    ).withColumnRenamed("n", "customer_count")
     average = rounded(quotient(F.col("total"), F.col("order_count")), 2)
     return side_by_side(amounts, orders, buyers).select(
         F.col("total").cast("double").alias("total_sales"),

@@ -215,16 +215,17 @@ def filtered_sales_geo(t: SalesTables, f: Filters = Filters()) -> DataFrame:
     return of_known_products(sales, t, f).select(unified.columns)
 
 
-def distinct_customers(rows: DataFrame, t: SalesTables) -> DataFrame:
+def distinct_customers(rows: DataFrame, t: SalesTables, counting: bool = True) -> DataFrame:
     """One row with n, the exact number of different customers of some rows, NULL not counted.
 
     Keys between the least and the largest of the customer table are bits of bitmaps, one
     for 32,768 keys, which are combined before they are shuffled and merge exactly. That
     is done only where the keys are dense, as a table of few customers with keys far apart
-    would need a bitmap for each. Other keys are shuffled one by one.
+    would need a bitmap for each. Other keys are shuffled one by one, and so are all if
+    the customers have not been counted and are not to be counted for this.
     """
     key = F.col("customer_key")
-    size = t.size("customer")
+    size = t.size("customer") if counting else t.sizes.get("customer")
     if size is None or not size.dense:
         return rows.agg(F.count_distinct(key).alias("n"))
     inside = key.between(F.lit(size.least), F.lit(size.largest))

@@ -86,8 +86,8 @@ class DimensionSize:
     rows: int
     bytes: int
     widest_row: int
-    least: int | None = None
-    largest: int | None = None
+    least: int | None = field(default=None, compare=False)
+    largest: int | None = field(default=None, compare=False)
 
     @property
     def dense(self) -> bool:

@@ -157,6 +157,7 @@ def test_lines_are_shuffled_once_for_places(spark, t):
 
 
 def test_several_distinct_counts_without_multiplying_lines(t):
+    t.size("customer")
     for df in (filtered.kpis(t), snapshot.kpis(t)):
         plan = explained(df)
         assert "Expand" not in plan and "bitmap_construct_agg" in plan
