@@ -7,8 +7,11 @@ As the cascade is built over every key of the corpus, its answer for them is exa
 and a row is judged by looking at bits, without a join.
 
 A filter is one array of 64-bit words that every task holds as a scalar subquery.
-Its size follows from counted keys; if it would exceed ``max_filter_bytes`` the
-listed keys are joined instead (distinct keys, so that hot hosts weigh nothing).
+Its size follows from counted keys. Beyond ``max_filter_bytes`` the keys are dealt by
+hash to as many cascades as that bound needs, each with filters of its own, and a key
+is looked up in the cascade it was dealt to. As tasks hold all of them, they end at
+``max_total_bytes``; longer lists are joined (distinct keys, so that hot hosts weigh
+nothing).
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from pyspark.sql import functions as F
 from salesengine.llm.common import ascii_lower, stored, unused
 
 MAX_LEVELS = 64
+MAX_FILTER_BYTES, MAX_TOTAL_BYTES = 16 * 2**20, 64 * 2**20
+#: Parts dealt by hash differ in size; each is planned as if it had this much more.
+UNEVEN = 1.1
 
 
 @dataclass(frozen=True)
@@ -137,10 +143,74 @@ def _build(keys: DataFrame, count: int, rate: float, level: int) -> Level:
     return Level(stored(row), level, bits, hashes)
 
 
-def build_cascade(
-    universe: DataFrame, max_filter_bytes: int = 16 * 2**20, rate: float = 1 / 64
-) -> Cascade | None:
-    """The cascade of the listed among distinct keys (key, listed); None if it gets too large.
+@dataclass(frozen=True)
+class Cascades:
+    """Cascades of the parts to which keys are dealt by hash."""
+
+    parts: tuple[Cascade, ...]
+
+    def contains(self, key: Column) -> Column:
+        if len(self.parts) == 1:
+            return self.parts[0].contains(key)
+        part, found = _part(key, len(self.parts)), F.lit(False)
+        for number, cascade in enumerate(self.parts):
+            found = F.when(part == number, cascade.contains(key)).otherwise(found)
+        return found
+
+
+def _part(key: Column, parts: int) -> Column:
+    """Of hashes no level takes, so that a part's keys lie evenly in its filters."""
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts)).cast("int")
+
+
+def _parts(count: int, others: int, rate: float, max_filter_bytes: int, max_total_bytes: int) -> int:
+    """How many parts keep filters within the first bound; 0 if all would exceed the second.
+
+    Counts the first two filters; later ones hold ``rate`` of those two before and less.
+    """
+    first = _first_rate(count, others)
+    bits = [_shape(count, first)[0], _shape(math.ceil(others * first), rate)[0]]
+    if UNEVEN * sum(bits) > 8 * max_total_bytes:
+        return 0
+    return max(1, math.ceil(UNEVEN * max(bits) / (8 * max_filter_bytes)))
+
+
+def _first_rate(count: int, others: int) -> float:
+    return min(0.5, max(count, 1) / max(others, 1))
+
+
+def build_cascades(
+    universe: DataFrame,
+    max_filter_bytes: int = MAX_FILTER_BYTES,
+    max_total_bytes: int = MAX_TOTAL_BYTES,
+    rate: float = 1 / 64,
+) -> Cascades | None:
+    """Cascades of the listed among distinct keys (key, listed); None if they get too large."""
+    count, others = universe.where("listed").count(), universe.where("NOT listed").count()
+    parts = _parts(count, others, rate, max_filter_bytes, max_total_bytes) if count else 1
+    if not parts:
+        return None
+    if parts == 1:
+        return Cascades((build_cascade(universe, count, others, rate),))
+    part = _part(F.col("key"), parts)
+    dealt = stored(universe.withColumn("part", part).repartition("part"))
+    sizes = {
+        (r.part, r.listed): r["count"] for r in dealt.groupBy("part", "listed").count().collect()
+    }  # two for each part
+    built = [
+        build_cascade(
+            dealt.where(F.col("part") == n).drop("part"),
+            sizes.get((n, True), 0),
+            sizes.get((n, False), 0),
+            rate,
+        )
+        for n in range(parts)
+    ]
+    return Cascades(tuple(built))
+
+
+def build_cascade(universe: DataFrame, count: int, others: int, rate: float = 1 / 64) -> Cascade:
+    """The cascade of the listed among distinct keys (key, listed), of which there are so many.
 
     The first filter's rate makes its false positives about as many as the listed
     keys, so a cascade takes a few bits for a listed key; ``rate`` is that of the
@@ -148,14 +218,11 @@ def build_cascade(
     """
     encode = universe.where("listed").select("key")
     other = universe.where("NOT listed").select("key")
-    count, others = encode.count(), other.count()
-    next_rate = min(0.5, max(count, 1) / max(others, 1))
+    next_rate = _first_rate(count, others)
     levels: list[Level] = []
     while count:
         if len(levels) == MAX_LEVELS:
             raise ValueError("keys of both kinds have the same hashes")
-        if _shape(count, next_rate)[0] > 8 * max_filter_bytes:
-            return None
         level = _build(encode, count, next_rate, len(levels))
         levels.append(level)
         wrong = stored(other.where(level.holds(F.col("key"))))
@@ -169,7 +236,8 @@ def judge(
     rules: Sequence[Rule],
     listed: DataFrame,
     url: str = "url",
-    max_filter_bytes: int = 16 * 2**20,
+    max_filter_bytes: int = MAX_FILTER_BYTES,
+    max_total_bytes: int = MAX_TOTAL_BYTES,
 ) -> DataFrame:
     """``pages`` with host, path, rule, listed and verdict (allow or block).
 
@@ -195,10 +263,10 @@ def judge(
         .agg(F.max("listed").alias("listed"))
         .where("key <> ''")
     )
-    cascade = build_cascade(universe, max_filter_bytes)
-    if cascade is not None:
+    cascades = build_cascades(universe, max_filter_bytes, max_total_bytes)
+    if cascades is not None:
         hit = (F.col("host") != "") & (
-            cascade.contains(F.col("host")) | cascade.contains(address)
+            cascades.contains(F.col("host")) | cascades.contains(address)
         )
         found = parts.withColumn("listed", hit)
     else:

@@ -48,27 +48,41 @@ def expected(url, listed):
     return host, path, best and best.text, verdict, hit
 
 
-@pytest.mark.parametrize("most", [16 * 2**20, 0])
-def test_judged_like_plain_python(spark, most):
-    """With the filter in memory, and beyond its bound by joins."""
+@pytest.mark.parametrize("bounds", [(2**24, 2**26), (8, 2**26), (2**24, 0)])
+def test_judged_like_plain_python(spark, bounds):
+    """With one cascade, with several, and beyond their bound by joins."""
     pages = spark.createDataFrame([(i, u, 7, "clash") for i, u in enumerate(URLS)], PAGES)
     listed = {"bad.net", "good.net/listed/path", "not.there"}
     keys = spark.createDataFrame([(k,) for k in [*listed, "bad.net", None, ""]], "key string")
-    out = url_filter.judge(pages, URL_RULES, keys, max_filter_bytes=most).collect()
+    out = url_filter.judge(pages, URL_RULES, keys, "url", *bounds).collect()
     got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict, r.listed) for r in out)
     assert got == [(i, *expected(u, listed)) for i, u in enumerate(URLS)]
 
 
-def test_exact_for_every_key(spark):
+@pytest.mark.parametrize("most, parts", [(2**24, 1), (1_500, 4)])
+def test_exact_for_every_key(spark, most, parts):
     universe = spark.range(30_000).selectExpr(
         "concat('host', id) AS key", "id % 7 = 0 AS listed"
     )
-    cascade = url_filter.build_cascade(universe)
-    assert len(cascade.levels) > 1
-    wrong = universe.where(cascade.contains(universe.key) != universe.listed)
+    cascades = url_filter.build_cascades(universe, most)
+    assert len(cascades.parts) >= parts
+    for cascade in cascades.parts:
+        assert len(cascade.levels) > 1
+        assert all(level.bits <= 8 * most for level in cascade.levels)
+    wrong = universe.where(cascades.contains(universe.key) != universe.listed)
     assert wrong.count() == 0
 
 
+def test_bounds(spark):
+    """Filters of 10 and 50 million listed keys among a billion; a longer list has none."""
+    def parts(count):
+        return url_filter._parts(count, 10**9, 1 / 64, url_filter.MAX_FILTER_BYTES, url_filter.MAX_TOTAL_BYTES)
+
+    assert parts(1_000_000) == 1
+    assert 1 < parts(20_000_000) <= 4
+    assert parts(200_000_000) == 0
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     keys = spark.createDataFrame([], "key string")
