@@ -8,12 +8,13 @@ rounded ones. Amounts are compared as decimals, so a bound is met exactly.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from decimal import Decimal
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salesengine.functions.exact import SUM_CENTS
 from salesengine.functions.labels import month_index, product_label
@@ -166,26 +167,42 @@ def high_value_region(geo: DataFrame, limits: AlertThresholds = DEFAULT) -> Data
 
 def snapshot_alerts(
     kpis: Callable[[], DataFrame],
-    trend: DataFrame,
-    products: DataFrame,
-    channels: DataFrame,
-    geo: DataFrame,
+    trend: Callable[[], DataFrame],
+    products: Callable[[], DataFrame],
+    channels: Callable[[], DataFrame],
+    geo: Callable[[], DataFrame],
     limits: AlertThresholds = DEFAULT,
 ) -> DataFrame:
     """The alerts of the published modules; a stable notice if none fires.
 
-    The rules are asked at once, four rows at most; the headline figures are only
-    computed if none of them fires.
+    The rules are asked when this is called, four rows at most, and the result holds
+    their answers. Each is a job of its own, planned and handed to Spark beside the
+    others; the headline figures are only computed if none of them fires.
     """
-    rules = [
-        sales_drop(trend, limits),
-        top_product_dependency(products, limits),
-        channel_imbalance(channels, limits),
-        high_value_region(geo, limits),
-    ]
-    asked = reduce(DataFrame.unionByName, rules).orderBy("rule_order")
-    fired = asked.collect()
-    return asked.sparkSession.createDataFrame(fired, asked.schema) if fired else stable(kpis())
+
+    def ask(rule: Callable[..., DataFrame], module: Callable[[], DataFrame]) -> tuple:
+        asked = rule(module(), limits)
+        return asked.collect(), asked.schema, asked.sparkSession  # a row at most
+
+    rules = {
+        sales_drop: trend,
+        top_product_dependency: products,
+        channel_imbalance: channels,
+        high_value_region: geo,
+    }
+    with ThreadPoolExecutor(max_workers=len(rules)) as pool:
+        answers = list(pool.map(ask, rules, rules.values()))
+    fired = [row for rows, _, _ in answers for row in rows]
+    if not fired:
+        return stable(kpis())
+    # a column may hold nulls if it may in the answer of any rule
+    schema = T.StructType(
+        [
+            T.StructField(same[0].name, same[0].dataType, any(f.nullable for f in same))
+            for same in zip(*(schema for _, schema, _ in answers))
+        ]
+    )
+    return answers[0][2].createDataFrame(fired, schema)
 
 
 def stable(kpis: DataFrame) -> DataFrame:

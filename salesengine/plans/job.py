@@ -62,11 +62,10 @@ def publish_snapshot(
             for name in METRICS
         }
         found = alerts.snapshot_alerts(
-            lambda: written["kpis"],
-            written["trend"],
-            written["top_products"],
-            written["channels"],
-            written["geo_sales"],
+            *[
+                lambda name=name: written[name]
+                for name in ("kpis", "trend", "top_products", "channels", "geo_sales")
+            ]
         )
         results.publish(found, folder, "alerts", file_format, generated_at=made)
     record = {
@@ -86,10 +85,10 @@ def snapshot_alerts(
     """
     return alerts.snapshot_alerts(
         lambda: snapshot.kpis(t),
-        snapshot.trend(t),
-        snapshot.top_products(t, 1),
-        snapshot.channels(t),
-        snapshot.geo(t, 1),
+        lambda: snapshot.trend(t),
+        lambda: snapshot.top_products(t, 1),
+        lambda: snapshot.channels(t),
+        lambda: snapshot.geo(t, 1),
         limits,
     )
 
