@@ -54,12 +54,12 @@ class Query:
 
 
 def _on_star(
-    metric: Callable[[SalesTables], DataFrame], gaps: bool = False
+    metric: Callable[[SalesTables], DataFrame], gaps: bool = False, facts: bool = False
 ) -> Callable[[SparkSession, str], DataFrame]:
     """A metric over the star schema, with decimals and dates cleaned for output."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return clean_values(metric(load_star(spark, sf_dir, gaps)))
+        return clean_values(metric(load_star(spark, sf_dir, gaps, facts)))
 
     return run
 
@@ -191,16 +191,19 @@ def _joined_lists(options: DataFrame) -> DataFrame:
 def _alert_queries() -> dict[str, Query]:
     out = {
         "alerts_snapshot": Query(
-            _on_star(lambda t: _without_metric(job.snapshot_alerts(t))), oracle.ALERTS_SNAPSHOT
+            _on_star(lambda t: _without_metric(job.snapshot_alerts(t)), facts=True),
+            oracle.ALERTS_SNAPSHOT,
         ),
         "alerts_snapshot_metric": Query(
-            _on_star(lambda t: _parsed_metric(job.snapshot_alerts(t))),
+            _on_star(lambda t: _parsed_metric(job.snapshot_alerts(t)), facts=True),
             oracle.ALERTS_SNAPSHOT_METRIC,
         ),
     }
     for name, limits in (("dependency", DEPENDENT), ("stable", ALL_QUIET)):
         out[f"alerts_snapshot_{name}"] = Query(
-            _on_star(lambda t, limits=limits: _without_metric(job.snapshot_alerts(t, limits))),
+            _on_star(
+                lambda t, limits=limits: _without_metric(job.snapshot_alerts(t, limits)), facts=True
+            ),
             oracle.alerts_snapshot(limits),
         )
     for preset in ("f0", "f1", "f7"):
@@ -336,9 +339,10 @@ def _published(
     read: Callable[[SparkSession, SalesTables, str], DataFrame], *modules: str
 ) -> Callable[[SparkSession, str], DataFrame]:
     """A read from a folder to which the modules were published just now."""
+    several = not modules or "alerts" in modules
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = load_star(spark, sf_dir)
+        t = load_star(spark, sf_dir, facts=several)
         folder = scratch_folder(spark)
         job.publish_snapshot(spark, t, folder, modules=modules or results.MODULES)
         return read(spark, t, folder)
@@ -358,7 +362,7 @@ def _run_with_gaps(
     """A read from a run without two modules, one of whose others has no rows."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = load_star(spark, sf_dir)
+        t = load_star(spark, sf_dir, facts=True)
         folder = job.publish_snapshot(
             spark, t, scratch_folder(spark), modules=("kpis", "trend", "top_products")
         )

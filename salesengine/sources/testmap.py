@@ -100,26 +100,31 @@ def star_views(spark: SparkSession, sf_dir: str, gaps: bool = False) -> SalesTab
     )
 
 
-# Derived dimensions by session, folder, and the state of the folder's files.
+# Derived tables by session, folder, and the state of the folder's files.
 _stored: dict[tuple, SalesTables] = {}
 
 
-def _state(spark: SparkSession, sf_dir: str) -> tuple:
-    """Names, sizes and times of the files of the tables that dimensions come from."""
-    folders = [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in ("orders", "customer")]
+def _state(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """Names, sizes and times of the files of the tables that derived ones come from."""
+    folders = [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in names]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders)
     rows = files.select("path", "length", "modificationTime").collect()  # listings only
     return tuple(sorted((r["path"], r["length"], r["modificationTime"]) for r in rows))
 
 
-def load_star(spark: SparkSession, sf_dir: str, gaps: bool = False) -> SalesTables:
+def load_star(
+    spark: SparkSession, sf_dir: str, gaps: bool = False, facts: bool = False
+) -> SalesTables:
     """Checked tables.
 
     Dates and places are distinct values of large tables: they are stored, as
     dimensions of a warehouse are, and derived anew when their files change. The
-    facts stay views.
+    facts stay views, which join lines and orders whenever they are read; with
+    ``facts``, for those who read them several times, they are stored likewise.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, gaps, _state(spark, sf_dir))
+    if facts:
+        return _with_facts(spark, sf_dir, load_star(spark, sf_dir, gaps), gaps)
+    key = (spark.sparkContext.applicationId, sf_dir, gaps, _state(spark, sf_dir, "orders", "customer"))
     if key not in _stored:
         views = star_views(spark, sf_dir, gaps)
         folder = scratch_folder(spark)
@@ -131,3 +136,17 @@ def load_star(spark: SparkSession, sf_dir: str, gaps: bool = False) -> SalesTabl
             )
         )
     return _stored[key]
+
+
+def _with_facts(spark: SparkSession, sf_dir: str, t: SalesTables, gaps: bool) -> SalesTables:
+    """The same tables with every line of both facts written once, joined with its order."""
+    read = _state(spark, sf_dir, "orders", "customer", "lineitem")
+    key = (spark.sparkContext.applicationId, sf_dir, gaps, "facts", read)
+    if key not in _stored:
+        folder = scratch_folder(spark)
+        _stored[key] = replace(
+            t,
+            internet=stored(t.internet, folder, "internet"),
+            reseller=stored(t.reseller, folder, "reseller"),
+        )
+    return _stored[key]

@@ -1,4 +1,5 @@
 import json
+from datetime import datetime, timedelta
 
 import pytest
 from conftest import SMALL, rows
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from salesengine.__main__ import main
 from salesengine.functions.filters import Filters
 from salesengine.operators import filtered, snapshot
-from salesengine.plans import job
+from salesengine.plans import job, registry
 from salesengine.sources import results, versions
 from salesengine.sources.jdbc import Connection, Month, Slices, bounds_query, fact_slices, months_query
 from salesengine.sources.scratch import scratch_folder
@@ -291,3 +292,68 @@ def test_a_lost_part_file_is_damage(spark, t, tmp_path):
     (lost, *_) = [p for p in (tmp_path / "out" / run.rsplit("/", 1)[1] / "channels").iterdir() if p.name.startswith("part-")]
     lost.unlink()
     assert status()["channels"] == "damaged"
+
+
+def order_tables(spark, folder, n):
+    """Small order tables: ``n`` orders of three lines each, some orders without a match."""
+    def put(name, data, schema):
+        spark.createDataFrame(data, schema).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
+    day = datetime(2001, 3, 1)
+    put("region", [(0, "EUROPE")], "r_regionkey int, r_name string")
+    put("nation", [(0, "FRANCE", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    put("customer", [(i, 0, "BUILDING") for i in range(4)], "c_custkey bigint, c_nationkey int, c_mktsegment string")
+    put(
+        "part",
+        [(i, f"red part {i}", "PROMO", 3, 9.5, "Brand") for i in range(5)],
+        "p_partkey bigint, p_name string, p_type string, p_size int, p_retailprice double, p_brand string",
+    )
+    put(
+        "orders",
+        [(i, i % 5, day + timedelta(days=20 * (i % 9))) for i in [*range(n), 3]],
+        "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp",
+    )
+    put(
+        "lineitem",
+        [(None if i == 7 else i, (i + k) % 6, 10.25 * k + i) for i in range(n + 3) for k in range(3)],
+        "l_orderkey bigint, l_partkey bigint, l_extendedprice double",
+    )
+
+
+def reads_orders(df):
+    return any("orders.parquet" in path or "lineitem.parquet" in path for path in df.inputFiles())
+
+
+SEVERAL = ("output_completeness", "published_alerts", "alerts_snapshot_stable", "report_modules")
+SEVERAL += ("report_context", "result_manifest", "report_text_roundtrip", "output_completeness_gaps")
+
+
+@pytest.mark.parametrize("name", SEVERAL)
+def test_lines_and_orders_are_joined_once_for_several_modules(spark, tmp_path, monkeypatch, name):
+    """The modules of a run read stored facts, not the join of lines and orders each anew."""
+    order_tables(spark, tmp_path, 40)
+    seen = []
+    for module in (job.METRICS, vars(snapshot)):
+        for figure, f in list(module.items()):
+            if figure in ("kpis", "trend", "channels", "top_products", "geo", "geo_sales"):
+                note = lambda t, *a, f=f, **k: (seen.append(t), f(t, *a, **k))[1]
+                monkeypatch.setitem(module, figure, note)
+    registry.registered()[name].run(spark, str(tmp_path)).collect()
+    assert seen
+    for t in seen:
+        assert not reads_orders(t.internet) and not reads_orders(t.reseller)
+
+
+def test_stored_facts_have_every_line_and_follow_their_files(spark, tmp_path):
+    order_tables(spark, tmp_path, 40)
+    stored = load_star(spark, str(tmp_path), facts=True)
+    assert load_star(spark, str(tmp_path), facts=True) is stored
+    views = load_star(spark, str(tmp_path))
+    assert reads_orders(views.internet)
+    for name in ("internet", "reseller"):
+        facts = sorted(map(repr, getattr(stored, name).collect()))
+        assert facts == sorted(map(repr, getattr(views, name).collect())) and len(facts) > 20
+        assert getattr(stored, name).schema == getattr(views, name).schema
+    order_tables(spark, tmp_path, 60)
+    anew = load_star(spark, str(tmp_path), facts=True)
+    assert anew.internet.count() > stored.internet.count()
