@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from conftest import SMALL
@@ -107,3 +108,21 @@ def test_positions_of_repeated_rows_and_of_many_files(spark, tmp_path):
     assert [at[i][0] for i in range(60)] == [r.doc_id for r in in_files]
     out = corpus_pipeline.encoded(spark, docs.drop("position"), SMALL).collect()
     assert {r.position: (r.doc_id, r.ids_sha256) for r in out} == at and len(out) == 60
+
+
+def test_secrets_are_learned_from_all_findings(spark, monkeypatch):
+    """More findings of a label than were once drawn, and longer ones."""
+    rng = random.Random(21)
+    texts = [f"und der {rng.randrange(10**15, 10**16)}-nr call" for _ in range(3_600)]
+    texts += [f"the key token = {rng.getrandbits(160):040x}{'ab' * (i % 2 * 150)} end" for i in range(3_600)]
+    schema = "doc_id long, text string, n_chars long"
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], schema)
+    models = []
+    mask = secret_scan.mask
+    monkeypatch.setattr(secret_scan, "mask", lambda d, model, **k: (models.append(model), mask(d, model, **k))[1])
+    out = corpus_pipeline.secrets(spark, docs, "").collect()
+    assert len(out) == 7_200
+    assert models[0].fitted + models[0].held == 7_200
+    masked = {r.doc_id: r.text for r in out}
+    assert all("[SECRET]" in masked[i] for i in range(3_600, 7_200))
+    assert sum("[SECRET]" in masked[i] for i in range(3_600)) <= 36
