@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
 A document is rejected as soon as one rule rejects it, so the order of the rules
-decides only the time. Every task runs all rules on its first documents, takes the
-time each needs and the share it rejects, and from then on asks them by rejections
-per second, the best first. What a rule needs of a text (words, lines, windows) is
-worked out when it is first asked for and shared with the rules behind it.
+decides only the time. A task asks the rules by rejections per second, the best first,
+and takes the time and the rejections of every rule it asks, of all its documents; the
+order is made anew from these counts again and again. On its first documents it asks
+all rules, so that each has been counted. What a rule needs of a text (words, lines,
+windows) is worked out when it is first asked for and shared with the rules behind it.
 """
 
 from __future__ import annotations
@@ -135,28 +136,35 @@ def base_failed(t: Text) -> bool:
 
 
 class Cascade:
-    """Asks the rules in their order of rejections per second, estimated on a sample."""
+    """Asks the rules in their order of rejections per second, counted over all documents it is given.
 
-    def __init__(self, rules: Sequence[Rule], sample: int):
-        self.rules, self.left = list(rules), sample
+    The order is made anew after every ``every`` documents; the first as many are asked of
+    all rules.
+    """
+
+    def __init__(self, rules: Sequence[Rule], every: int):
+        self.rules, self.every, self.met = list(rules), every, 0
         self.spent = dict.fromkeys(self.rules, 0.0)
         self.rejected = dict.fromkeys(self.rules, 1)  # a rule that has not rejected yet may still
 
     def rejects(self, t: Text) -> bool:
-        if not self.left:
-            return any(rule.rejects(t) for rule in self.rules)
-        # every rule begins in turn, so that what several need is charged to each of them
-        # as often as it is the first to ask; what is known of the text already is free
-        first = self.left % len(self.rules) if self.rules else 0
+        whole, rules = self.met < self.every, self.rules
+        if whole and rules:
+            # every rule begins in turn, so that what several need is charged to each of them
+            # as often as it is the first to ask; what is known of the text already is free
+            first = self.met % len(rules)
+            rules = rules[first:] + rules[:first]
         any_rejects = False
-        for rule in self.rules[first:] + self.rules[:first]:
+        for rule in rules:
             began = time.perf_counter()
             no = rule.rejects(t)
             self.spent[rule] += time.perf_counter() - began
             self.rejected[rule] += no
             any_rejects |= no
-        self.left -= 1
-        if not self.left:
+            if no and not whole:
+                break
+        self.met += 1
+        if self.every and not self.met % self.every:
             self.rules.sort(key=lambda r: self.spent[r] / self.rejected[r])
         return any_rejects
 
@@ -164,20 +172,20 @@ class Cascade:
 def judge(
     docs: DataFrame,
     rules: Sequence[Rule] = RULES,
-    sample: int = 64,
+    every: int = 64,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row for each row of ``docs``: its id, base measures, base_failed and kept.
 
     A null text has no word and, like an empty one, fails the base. Null ids and
-    repeated rows are kept as they are; other columns are not read. ``sample`` is
-    the number of documents by which a task orders the rules; the result is the
-    same for any order.
+    repeated rows are kept as they are; other columns are not read. ``every`` is
+    the number of documents after which a task orders the rules anew; the result
+    is the same for any order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cascade = Cascade(rules, sample)
+        cascade = Cascade(rules, every)
         for part, texts in text_batches(batches, "text"):
             rows = []
             for text in texts:
@@ -202,7 +210,7 @@ SCHEMA = ", ".join(
 
 
 def keep(
-    docs: DataFrame, rules: Sequence[Rule] = RULES, sample: int = 64, text_col: str = "text"
+    docs: DataFrame, rules: Sequence[Rule] = RULES, every: int = 64, text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` that pass the base and all rules, with all their columns.
 
@@ -211,7 +219,7 @@ def keep(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cascade = Cascade([*BASE, *rules], sample)
+        cascade = Cascade([*BASE, *rules], every)
         for part, texts in text_batches(batches, text_col):
             yield part.filter(pa.array([not cascade.rejects(Text(text)) for text in texts], pa.bool_()))
 

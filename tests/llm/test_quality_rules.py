@@ -74,6 +74,27 @@ def test_order_follows_rejections_per_second():
     assert first == later == [i % 10 < 5 for i in range(20)]
 
 
+def test_order_follows_all_documents():
+    """Not only the first: what rejects those need not reject the rest."""
+    rules = [
+        quality_rules.Rule("early", lambda t: t.text == "a"),
+        quality_rules.Rule("late", lambda t: t.text == "b"),
+    ]
+    cascade = quality_rules.Cascade(rules, 20)
+    texts = ["a"] * 20 + ["b"] * 2_000 + ["c"]
+    assert [cascade.rejects(quality_rules.Text(t)) for t in texts] == [True] * 2_020 + [False]
+    assert [r.name for r in cascade.rules] == ["late", "early"]
+    assert cascade.met == 2_021 and sum(cascade.rejected.values()) == 2 + 2_020
+
+
+def test_no_period_keeps_the_order():
+    rules = [quality_rules.Rule("never", lambda t: False), quality_rules.Rule("ever", lambda t: True)]
+    cascade = quality_rules.Cascade(rules, 0)
+    assert all(cascade.rejects(quality_rules.Text("a")) for _ in range(100))
+    assert [r.name for r in cascade.rules] == ["never", "ever"]
+    assert not quality_rules.Cascade([], 20).rejects(quality_rules.Text("a"))
+
+
 def test_labels_agree(spark):
     """Hardly a document labelled good is rejected but for the base, and no bad one stays."""
     judged = queries.op3_quality_rules(spark, SMALL.replace("0.001", "0.01"))
